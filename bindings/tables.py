@@ -64,8 +64,8 @@ sitemap_doc AS (
 robots_doc AS (
   SELECT root AS base_url, s,
     'User-agent: *' || chr(10) || 'Disallow: /p/1' || chr(13) || chr(10) || 'Allow: /p/1' || CAST(s % 10 AS STRING) || chr(10)
-    || CASE s % 4 WHEN 0 THEN '' WHEN 1 THEN 'SITEMAP:' || chr(10)
-       WHEN 2 THEN '  Sitemap: ' || root || '/maps/all.xml  ' || chr(13) || chr(10) || 'sitemap: /sm/1.xml' || chr(10)
+    || CASE WHEN s % 4 = 0 OR s % 8 = 7 THEN '' WHEN s % 4 = 1 THEN 'SITEMAP:' || chr(10)
+       WHEN s % 4 = 2 THEN '  Sitemap: ' || root || '/maps/all.xml  ' || chr(13) || chr(10) || 'sitemap: /sm/1.xml' || chr(10)
        ELSE 'Sitemap: /sm/2.xml' || chr(10) || 'sitemap:' || root || '/sm/3.xml' END AS body
   FROM site_page GROUP BY s, root),
 site_fetch AS (
