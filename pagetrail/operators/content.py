@@ -142,7 +142,11 @@ def content_batch_rows(batch: DataFrame, per_part: int = RESULTS_PER_PART) -> Da
     A request of up to ``per_part`` URLs is one row; a larger one continues in further
     parts, so that no task ever builds an unbounded row.
     """
-    fields = [c for c in batch.columns if c != "req_id"]
+    row = F.struct("idx", *[c for c in batch.columns if c not in ("req_id", "idx")])
     part = F.floor(F.col("idx") / per_part).cast("int").alias("part")
-    rows = batch.groupBy("req_id", part).agg(F.array_sort(F.collect_list(F.struct("idx", *[f for f in fields if f != "idx"]))).alias("results"))
+
+    def by_index(a, b):  # the rows hold a map, which has no order of its own
+        return (a["idx"] > b["idx"]).cast("int") - (a["idx"] < b["idx"]).cast("int")
+
+    rows = batch.groupBy("req_id", part).agg(F.array_sort(F.collect_list(row), by_index).alias("results"))
     return rows.join(batch_counts(batch), "req_id")
