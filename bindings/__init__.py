@@ -1,6 +1,6 @@
 """Registered queries: each binds an operator to the given tables, with the same result in SQL."""
 
-from . import content, crawl, urls  # noqa: F401
+from . import content, crawl, jobs, urls  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

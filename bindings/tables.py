@@ -140,7 +140,7 @@ job_update AS (
   FROM {orders} WHERE o_orderstatus = 'O'),
 crawl_run AS (
   SELECT CAST(o_orderkey AS STRING) AS id, 'https://c' || CAST(o_custkey AS STRING) || '.example.com' AS target_url,
-    CAST(o_orderdate AS TIMESTAMP) AS crawled_at, CAST(o_totalprice AS INT) AS total_urls, CAST(1 + o_orderkey % 4 AS INT) AS depth
+    CAST(o_orderdate AS TIMESTAMP) AS crawled_at, CAST(floor(o_totalprice) AS INT) AS total_urls, CAST(1 + o_orderkey % 4 AS INT) AS depth
   FROM {orders})"""
 
 GROUPS = {"p": _BASE, "site": _SITE, "sitemaps": _SITEMAPS, "fetches": _FETCHES, "events": _EVENTS, "jobs": _JOBS}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.checks import (
     DEFAULT_DELAY, DEFAULT_DEPTH, DEFAULT_HEADLESS_TIMEOUT, DEFAULT_MAX_URLS, DEFAULT_WORKERS, MAX_URLS_LIMIT,
@@ -11,6 +12,7 @@ from ..functions.checks import (
 )
 from ..functions.urls import site_root
 from ..schemas import CONTENT_REQUEST, CRAWL_EVENT, CRAWL_REQUEST
+from .unpack import gunzip_array
 
 FLAGS = ["enable_sitemap", "enable_html", "enable_headless", "wait_for_js"]
 GZIP = "gzip"
@@ -31,11 +33,16 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     )
 
 
+def _decode(column: str, schema: T.StructType) -> Column:
+    """JSON by a fixed schema; ``_bad`` holds a text that does not fit it."""
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    return F.from_json(column, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+
+
 def read_requests(json_df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(requests, rejects) of one JSON request per row. A reject names its reason."""
-    decoded = json_df.withColumn("_r", F.from_json(column, CRAWL_REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    # A malformed text decodes to a struct of nulls; a well-formed one parses as a map.
-    malformed = F.from_json(column, "struct<_bad: string>", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull() | F.col("_r").isNull()
+    decoded = json_df.withColumn("_r", _decode(column, CRAWL_REQUEST))
+    malformed = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
     job_id = F.coalesce("_r.job_id", F.lit(""))
     reason = (
         F.when(malformed, "Invalid JSON")
@@ -44,7 +51,7 @@ def read_requests(json_df: DataFrame, column: str = "value") -> tuple[DataFrame,
     )
     judged = decoded.withColumn("reason", reason)
     others = [c for c in json_df.columns if c != column]
-    good = judged.filter(F.col("reason").isNull()).select(*others, "_r.*")
+    good = judged.filter(F.col("reason").isNull()).select(*others, "_r.*").drop("_bad")
     return with_defaults(good), judged.filter(F.col("reason").isNotNull()).select(*json_df.columns, "reason")
 
 
@@ -77,11 +84,7 @@ def sitemap_docs_binary(fetches: DataFrame) -> DataFrame:
     return ok.select("url", "status_code", _gunzip(F.when(packed, F.col("body")), F.when(~packed, F.col("body"))).alias("body"))
 
 
-def _gunzip(packed, plain):
-    from pyspark.sql import types as T
-
-    from .unpack import gunzip_array
-
+def _gunzip(packed: Column, plain: Column) -> Column:
     return F.coalesce(F.arrow_udf(gunzip_array, T.StringType())(packed), F.decode(plain, "UTF-8"))
 
 
@@ -100,10 +103,7 @@ def robots_docs(fetches: DataFrame) -> DataFrame:
 def decode_events(raw: DataFrame, column: str = "value") -> DataFrame:
     """Every raw row with its event in ``event``; null when the text is malformed. Works on
     batch and streaming DataFrames alike."""
-    wide = CRAWL_EVENT.simpleString()[:-1] + ",_bad:string>"
-    decoded = raw.withColumn(
-        "_e", F.from_json(column, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    )
+    decoded = raw.withColumn("_e", _decode(column, CRAWL_EVENT))
     ok = F.col("_e").isNotNull() & F.col("_e._bad").isNull()
     event = F.struct(*[F.col(f"_e.{f}").alias(f) for f in CRAWL_EVENT.fieldNames()])
     return decoded.withColumn("event", F.when(ok, event)).drop("_e")
