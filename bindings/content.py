@@ -126,12 +126,13 @@ def clean_text(t):
     phrases = F.expr("array" + _PHRASES.replace("[", "(", 1)[:-1] + ")")
     phrase = F.get(phrases, (F.col("doc_id") % 8).cast("int"))
     seeded = F.replace(F.col("text"), F.lit(". "), F.concat(F.lit(". "), phrase, F.lit("\n")))
-    return t.documents.select("doc_id", text.clean_text(seeded).alias("cleaned"))
+    seeded_docs = t.documents.select("doc_id", seeded.alias("text"))
+    return content.with_clean_text(seeded_docs).select("doc_id", F.col("clean_text").alias("cleaned"))
 
 
 @query("clean_text_plain", f"SELECT doc_id, {_clean_text('text')} AS cleaned FROM documents")
 def clean_text_plain(t):
-    return t.documents.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return content.with_clean_text(t.documents.select("doc_id", "text")).select("doc_id", F.col("clean_text").alias("cleaned"))
 
 
 @query("markdown_size", "SELECT doc_id, CAST(strlen(text) AS INTEGER) AS size FROM documents")

@@ -115,7 +115,7 @@ def _attrs(text: str) -> dict[str, str]:
 
 
 def _tokens(html: str):
-    """(kind, name, text): kind is "text", "start" or "end". Linear in the text."""
+    """(kind, name, text): kind is "text", "start", "end" or "comment". Linear in the text."""
     pos, n = 0, len(html)
     while pos < n:
         lt = html.find("<", pos)
@@ -146,12 +146,14 @@ def _tokens(html: str):
                 yield "text", name, html[pos:]
                 return
         elif html.startswith("<!--", lt):
+            yield "comment", "", ""
             if html.startswith((">", "->"), lt + 4):
                 pos = html.index(">", lt) + 1
                 continue
             end = html.find("-->", lt + 4)
             pos = end + 3 if end >= 0 else n
         elif nxt in ("!", "?", "/") and nxt:
+            yield "comment", "", ""
             end = html.find(">", lt)
             pos = end + 1 if end >= 0 else n
         else:
@@ -160,10 +162,10 @@ def _tokens(html: str):
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "drop")
+    __slots__ = ("tag", "attrs", "kids", "parent", "drop", "open")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], None
+        self.tag, self.attrs, self.kids, self.parent, self.open = tag, attrs, [], None, False
         self.drop = tag in DROP_TAGS or (bool(attrs) and self._boilerplate())
 
     def _boilerplate(self) -> bool:
@@ -210,8 +212,10 @@ class _Tree:
                 self._text(name, text)
             elif kind == "start":
                 self._start(name, text)
-            else:
+            elif kind == "end":
                 self._end(name)
+            elif self.in_body:  # keeps the texts around it apart
+                self.stack[-1].kids.append(_Node("#comment", {}))
 
     # -- insertion -------------------------------------------------------
     def _append(self, node) -> None:
@@ -236,11 +240,13 @@ class _Tree:
     def _push(self, node: _Node) -> None:
         self._append(node)
         self.stack.append(node)
+        node.open = True
         if node.tag in MARKER_TAGS:
             self.active.append(None)
 
     def _pop(self) -> _Node:
         node = self.stack.pop()
+        node.open = False
         if node.tag in MARKER_TAGS:
             while self.active and self.active.pop() is not None:
                 pass
@@ -267,13 +273,25 @@ class _Tree:
     def _reopen_formatting(self) -> None:
         """Formatting that an implied end tag cut off goes on in the new place."""
         i = len(self.active)
-        while i > 0 and self.active[i - 1] is not None and self.active[i - 1] not in self.stack:
+        while i > 0 and self.active[i - 1] is not None and not self.active[i - 1].open:
             i -= 1
         for k in range(i, len(self.active)):
             old = self.active[k]
             self.active[k] = clone = _Node(old.tag, old.attrs)
             self._push(clone)
 
+    def _remember(self, node: _Node) -> None:
+        """Keep an open formatting element; of equal ones only the last three count."""
+        equal = []
+        for n in reversed(self.active):
+            if n is None:
+                break
+            if n.tag == node.tag and n.attrs == node.attrs:
+                equal.append(n)
+        if len(equal) >= 3:
+            self.active.remove(equal[-1])
+        self.active.append(node)
+
     # -- tokens ----------------------------------------------------------
     def _text(self, raw_tag: str, text: str) -> None:
         if self.raw is not None and raw_tag:
@@ -336,7 +354,7 @@ class _Tree:
         else:
             self._push(node)
             if tag in FORMATTING:
-                self.active.append(node)
+                self._remember(node)
 
     def _table_part(self, tag: str) -> bool:
         """Make room for a table part; True when the tag is to be ignored."""
@@ -401,7 +419,7 @@ class _Tree:
         if node is None:
             return
         self.active.remove(node)
-        if node not in self.stack:
+        if not node.open:
             return
         at = self.stack.index(node)
         block = next((n for n in self.stack[at + 1 :] if n.tag in SPECIAL), None)
@@ -419,7 +437,10 @@ class _Tree:
         block.kids = [inner] if inner.kids else []
         block.parent = node.parent
         node.parent.kids.insert(node.parent.kids.index(node) + 1, block)
-        del self.stack[at : self.stack.index(block)]
+        end = self.stack.index(block)
+        for n in self.stack[at:end]:
+            n.open = False
+        del self.stack[at:end]
 
 
 def _block(node: _Node) -> dict | None:

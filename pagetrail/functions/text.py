@@ -13,6 +13,8 @@ WHITE_SPACE = "".join(
 # ASCII white space as a regex class; Java's own \s also holds \x0B.
 _WS = r"[\t\n\f\r ]"
 _WS_NO_NL = r"[\t\f\r ]"
+# A run of white space that is not just one space already.
+_WS_RUN = rf"[\t\n\f\r]{_WS}*+| {_WS}++"
 
 # Boilerplate phrases that clean_text deletes, in this order, without case.
 BOILERPLATE_PHRASES = [
@@ -85,18 +87,36 @@ def clean_markdown(md: Column) -> Column:
     return trim_u(md)
 
 
+def _folded(s: Column) -> Column:
+    """Lower case, with the long s as a plain one, so that it holds whatever a caseless match finds."""
+    return F.translate(F.lower(s), "\u017f", "s")
+
+
 def clean_text(text: Column) -> Column:
-    """One-line text without boilerplate phrases and in-page anchor links."""
-    text = trim_u(F.regexp_replace(text, rf"{_WS}+", " "))
-    phrases = [f"(?iu){p}" for p in BOILERPLATE_PHRASES]
-    cleaned = text
-    for p in phrases:
-        cleaned = F.regexp_replace(cleaned, p, "")
-    cleaned = F.regexp_replace(cleaned, f"(?s){ANCHOR_LINK}", "")
-    # A later pass can only match if some pass matched the text as it came, so
-    # texts without any of the phrases skip all of them.
-    hit = text.rlike("|".join(f"(?:{p})" for p in phrases)) | text.contains("](#")
-    return trim_u(F.when(hit, cleaned).otherwise(text))
+    """One-line text without boilerplate phrases and in-page anchor links.
+
+    The phrases go one after the other, since deleting one may join the next. Each pass
+    first looks for the plain phrase, so a text pays for the regex only where it occurs.
+    """
+    text = trim_u(F.regexp_replace(text, _WS_RUN, " "))
+    passes = F.array(
+        *[F.struct(F.lit(p.split("[")[0]).alias("needle"), F.lit(f"(?iu){p}").alias("pattern")) for p in BOILERPLATE_PHRASES]
+    )
+
+    def state(s: Column) -> Column:
+        return F.struct(s.alias("text"), _folded(s).alias("folded"))
+
+    cleaned = F.aggregate(
+        passes,
+        state(text),
+        lambda acc, p: F.when(
+            F.contains(acc["folded"], p["needle"]), state(F.regexp_replace(acc["text"], p["pattern"], F.lit("")))
+        ).otherwise(acc),
+        lambda acc: F.when(
+            F.contains(acc["text"], F.lit("](#")), F.regexp_replace(acc["text"], f"(?s){ANCHOR_LINK}", "")
+        ).otherwise(acc["text"]),
+    )
+    return trim_u(cleaned)
 
 
 def parse_added(progress: Column) -> Column:

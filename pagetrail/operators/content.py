@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.checks import is_blocked, is_html, is_success_2xx, status_line
 from ..functions.html import parse_page
 from ..functions.markdown import meta_description, page_markdown, page_title
-from ..functions.text import enough_markdown, markdown_size
+from ..functions.text import clean_text, enough_markdown, markdown_size
+from ..session import spread
 
 # Error texts.
 ALL_ATTEMPTS_FAILED = "All aggressive HTTP attempts failed (browser not available in this environment)"
@@ -19,7 +20,7 @@ RESULTS_PER_PART = 1000
 
 def with_page(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` with ``title``, ``meta_description``, ``markdown`` and ``size``; HTML is parsed once."""
-    parsed = df.withColumn("_page", parse_page(F.col(html)))
+    parsed = spread(df).withColumn("_page", parse_page(F.col(html)))
     return parsed.select(
         *df.columns,
         page_title(F.col("_page")).alias("title"),
@@ -29,6 +30,11 @@ def with_page(df: DataFrame, html: str = "html") -> DataFrame:
     ).withColumn("size", markdown_size(F.col("markdown")))
 
 
+def with_clean_text(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with ``clean_text``: the column as one line, without boilerplate phrases."""
+    return spread(df).withColumn("clean_text", clean_text(F.col(column)))
+
+
 def content_response(fetches: DataFrame, *keys: str) -> DataFrame:
     """One response per fetch: status, type, headers, Markdown and size.
 
@@ -39,7 +45,7 @@ def content_response(fetches: DataFrame, *keys: str) -> DataFrame:
     blocked, html = is_blocked(F.col("status_code")), is_html(F.col("content_type"))
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     usable = ~failed & ~blocked
-    flagged = fetches.withColumn("_page", parse_page(F.when(usable & html, F.col("body"))))
+    flagged = spread(fetches).withColumn("_page", parse_page(F.when(usable & html, F.col("body"))))
     page_error = F.col("_page.error")
     markdown = (
         F.when(page_error.isNotNull(), F.concat(F.lit(CONVERT_FAILED), page_error))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import DEFAULT_WORKERS, duration_seconds
 from ..functions.html import parse_links
 from ..functions.text import truncate
+from ..session import spread
 from .ordering import ordinal
 
 PREVIEW_BYTES = 200
@@ -31,7 +32,7 @@ def fetch_plan(urls: DataFrame, requests: DataFrame, max_group: int | None = Non
 
 def fetch_preview(fetches: DataFrame) -> DataFrame:
     """(url, n_bytes, status_code, content_type, preview, n_links) per fetch."""
-    return fetches.select(
+    return spread(fetches).select(
         "url",
         F.octet_length("body").alias("n_bytes"),
         "status_code",

@@ -10,6 +10,7 @@ from ..functions.urls import (
     UrlParts, canonical_parts, canonical_url, clean_url, drop_userinfo, host_of, is_skippable, join_parts,
     resolve_parts, site_hosts_of, url_parts,
 )
+from ..session import spread
 
 
 def _parts_struct(p: UrlParts):
@@ -28,6 +29,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     The outer form keeps Spark from adding a "list is not empty" filter below the
     generator, which would run the parser a second time.
     """
+    pages = spread(pages.select("page_id", "url", "html"))
     return pages.select("page_id", "url", parse_links(F.col("html")).alias("_p")).select(
         "page_id", "url", F.col("_p.base_href").alias("base_href"), F.inline_outer("_p.links")
     ).filter(F.col("pos").isNotNull())
@@ -43,6 +45,7 @@ def discover_links(pages: DataFrame) -> DataFrame:
     Narrow from scan to result: no shuffle, one Python stage. The page's own address is
     taken apart once per page, before its links are unfolded.
     """
+    pages = spread(pages.select("page_id", "url", "html"))
     parsed = pages.select("page_id", "url", parse_links(F.col("html")).alias("_p"))
     based = parsed.select(
         "page_id",

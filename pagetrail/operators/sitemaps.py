@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import sitemap_exists
 from ..functions.urls import SITEMAP_PATHS, site_root, sitemap_candidates
 from ..schemas import SITEMAP_DOC
-from ..session import materialize
+from ..session import materialize, spread
 from .ordering import first_seen_distinct, ordinal
 from .robots import robots_sitemaps
 
@@ -49,7 +49,7 @@ def parse_sitemap_docs(docs: DataFrame) -> DataFrame:
     A document with children is an index and lists no entries of its own. A ``lastmod``
     that is no timestamp does not spoil the file; text that is no sitemap lists nothing.
     """
-    parsed = docs.select("url", F.from_xml("body", SITEMAP_DOC, {"mode": "PERMISSIVE"}).alias("_d"))
+    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, {"mode": "PERMISSIVE"}).alias("_d"))
     is_index = F.coalesce(F.size("_d.sitemap"), F.lit(0)) > 0
     locs = F.when(is_index, F.col("_d.sitemap.loc")).otherwise(F.col("_d.url.loc"))
     rows = parsed.select("url", is_index.alias("is_index"), F.posexplode_outer(locs).alias("pos", "loc"))
@@ -130,7 +130,7 @@ def sitemap_urls(found: DataFrame, docs: DataFrame, max_depth: int = MAX_INDEX_D
 
 def sitemap_counts(docs: DataFrame) -> DataFrame:
     """(url, n_urls, n_sitemaps) per document, zeros included; counted inside the row."""
-    parsed = docs.select("url", F.from_xml("body", SITEMAP_DOC, {"mode": "PERMISSIVE"}).alias("_d"))
+    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, {"mode": "PERMISSIVE"}).alias("_d"))
     n_children = F.greatest(F.coalesce(F.size("_d.sitemap"), F.lit(0)), F.lit(0))
     listed = F.size(F.filter("_d.url.loc", lambda s: F.coalesce(s, F.lit("")) != ""))
     n_urls = F.greatest(F.coalesce(listed, F.lit(0)), F.lit(0))

@@ -34,6 +34,11 @@ def crawl_html(requests: DataFrame, links: DataFrame) -> DataFrame:
     followed while d < ``depth``. A job stops at ``max_urls``; the URL that reaches the
     cap is listed and nothing after it is read.
     """
+    return _walk(requests, links)[0]
+
+
+def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`crawl_html` and the URL count of its largest job."""
     limits = requests.select(
         "job_id",
         canonical_url(F.col("url")).alias("url"),
@@ -83,12 +88,12 @@ def crawl_html(requests: DataFrame, links: DataFrame) -> DataFrame:
         frontier = frontier.filter(F.col("_depth") > depth)
         known = new.select("job_id", "url") if known is None else known.unionByName(new.select("job_id", "url"))
     if not kept:
-        return seeds.limit(0).select("job_id", F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("depth"), "url")
+        return seeds.limit(0).select("job_id", F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("depth"), "url"), 0
     rows = kept[0]
     for level in kept[1:]:
         rows = rows.unionByName(level)
     rows = rows.select("job_id", "depth", "_path", "url")
-    return ordinal(rows, ["job_id"], ["depth", "_path"], max_group=biggest).select("job_id", "ord", "depth", "url")
+    return ordinal(rows, ["job_id"], ["depth", "_path"], max_group=biggest).select("job_id", "ord", "depth", "url"), biggest
 
 
 def _first_per_job(rows: DataFrame, largest_room: int) -> DataFrame:
@@ -126,36 +131,31 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
     """
     flags = [F.col(c) for c in ("enable_sitemap", "enable_html", "enable_headless")]
     probe = first_accessible(requests.select("url"), fetches)
-    judged = requests.withColumnRenamed("url", "original_url").join(probe, "original_url")
+    judged, _ = materialize(requests.withColumnRenamed("url", "original_url").join(probe, "original_url"))
     # Only sites of failed jobs are looked up; one row per robots line of such a site.
-    absolute = robots_sitemaps(robots, "absolute")
-    saved_by = (
+    saved_by, _ = materialize(
         judged.filter(~F.col("success"))
         .select("job_id", site_root(F.col("original_url")).alias("base_url"))
-        .join(absolute, "base_url")
+        .join(robots_sitemaps(robots, "absolute"), "base_url")
         .select("job_id", "pos", "url")
     )
-    saved_by, _ = materialize(saved_by)
     saved = saved_by.select("job_id").distinct().withColumn("_saved", F.lit(True))
     alive = F.col("success") | F.col("saved")
-    jobs, _ = materialize(
-        judged.join(saved, "job_id", "left")
-        .withColumn("saved", F.coalesce("_saved", F.lit(False)))
-        .withColumns(
-            {
-                "target_url": F.col("fallback_url"),
-                "use_sitemap": alive & sitemap_tier_enabled(*flags),
-                "want_html": alive & html_tier_enabled(*flags),
-                "failed": ~alive,
-            }
-        )
-        .drop("_saved", "fallback_url")
-    )
+    jobs = judged.join(saved, "job_id", "left").withColumn("saved", F.coalesce("_saved", F.lit(False)))
+    jobs = jobs.withColumns(
+        {
+            "target_url": F.col("fallback_url"),
+            "use_sitemap": alive & sitemap_tier_enabled(*flags),
+            "want_html": alive & html_tier_enabled(*flags),
+            "failed": ~alive,
+            "status": F.when(alive, "completed").otherwise("failed"),
+        }
+    ).drop("_saved", "fallback_url")
     tier1 = jobs.filter("use_sitemap").select("job_id", F.col("target_url").alias("url"))
     sitemaps, _ = materialize(
         discover_sitemaps(tier1, fetches, robots, saved_by.join(tier1, "job_id", "left_semi"))
     )
-    listed, _ = materialize(sitemap_urls(sitemaps, docs))
+    listed = sitemap_urls(sitemaps, docs)
     n_listed = listed.groupBy("job_id").agg(F.count(F.lit(1)).alias("sitemap_urls"))
     jobs, _ = materialize(
         jobs.join(n_listed, "job_id", "left")
@@ -165,17 +165,15 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
     )
     # A job saved by robots.txt has no address to read HTML from.
     tier2 = jobs.filter(F.col("use_html") & F.col("success"))
-    html, _ = materialize(crawl_html(tier2.select("job_id", F.col("target_url").alias("url"), "depth", "max_urls"), links))
-    added = new_only(html, listed).select("job_id", "url", "ord")
-    # Here a job has fewer than 10 sitemap URLs, and HTML URLs up to its cap.
-    added = ordinal(added, ["job_id"], ["ord"], "_n", _largest_job(html))
+    walked, largest = _walk(tier2.select("job_id", F.col("target_url").alias("url"), "depth", "max_urls"), links)
+    html, _ = materialize(walked)
+    added = ordinal(new_only(html, listed).select("job_id", "url", "ord"), ["job_id"], ["ord"], "_n", largest)
     added = added.join(jobs.select("job_id", "sitemap_urls"), "job_id").select(
         "job_id", (F.col("sitemap_urls") + F.col("_n")).alias("ord"), "url", F.lit("html").alias("tier")
     )
-    added, _ = materialize(added)
     merged = listed.select("job_id", "ord", "url", F.lit("sitemap").alias("tier")).unionByName(added)
     return Crawl(
-        jobs=jobs.withColumn("status", F.when(F.col("failed"), "failed").otherwise("completed")),
+        jobs=jobs,
         urls=truncate_urls(merged, requests),
         stats=tier_stats(merged, jobs.filter(~F.col("failed"))),
         sitemaps=sitemaps,
@@ -183,10 +181,6 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
     )
 
 
-def _largest_job(rows: DataFrame) -> int:
-    return rows.groupBy("job_id").count().agg(F.max("count")).first()[0] or 0
-
-
 def tier_stats(merged: DataFrame, jobs: DataFrame) -> DataFrame:
     """(job_id, sitemap_urls, html_urls, headless_urls, total_tiers_used), zeros included."""
     by_tier = merged.groupBy("job_id").agg(

@@ -16,6 +16,8 @@ SETTINGS = {
     # A page is much larger once parsed; smaller scan tasks keep Python workers small.
     "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # Call-site tracking asks the JVM once more per Column; plans here have thousands.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -43,6 +45,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or made
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores when it is smaller than one wave of scan tasks.
+
+    Meant in front of per-row work that costs far more than moving the row. A small file is
+    one task however dear its rows are; a large input has tasks enough, and is never moved.
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None or df.isStreaming:
+        return df
+    spark = df.sparkSession
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores else df
+
+
 def materialize(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     """Write ``df`` to the scratch folder and read it back: cuts the lineage at a place
     that outlives any executor. ``metrics`` are aggregate Columns taken along the way,
