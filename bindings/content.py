@@ -28,9 +28,9 @@ def _clean_markdown(x: str) -> str:
 
 
 def _unescape(x: str) -> str:
-    for ref, char in [("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]:
+    for ref, char in [("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">")]:
         x = f"replace({x}, '{ref}', '{char}')"
-    return x
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 # These pages hold one template: title, then an article of one h1 and paragraphs, in which
@@ -150,13 +150,14 @@ def html_pages(t):
 
 @query("first_accessible", _FALLBACKS + f""",
 candidate AS (SELECT page_id, -1 AS pos, url FROM p UNION ALL SELECT page_id, pos, url FROM fallback),
+first_probe AS (SELECT * FROM probe QUALIFY row_number() OVER (PARTITION BY url ORDER BY attempt) = 1),
 seen AS (SELECT c.page_id, c.pos, c.url, coalesce(b.error, '') = '' AND b.status_code BETWEEN 200 AND 399 AS ok,
     CASE WHEN b.url IS NULL THEN 'no fetch recorded' ELSE {_ERROR.replace('error', 'b.error').replace('status_code', 'b.status_code')} END AS err
-  FROM candidate c LEFT JOIN probe b ON c.url = b.url),
+  FROM candidate c LEFT JOIN first_probe b ON c.url = b.url),
 best AS (SELECT page_id, arg_min(url, pos) FILTER (ok) AS found, coalesce(bool_or(ok), false) AS success, max(err) FILTER (pos = -1 AND NOT coalesce(ok, false)) AS error FROM seen GROUP BY 1)
 SELECT p.url AS original_url, coalesce(found, p.url) AS fallback_url, success, error FROM best JOIN p ON p.page_id = best.page_id""", ("probe",))
 def first_accessible(t):
-    fetches = t.probe.withColumns({"tier": F.lit(1), "attempt": F.lit(1)})
+    fetches = t.probe.withColumn("tier", F.lit(1))
     return fallback.first_accessible(t.pages.select("url"), fetches)
 
 

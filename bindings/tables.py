@@ -88,13 +88,13 @@ attempt AS (
   FROM {pages} {attempts}),
 probe AS (
   SELECT url, CAST(CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 200 WHEN 3 THEN 302 ELSE 500 END AS INT) AS status_code,
-    CASE WHEN page_id % 11 = 3 THEN 'connection refused' END AS error
+    CASE WHEN page_id % 11 = 3 THEN 'connection refused' END AS error, 1 AS attempt
   FROM p
   UNION ALL
-  SELECT 'https://' || host || tail, CAST(CASE WHEN page_id % 3 = 0 THEN 200 ELSE 410 END AS INT), NULL FROM p WHERE scheme = 'http'
+  SELECT 'https://' || host || tail, CAST(CASE WHEN page_id % 3 = 0 THEN 200 ELSE 410 END AS INT), NULL, 2 FROM p WHERE scheme = 'http'
   UNION ALL
   SELECT scheme || '://' || CASE WHEN host LIKE 'www.%' THEN substr(host, 5) ELSE 'www.' || host END || tail,
-    CAST(CASE WHEN page_id % 2 = 0 THEN 200 ELSE 404 END AS INT), NULL FROM p)"""
+    CAST(CASE WHEN page_id % 2 = 0 THEN 200 ELSE 404 END AS INT), NULL, 3 FROM p)"""
 
 _EVENTS = """
 ev AS (

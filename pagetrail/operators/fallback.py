@@ -13,7 +13,7 @@ NOT_FETCHED = "no fetch recorded"
 
 def probes(fetches: DataFrame) -> DataFrame:
     """(url, ok, error) of the first recorded attempt per URL."""
-    first = F.min_by(F.struct("status_code", "error"), F.struct("tier", "attempt")).alias("_f")
+    first = F.min(F.struct("tier", "attempt", "status_code", "error")).alias("_f")
     status, error = F.col("_f.status_code"), F.col("_f.error")
     return (
         fetches.groupBy("url")
