@@ -82,6 +82,7 @@ MARKER_TAGS = frozenset("td th caption object marquee applet template".split())
 _TAG = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)>"
 )
+_TAG_START = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?")
 _CHAR_REF = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TEXT}
@@ -114,53 +115,78 @@ def _attrs(text: str) -> dict[str, str]:
     return out
 
 
-def _tokens(html: str):
-    """(kind, name, text): kind is "text", "start", "end" or "comment". Linear in the text."""
+def _tokens(html: str, with_text: bool = True):
+    """(kind, name, text): kind is "text", "start", "end" or "comment". Linear in the text.
+
+    Without text only the tags are told.
+    """
     pos, n = 0, len(html)
+    find, match = html.find, _TAG.match
     while pos < n:
-        lt = html.find("<", pos)
+        lt = find("<", pos)
         if lt < 0:
-            yield "text", "", unescape(html[pos:])
-            return
-        if lt > pos:
+            lt = n
+        if lt > pos and with_text:
             yield "text", "", unescape(html[pos:lt])
-        nxt = html[lt + 1 : lt + 2]
-        if nxt.isascii() and nxt.isalpha() or nxt == "/" and html[lt + 2 : lt + 3].isascii() and html[lt + 2 : lt + 3].isalpha():
-            m = _TAG.match(html, lt)
-            if m is None:  # the text ends inside a tag
-                return
+        if lt == n:
+            return
+        m = match(html, lt)
+        if m is not None:
             pos = m.end()
-            name = m.group(2).lower()
-            if m.group(1):
+            slash, name, rest = m.groups()
+            name = name.lower()
+            if slash:
                 yield "end", name, ""
                 continue
-            yield "start", name, m.group(3)
+            yield "start", name, rest
             if name in RAW_TEXT:
                 end = _RAW_END[name].search(html, pos)
                 stop = end.start() if end else n
                 raw = html[pos:stop]
-                if raw:
+                if raw and with_text:
                     yield "text", name, unescape(raw) if name in ESCAPABLE else raw
                 pos = stop
             elif name == "plaintext":
-                yield "text", name, html[pos:]
+                if with_text:
+                    yield "text", name, html[pos:]
                 return
+        elif _TAG_START.match(html, lt):  # the text ends inside a tag
+            return
         elif html.startswith("<!--", lt):
             yield "comment", "", ""
             if html.startswith((">", "->"), lt + 4):
                 pos = html.index(">", lt) + 1
                 continue
-            end = html.find("-->", lt + 4)
+            end = find("-->", lt + 4)
             pos = end + 3 if end >= 0 else n
-        elif nxt in ("!", "?", "/") and nxt:
+        elif html.startswith(("<!", "<?", "</"), lt):
             yield "comment", "", ""
-            end = html.find(">", lt)
+            end = find(">", lt)
             pos = end + 1 if end >= 0 else n
         else:
-            yield "text", "", "<"
+            if with_text:
+                yield "text", "", "<"
             pos = lt + 1
 
 
+class _Links:
+    """Base address and links, in document order."""
+
+    def __init__(self):
+        self.base, self.links = None, []
+
+    def see(self, tag: str, text: str) -> None:
+        href = _attrs(text).get("href")
+        if href is not None:
+            if tag == "a":
+                self.links.append({"pos": len(self.links), "href": href})
+            elif self.base is None:
+                self.base = href
+
+    def result(self) -> dict:
+        return {"base_href": self.base, "links": self.links}
+
+
 class _Node:
     __slots__ = ("tag", "attrs", "kids", "parent", "drop", "open")
 
@@ -177,6 +203,15 @@ class _Node:
             or self.tag == "img" and ("data-src" in a or a.get("src", "").startswith("data:"))
         )
 
+    def kept(self) -> bool:
+        """In the tree, and neither this nor anything around it is boilerplate."""
+        n = self
+        while not n.drop:
+            if n.parent is None:
+                return n.tag in ("head", "body")
+            n = n.parent
+        return False
+
     def text(self) -> str:
         if len(self.kids) == 1 and isinstance(self.kids[0], str):
             return self.kids[0]
@@ -207,10 +242,14 @@ class _Tree:
         self.active: list = []  # open formatting elements; None marks a cell or object
         self.in_body = False
         self.raw: _Node | None = None
+        self.links = _Links()
+        self.meta: list[_Node] = []  # title and meta elements wherever they stand
         for kind, name, text in _tokens(html):
             if kind == "text":
                 self._text(name, text)
             elif kind == "start":
+                if name == "a" or name == "base":
+                    self.links.see(name, text)
                 self._start(name, text)
             elif kind == "end":
                 self._end(name)
@@ -316,8 +355,11 @@ class _Tree:
                 self.html_drop = self.html_drop or _Node("html", attrs).drop
             return
         node = _Node(tag, attrs)
+        if tag == "title" or tag == "meta":
+            self.meta.append(node)
         if not self.in_body:
             if tag in IN_HEAD:
+                node.parent = self.head
                 self.head.kids.append(node)
                 self.raw = node
                 return
@@ -480,17 +522,11 @@ def extract_links(html: str | None) -> dict | None:
     """Base address and every ``a[href]`` of the whole document, in document order."""
     if html is None:
         return None
-    base, links = None, []
-    for kind, name, text in _tokens(html):
+    links = _Links()
+    for kind, name, text in _tokens(html, with_text=False):
         if kind == "start" and (name == "a" or name == "base"):
-            href = _attrs(text).get("href")
-            if href is None:
-                continue
-            if name == "a":
-                links.append({"pos": len(links), "href": href})
-            elif base is None:
-                base = href
-    return {"base_href": base, "links": links}
+            links.see(name, text)
+    return links.result()
 
 
 def extract_page(html: str | None) -> dict | None:
@@ -498,14 +534,15 @@ def extract_page(html: str | None) -> dict | None:
     if html is None:
         return None
     try:
-        out = extract_links(html)
         tree = _Tree(html)
-        tops = [] if tree.html_drop else [tree.head] + ([] if tree.body.drop else [tree.body])
-        titles = [n.text() for t in tops for n in t.find("title")]
-        metas = [n.attrs.get("content") for t in tops for n in t.find("meta") if n.attrs.get("name") == "description"]
-        out["title"] = "".join(titles)
-        out["meta_description"] = metas[0] if metas else None
-        out["blocks"] = _blocks(tree.body) if tree.body in tops else []
+        out = tree.links.result()
+        tree.body.drop = tree.body.drop or tree.html_drop
+        tree.head.drop = tree.html_drop
+        meta = [n for n in tree.meta if n.kept()]
+        described = [n.attrs.get("content") for n in meta if n.tag == "meta" and n.attrs.get("name") == "description"]
+        out["title"] = "".join(n.text() for n in meta if n.tag == "title")
+        out["meta_description"] = described[0] if described else None
+        out["blocks"] = [] if tree.body.drop else _blocks(tree.body)
         return out
     except Exception as exc:  # one bad page must not fail the task
         return {"error": f"{type(exc).__name__}: {exc}"}
