@@ -17,13 +17,14 @@ from ..functions.checks import (
 )
 from ..functions.urls import canonical_url, host_of, site_hosts, site_root
 from ..operators.fallback import first_accessible
-from ..operators.links import expand_frontier, new_only
-from ..operators.ordering import SMALL_GROUP, ordinal, truncate_urls
+from ..operators.links import new_only
+from ..operators.ordering import SMALL_GROUP, first_per_group, ordinal, truncate_urls
 from ..operators.robots import robots_sitemaps
 from ..operators.sitemaps import discover_sitemaps, sitemap_urls
 from ..session import materialize
 
 RESULT_PART = MAX_URLS_LIMIT
+HOT_PAGE = 1000  # jobs that read one page at one level, beyond which the page is read in shares
 
 
 def crawl_html(requests: DataFrame, links: DataFrame) -> DataFrame:
@@ -45,66 +46,117 @@ def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         F.greatest(F.coalesce("depth", F.lit(1)), F.lit(1)).alias("_depth"),
         F.coalesce("max_urls", F.lit(DEFAULT_MAX_URLS)).alias("_max"),
     ).filter((F.col("_max") > 0) & F.col("url").isNotNull())
+    is_small = F.col("_max") <= SMALL_GROUP
     seeds, info = materialize(
-        limits.withColumn("_site", site_hosts(F.col("url"))).withColumn("_path", F.expr("cast(array() as array<int>)")),
+        limits.withColumns(
+            {
+                "_site": site_hosts(F.col("url")),
+                "_path": F.expr("cast(array() as array<int>)"),
+                "_listed": F.lit(0).cast("bigint"),
+            }
+        ),
         deepest=F.max("_depth"),
+        room=F.max(F.when(is_small, F.col("_max"))),
+        large=F.count_if(~is_small),
     )
-    job = ["_depth", "_max", "_site"]
-    frontier, known, kept, listed, biggest = seeds, None, [], None, 0
-    for depth in range(1, (info["deepest"] or 0) + 1):
-        reached = expand_frontier(frontier, links)
-        reached = reached.filter(F.array_contains("_site", host_of(F.col("dst"))))
-        found = reached.groupBy("job_id", F.col("dst").alias("url")).agg(
-            F.min(F.array_append("_path", F.col("pos"))).alias("_path"), *[F.any_value(c).alias(c) for c in job]
+    by_host = links.select("src", "pos", "dst", host_of(F.col("dst")).alias("host"))
+    levels, largest = [], 0
+    if info["room"]:
+        room = info["room"]
+        near = _first_links(by_host, room)
+        levels, largest = _levels(seeds.filter(is_small), info["rows"], near, info["deepest"], lambda found: _admit_small(found, room))
+    if info["large"]:
+        more, most = _levels(seeds.filter(~is_small), info["large"], by_host, info["deepest"], _admit_large)
+        levels, largest = levels + more, max(largest, most)
+    if not levels:
+        empty = seeds.limit(0)
+        return empty.select("job_id", F.col("_listed").alias("ord"), F.col("_depth").alias("depth"), "url"), 0
+    rows = levels[0]
+    for level in levels[1:]:
+        rows = rows.unionByName(level)
+    return rows.select("job_id", "ord", "depth", "url"), largest
+
+
+def _levels(seeds: DataFrame, at_most: int, links: DataFrame, deepest: int, admit) -> tuple[list[DataFrame], int]:
+    """The listed URLs level by level. ``admit`` numbers what a level found after what the
+    job lists already, drops what is over the job's cap, and counts it all in ``_listed``."""
+    frontier, known, levels, largest = seeds, None, [], 0
+    for depth in range(1, deepest + 1):
+        found = _read_pages(frontier, links, at_most).groupBy("job_id", F.col("dst").alias("url")).agg(
+            F.min(F.array_append("_path", F.col("pos"))).alias("_path"),
+            *[F.any_value(c).alias(c) for c in ("_depth", "_max", "_site", "_listed")],
         )
         if known is not None:
             found = new_only(found, known)
-        new, seen = materialize(found)
+        level, seen = materialize(admit(found).withColumn("depth", F.lit(depth)), largest=F.max("_listed"))
         if not seen["rows"]:
             break
-        counts = new.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_max").alias("_max"))
-        before = F.lit(0)
-        if listed is not None:
-            counts = counts.join(listed.select("job_id", F.col("_listed").alias("_before")), "job_id", "left")
-            before = F.coalesce("_before", F.lit(0))
-        room = F.col("_max") - before
-        full = F.col("_n") >= room
-        listed, caps = materialize(
-            counts.select("job_id", room.alias("_room"), full.alias("_full"), (before + F.least("_n", room)).alias("_listed")),
-            closing=F.count_if(F.col("_full")),
-            room=F.max(F.when(F.col("_full"), F.col("_room"))),
-            listed=F.max("_listed"),
+        levels.append(level)
+        largest, at_most = max(largest, seen["largest"]), seen["rows"]
+        # The URL that reaches the cap ends its job.
+        frontier = level.filter((F.col("_listed") < F.col("_max")) & (F.col("_depth") > depth))
+        listed = level.select("job_id", "url")
+        known = listed if known is None else known.unionByName(listed)
+    return levels, largest
+
+
+def _first_links(links: DataFrame, room: int) -> DataFrame:
+    """``links`` without those that no job can get to.
+
+    A job that lists at most ``room`` URLs takes at most ``room`` new ones from a page, and
+    at most ``room`` others there can be known already: on each host it needs the first
+    ``2 * room`` distinct targets of a page. Only pages with more links than that are
+    touched; for the others this is a count per page.
+    """
+    enough = 2 * room
+    page = ["src", "host"]
+    heavy, seen = materialize(links.groupBy(*page).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > enough).select(*page))
+    if not seen["rows"]:
+        return links
+    targets = links.join(heavy, page, "left_semi").groupBy(*page, "dst").agg(F.min("pos").alias("pos"))
+    kept, _ = materialize(first_per_group(targets, page, ["pos"], enough, "dst").select(*links.columns))
+    return links.join(heavy, page, "left_anti").select(*links.columns).unionByName(kept)
+
+
+def _read_pages(frontier: DataFrame, links: DataFrame, at_most: int) -> DataFrame:
+    """Frontier rows with the links of their page to the hosts of their job. The links of a
+    page that very many jobs read at once are copied, and each copy serves its share of them.
+    The frontier has ``at_most`` rows."""
+    readers = frontier.drop("ord", "depth").withColumn("host", F.explode("_site")).withColumnRenamed("url", "src")
+    on = ["src", "host"]
+    if at_most > HOT_PAGE:
+        jobs = frontier.groupBy(F.col("url").alias("src")).agg(F.count(F.lit(1)).alias("_jobs"))
+        hot, seen = materialize(
+            jobs.filter(F.col("_jobs") > HOT_PAGE).select("src", F.ceil(F.col("_jobs") / HOT_PAGE).cast("int").alias("_shares"))
         )
-        biggest = max(biggest, caps["listed"])
-        if caps["closing"]:
-            closing = listed.filter("_full").select("job_id", "_room")
-            still_open = new.join(closing, "job_id", "left_anti")
-            cut = _first_per_job(new.join(closing, "job_id"), caps["room"]).select(*new.columns)
-            kept.append(still_open.unionByName(cut).withColumn("depth", F.lit(depth)))
-            frontier = still_open
-        else:
-            kept.append(new.withColumn("depth", F.lit(depth)))
-            frontier = new
-        frontier = frontier.filter(F.col("_depth") > depth)
-        known = new.select("job_id", "url") if known is None else known.unionByName(new.select("job_id", "url"))
-    if not kept:
-        return seeds.limit(0).select("job_id", F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("depth"), "url"), 0
-    rows = kept[0]
-    for level in kept[1:]:
-        rows = rows.unionByName(level)
-    rows = rows.select("job_id", "depth", "_path", "url")
-    return ordinal(rows, ["job_id"], ["depth", "_path"], max_group=biggest).select("job_id", "ord", "depth", "url"), biggest
-
-
-def _first_per_job(rows: DataFrame, largest_room: int) -> DataFrame:
-    """The first ``_room`` rows of each job by path. A bounded rank is cut on the map side;
-    for larger room the rows are numbered without ever gathering a job in one task."""
-    if largest_room <= SMALL_GROUP:
-        w = Window.partitionBy("job_id").orderBy("_path")
-        ranked = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= largest_room)
-    else:
-        ranked = ordinal(rows, ["job_id"], ["_path"], "_rank")
-    return ranked.filter(F.col("_rank") <= F.col("_room"))
+    if at_most > HOT_PAGE and seen["rows"]:
+        shares = F.coalesce("_shares", F.lit(1))
+        readers = readers.join(hot, "src", "left").withColumn("_share", F.pmod(F.hash("job_id"), shares)).drop("_shares")
+        copies = F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share")
+        links = links.join(hot, "src", "left").select(*links.columns, copies)
+        on = [*on, "_share"]
+    return readers.join(links, on)
+
+
+def _admit_small(found: DataFrame, room: int) -> DataFrame:
+    """For jobs that list at most ``room`` URLs, a small number."""
+    ranked = first_per_group(found, ["job_id"], ["_path"], room, "url").filter(F.col("_rank") <= F.col("_max") - F.col("_listed"))
+    return ranked.select(
+        "job_id", "url", "_path", "_depth", "_max", "_site",
+        (F.col("_listed") + F.col("_rank")).alias("ord"),
+        (F.col("_listed") + F.count(F.lit(1)).over(Window.partitionBy("job_id"))).alias("_listed"),
+    )
+
+
+def _admit_large(found: DataFrame) -> DataFrame:
+    """For jobs without a small cap: the same, with no job ever gathered in one task."""
+    ranked = ordinal(found, ["job_id"], ["_path"], "_rank").filter(F.col("_rank") <= F.col("_max") - F.col("_listed"))
+    counts = ranked.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.join(counts, "job_id").select(
+        "job_id", "url", "_path", "_depth", "_max", "_site",
+        (F.col("_listed") + F.col("_rank")).alias("ord"),
+        (F.col("_listed") + F.col("_n")).alias("_listed"),
+    )
 
 
 @dataclass(frozen=True)

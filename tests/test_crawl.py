@@ -33,8 +33,7 @@ def bfs(edges, seed, depth, cap):
     return listed
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("partitions", [1, 8])
+@pytest.mark.parametrize("seed, partitions", [(1, 1), (1, 8), (2, 8)])
 def test_crawl_html_is_breadth_first(spark, seed, partitions):
     rnd = random.Random(seed)
     n = 40
@@ -55,6 +54,25 @@ def test_crawl_html_is_breadth_first(spark, seed, partitions):
         assert got.get(job_id, []) == bfs(inside, url, max(depth, 1), cap), job_id
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_crawl_html_with_heavy_and_hot_pages(spark, monkeypatch, hot):
+    """A hub with far more links than any job may list, repeated, and read by most jobs."""
+    monkeypatch.setattr(crawl, "HOT_PAGE", hot)
+    rnd = random.Random(7)
+    hosts = ["https://x.com", "https://www.x.com", "https://y.com"]
+    edges = {SITE + "/": [f"{rnd.choice(hosts)}/{rnd.randrange(150)}" for _ in range(400)], "https://www.x.com/3": [f"{SITE}/{rnd.randrange(300)}" for _ in range(200)]}
+    edges |= {f"{SITE}/{i}": [f"{SITE}/{rnd.randrange(150)}", f"https://www.x.com/{i + 1}", SITE + "/"] for i in range(150)}
+    links = spark.createDataFrame([(s, p, d) for s, ds in edges.items() for p, d in enumerate(ds)], LINK)
+    jobs = [(f"j{i}", SITE + "/" if i % 3 else f"{SITE}/{i}", rnd.randrange(1, 5), rnd.choice([1, 4, 9, 12])) for i in range(30)] + [("large", SITE + "/", 3, 10**8)]
+    requests = spark.createDataFrame(jobs, "job_id string, url string, depth int, max_urls int")
+    inside = {s: [d for d in ds if "x.com" in d] for s, ds in edges.items()}
+    got = {}
+    for r in crawl.crawl_html(requests, links).orderBy("job_id", "ord").collect():
+        got.setdefault(r["job_id"], []).append((r["url"], r["depth"]))
+    for job_id, url, depth, cap in jobs:
+        assert got.get(job_id, []) == bfs(inside, url, depth, cap), job_id
+
+
 def test_crawl_html_edges(spark):
     links = spark.createDataFrame([(SITE + "/", 0, SITE + "/"), (SITE + "/", 1, "https://www.x.com/w"), ("https://www.x.com/w", 0, SITE + "/z")], LINK)
     jobs = [("self", SITE + "/#frag", 3, 10), ("missing", SITE + "/none", 3, 10), ("none", SITE + "/", 3, 0), ("minus", SITE + "/", 3, -1)]
