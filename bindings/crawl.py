@@ -179,10 +179,13 @@ def crawl_html(t):
 
 
 @query("crawl_stored_pages", FOUND + """,
-reached AS (SELECT page_id, dst AS url, min(pos) AS pos FROM found GROUP BY 1, 2)
+chosen AS (SELECT split_part(url, '#', 1) AS src, min(page_id) AS page_id FROM pages GROUP BY 1),
+reached AS (SELECT g.page_id, f.dst AS url, min(f.pos) AS pos FROM pages g JOIN chosen c ON c.src = split_part(g.url, '#', 1)
+  JOIN found f ON f.page_id = c.page_id GROUP BY 1, 2)
 SELECT 'page-' || CAST(page_id AS STRING) AS job_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS ord, CAST(1 AS INT) AS depth, url FROM reached""", ("p",))
 def crawl_stored_pages(t):
-    """Each stored page is the seed of a job; its links reach no other stored page."""
+    """Each stored page is the seed of a job; its links reach no other stored page. Of several
+    snapshots of one address the first is read."""
     jobs = t.pages.select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("job_id"), "url", F.lit(2).alias("depth"), F.lit(1000).alias("max_urls")
     )
