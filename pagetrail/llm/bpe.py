@@ -6,7 +6,7 @@ automaton state; composition of functions is associative, so blocks of the chunk
 prefix scan over blocks gives the state that each block begins in, and a last pass marks the boundaries. The first
 symbol of a text maps every state alike, so texts lie end to end without running into each other.
 
-The slices between boundaries are merged by rank; results are cached by slice within a task, up to a bound. Token ids
+The slices between boundaries are merged by rank; results are cached by slice within a worker, up to a bound. Token ids
 of all texts of a chunk lie in one array, with the offset of each text; decoding gathers from one table of all tokens'
 bytes, by these offsets.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import PieceCache, chunks
 
 # Symbols
 LETTER, NUMBER, OTHER, SHORT, LONG, GAP, BREAK, WHITE = range(8)
@@ -40,8 +40,8 @@ BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOIN, IN_WHITE, ALONE, ONE, TWO, DONE
 STATES = 10
 #: Code points in a block of the scan.
 SPAN = 512
-#: Bytes of slices that a task's cache may hold.
-CACHE_BYTES = 24 << 20
+#: Bytes that a worker's cache of slices may hold.
+CACHE_BYTES = 20 << 20
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -219,12 +219,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one rank file, with the task's cache."""
+    """Encoder and decoder of one rank file, with a cache of slices."""
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.held = 0
+        self.cache = PieceCache(CACHE_BYTES)
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             tokens[i] = token
@@ -237,13 +236,8 @@ class Codec:
         data, edges, bounds = pre_tokens(texts)
         at = edges.tolist()
         pieces = [data[a:b] for a, b in zip(at, at[1:])]
-        if self.held > CACHE_BYTES:
-            self.cache, self.held = {}, 0
-        for piece in set(pieces).difference(self.cache):
-            ids = np.array(merge(piece, self.ranks), "<u4").tobytes()
-            self.cache[piece] = ids
-            self.held += len(piece) + len(ids)
-        coded = list(map(self.cache.__getitem__, pieces))
+        held = self.cache.fill(set(pieces), lambda new: [np.array(merge(p, self.ranks), "<u4").tobytes() for p in new])
+        coded = list(map(held.__getitem__, pieces))
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         return np.frombuffer(b"".join(coded), "<u4"), np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
@@ -255,12 +249,18 @@ class Codec:
         return self.table[at].tobytes(), ends[offsets]
 
 
+@functools.cache
+def codec_of(path: str) -> Codec:
+    """The worker's codec, which keeps its cache across tasks."""
+    return Codec(path)
+
+
 def round_trip(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, and the ids themselves if asked for."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
             for i, j in chunks(batch.column(1)):
@@ -285,7 +285,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, text of ``tokens`` (doc_id, ids). Null ids give an empty text; bytes that are not UTF-8 become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             lists = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])

@@ -176,3 +176,27 @@ def remainder(doc_id, divisor: int):
     from pyspark.sql import functions as F
 
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
+
+
+class PieceCache:
+    """Piece -> encoded bytes, kept by a worker across its tasks. Holds at most about ``limit`` bytes of both (several
+    times that in memory): when the young half is full, it becomes the old half, and what is asked for moves back."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old, self.held = limit, {}, {}, 0
+
+    def fill(self, pieces: set, make) -> dict:
+        """A dict that has all ``pieces``; ``make`` encodes a list of those that are missing."""
+        missing = pieces.difference(self.young)
+        if missing and self.held > self.limit // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+            missing = pieces
+        new = [p for p in missing if p not in self.old]
+        for p in missing:
+            if p in self.old:
+                self.young[p] = self.old[p]
+                self.held += len(p) + len(self.old[p])
+        for p, coded in zip(new, make(new) if new else ()):
+            self.young[p] = coded
+            self.held += len(p) + len(coded)
+        return self.young

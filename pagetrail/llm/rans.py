@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, new_path
+from .common import U64, PieceCache, new_path
 
 BITS = 18
 LANES = 1024
@@ -36,8 +36,8 @@ STEPS = 128
 BLOCK_IDS = 2 * LANES * STEPS
 LOW = U64(1 << 31)
 END_ID = 1
-#: Bytes of words that a task's cache of tokenised words may hold.
-CACHE_BYTES = 24 << 20
+#: Bytes that a worker's cache of tokenised words may hold.
+CACHE_BYTES = 20 << 20
 
 
 @functools.cache
@@ -48,47 +48,43 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordCache:
-    """Ids of texts by way of their words: this kind of tokenizer drops white space and merges nothing across it, so
-    a text's ids are those of its words between ASCII white space, and each distinct word is tokenised once."""
+@functools.cache
+def word_cache(path: str, dtype: str) -> PieceCache:
+    return PieceCache(CACHE_BYTES)
+
+
+def encode_text(text: str, path: str, dtype: str) -> bytes:
+    """Ids of a text by way of its words: this kind of tokenizer drops white space and merges nothing across it, so a
+    text's ids are those of its words between ASCII white space, and a word that was met before is not tokenised again."""
+    words = text.encode().split()
 
-    def __init__(self, path: str):
-        self.tokenizer, self.cache, self.held = tokenizer(path), {}, 0
+    def make(new: list[bytes]) -> list[bytes]:
+        coded = tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        return [np.array(c.ids, dtype).tobytes() for c in coded]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        words = text.encode().split()
-        new = list(set(words).difference(self.cache))
-        if new:
-            if self.held > CACHE_BYTES:
-                self.cache, self.held = {}, 0
-                new = list(set(words))
-            for word, coded in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.cache[word] = np.array(coded.ids, "<u4").tobytes()
-                self.held += len(word) + len(self.cache[word])
-        return b"".join(map(self.cache.__getitem__, words))
+    return b"".join(map(word_cache(path, dtype).fill(set(words), make).__getitem__, words))
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit, with the end id) for every row."""
+def tokenize(docs: DataFrame, path: str, dtype: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids (as ``dtype``, with the end id) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = WordCache(path), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            ids = [cache.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            ids = [encode_text(t or "", path, dtype) + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, dtype: str) -> DataFrame:
     """id, n over all of ``tokens``; each task sends one row for an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                part = np.bincount(np.frombuffer(raw, "<u4"))
+                part = np.bincount(np.frombuffer(raw, dtype))
                 if len(part) > len(total):
                     total = np.pad(total, (0, len(part) - len(total)))
                 total[: len(part)] += part
@@ -195,16 +191,17 @@ BLOCKS = (
 NAMES = [field.split()[0] for field in BLOCKS.split(", ")]
 
 
-def write(tokens: DataFrame, freq: dict[int, int], path: str) -> None:
+def write(tokens: DataFrame, freq: dict[int, int], path: str, dtype: str) -> None:
     """Codes ``tokens`` (doc_id, ids) in ascending order of doc_id into ``path``/blocks, and the table into ``path``/table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shard = Table(freq), TaskContext.get().partitionId()
         docs, parts, size, before, number = [], [], 0, 0, 0
+        width = np.dtype(dtype).itemsize
 
         def close() -> pa.RecordBatch:
-            coded = table.encode(np.frombuffer(b"".join(parts), "<u4"))
-            row = {"shard": shard, "block": number, "before": before, "doc_ids": docs, "lengths": [len(p) // 4 for p in parts]}
+            coded = table.encode(np.frombuffer(b"".join(parts), dtype))
+            row = {"shard": shard, "block": number, "before": before, "doc_ids": docs, "lengths": [len(p) // width for p in parts]}
             row |= coded
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(NAMES, types)], NAMES)
@@ -213,7 +210,7 @@ def write(tokens: DataFrame, freq: dict[int, int], path: str) -> None:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(doc)
                 parts.append(raw)
-                size += len(raw) // 4
+                size += len(raw) // width
                 if size >= BLOCK_IDS:
                     yield close()
                     docs, parts, before, number, size = [], [], before + size, number + 1, 0
@@ -262,8 +259,9 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 def write_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
     """Tokenises ``docs`` (doc_id, text), counts the table over all ids, writes the files; their folder. Runs jobs."""
     path = path or new_path(docs)
-    tokenize(docs, tokenizer_path).write.parquet(f"{path}/tokens")
+    dtype = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+    tokenize(docs, tokenizer_path, dtype).write.parquet(f"{path}/tokens")
     tokens = docs.sparkSession.read.schema("doc_id long, ids binary").parquet(f"{path}/tokens")
-    counts = {r.id: r.n for r in count_ids(tokens).collect()}  # bounded by the vocabulary
-    write(tokens, scale(counts), path)
+    counts = {r.id: r.n for r in count_ids(tokens, dtype).collect()}  # bounded by the vocabulary
+    write(tokens, scale(counts), path, dtype)
     return path
