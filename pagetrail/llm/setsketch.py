@@ -242,43 +242,55 @@ def compare_mixed(multi: DataFrame, nodes: DataFrame, comps: DataFrame, threshol
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "regs", "n_shingles"
     )
+    # a pair of greatest likelihood under the limit by so much more cannot reach it
+    few = (threshold - MARGIN - 0.15) * M
     dealt = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
 
-    def block(t: pa.Table) -> pa.RecordBatch | None:
-        own, p, q = (t.column(k)[0].as_py() if k != "own" else t.column(k).to_numpy() for k in ("own", "p", "q"))
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        regs, sizes = _matrix(t.column("regs")), t.column("n_shingles").to_numpy()
-        roots = np.unique(t.column("root").to_pylist(), return_inverse=True)[1]
-        found = []
-        for i in left.tolist():
-            k = right[(right > i) | (p != q)]
-            k = k[roots[k] != roots[i]]
-            if len(k):
-                ok = passes((regs[i] > regs[k]).sum(1), (regs[i] < regs[k]).sum(1), np.full(len(k), sizes[i]), sizes[k], threshold)
-                found += [(i, x) for x in k[ok].tolist()]
-        if not found:
-            return None
-        names = t.column("node").to_pylist()
-        pairs = {tuple(sorted((names[i], names[k]))) for i, k in found}
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*sorted(pairs))], ["a", "b"])
+    def tested(i: np.ndarray, k: np.ndarray, regs, sizes, names) -> pa.RecordBatch:
+        ok = (regs[i] == regs[k]).sum(1) >= few
+        i, k = i[ok], k[ok]
+        ok = passes((regs[i] > regs[k]).sum(1), (regs[i] < regs[k]).sum(1), sizes[i], sizes[k], threshold)
+        pairs = sorted({tuple(sorted((names[x], names[y]))) for x, y in zip(i[ok].tolist(), k[ok].tolist())})
+        columns = zip(*pairs) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["a", "b"])
+
+    def compare(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        """Pairs within the groups between ``edges``; pairs of many small groups are tested together."""
+        regs, sizes, names = _matrix(table.column("regs")), table.column("n_shingles").to_numpy(), table.column("node").to_pylist()
+        roots = np.unique(table.column("root").to_pylist(), return_inverse=True)[1]
+        own, p, q = (table.column(k).to_numpy() for k in ("own", "p", "q"))
+        left, right, held = [], [], 0
+        for i, j in zip(edges, edges[1:]):
+            if j - i < 2:
+                continue
+            if p[i] == q[i]:
+                x, y = np.triu_indices(j - i, 1)
+            else:
+                x, y = (m.reshape(-1) for m in np.meshgrid(np.flatnonzero(own[i:j] == p[i]), np.flatnonzero(own[i:j] == q[i])))
+            x, y = x + i, y + i
+            apart = roots[x] != roots[y]
+            left.append(x[apart])
+            right.append(y[apart])
+            held += len(left[-1])
+            if held > 50_000:
+                yield tested(np.concatenate(left), np.concatenate(right), regs, sizes, names)
+                left, right, held = [], [], 0
+        if held:
+            yield tested(np.concatenate(left), np.concatenate(right), regs, sizes, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _ended(batches):
-            if batch is None:
-                table = rest
-            else:
-                table = pa.Table.from_batches([batch])
-                table = table if rest is None else pa.concat_tables([rest, table])
-            if table is None or not table.num_rows:
+            table = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not table:
                 continue
+            table = pa.concat_tables(table).combine_chunks()
             key = np.stack([table.column(k).to_numpy() for k in ("band", "p", "q")], 1)
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            full = len(edges) - 1 if batch is None else len(edges) - 2
-            for i, j in zip(edges[:full], edges[1 : full + 1]):
-                if j - i > 1 and (found := block(table.slice(i, j - i).combine_chunks())) is not None:
-                    yield found
-            rest = None if batch is None else table.slice(edges[full])
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+            if batch is None:
+                edges.append(len(key))
+            yield from compare(table, edges)
+            rest = table.slice(edges[-1])
 
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
