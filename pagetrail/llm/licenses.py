@@ -93,6 +93,7 @@ def rules() -> list[tuple[int, str, str, str, str, int, float]]:
     """Number, keyword, before, after, label, priority, confidence."""
     out = []
     for label, keyword, name, spdx in FAMILIES:
+        name = name.replace(VERSION + " ", VERSION + "(?: | v)")  # "version 3", "v 3", "v3"
         out += [(keyword, b, f"^(?:{name}){a}", label, p, c) for b, a, p, c in CITATIONS]
         out.append(("spdx", "", f"^spdx licen[sc]e identifier (?:{spdx})(?: |$)", label, 5, 1.0))
     return [(i, *rule) for i, rule in enumerate(out)]
@@ -108,7 +109,7 @@ def _rule_map(table: list) -> Column:
 
 def _count(words: Column) -> Column:
     """Words in a string joined by single spaces, which may end in one."""
-    bare = F.trim(words)
+    bare = F.trim(F.coalesce(words, F.lit("")))  # an empty match is null
     return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
 
 

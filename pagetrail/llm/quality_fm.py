@@ -116,11 +116,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.parts(number, value, offsets)[0].astype(np.float64), -30, 30)))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], sizes: dict[int, int], epochs: int = 6, rate: float = 0.1) -> Machine:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], sizes: dict[int, int], epochs: int = 12, rate: float = 0.1) -> Machine:
     """``rows``: label, feature numbers, values. ``sizes``: labelled rows of either label, for the weight of a row."""
     rng = np.random.default_rng(11)
     machine = Machine(0.0, np.zeros(SIZE, np.float32), rng.normal(0, 0.01, (SIZE, FACTORS)).astype(np.float32))
     if not rows:
+        machine.v[:] = 0
         return machine
     rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     own = {k: sum(r[0] == k for r in rows) for k in (0, 1)}
