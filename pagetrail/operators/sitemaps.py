@@ -12,7 +12,8 @@ from ..session import materialize, spread
 from .ordering import first_seen_distinct, ordinal
 from .robots import robots_sitemaps
 
-MAX_INDEX_DEPTH = 10
+#: Local names count, whatever prefix a file gives them.
+XML = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 
 
 def existing_sitemaps(candidates: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -49,22 +50,21 @@ def parse_sitemap_docs(docs: DataFrame) -> DataFrame:
     A document with children is an index and lists no entries of its own. A ``lastmod``
     that is no timestamp does not spoil the file; text that is no sitemap lists nothing.
     """
-    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, {"mode": "PERMISSIVE"}).alias("_d"))
+    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, XML).alias("_d"))
     is_index = F.coalesce(F.size("_d.sitemap"), F.lit(0)) > 0
     locs = F.when(is_index, F.col("_d.sitemap.loc")).otherwise(F.col("_d.url.loc"))
     rows = parsed.select("url", is_index.alias("is_index"), F.posexplode_outer(locs).alias("pos", "loc"))
     return rows.filter(F.coalesce(F.col("loc"), F.lit("")) != "")
 
 
-def expand_sitemap_index(
-    roots: DataFrame, children: DataFrame, max_depth: int = MAX_INDEX_DEPTH
-) -> DataFrame:
+def expand_sitemap_index(roots: DataFrame, children: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, path, url): the roots and every document below them.
 
     ``path`` is the list of positions from the root, so sorting by it gives document
     order. One pass per index level; a document that is its own ancestor is not entered
     again, and of equal documents on one level the first is kept, so cycles and shared
-    children end.
+    children end; the passes end with the first empty level, or after ``max_depth`` if given.
+    Runs a job for each level.
     """
     start = roots.select(
         F.col("url").alias("root"),
@@ -74,7 +74,7 @@ def expand_sitemap_index(
     ).distinct()
     edges = children.select(F.col("url").alias("_parent"), "pos", F.col("loc").alias("_child"))
     levels, level = [start], start
-    for _ in range(max_depth):
+    while max_depth is None or len(levels) <= max_depth:
         below = (
             level.join(edges, level["url"] == edges["_parent"])
             .filter(~F.array_contains("_above", F.col("_child")))
@@ -95,7 +95,7 @@ def expand_sitemap_index(
     return out.select("root", "path", "url")
 
 
-def parse_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int = MAX_INDEX_DEPTH) -> DataFrame:
+def parse_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, path, loc): every URL listed below each root, in document order of ``path``."""
     # XML is parsed once; every level of the walk then reads the narrow listing.
     listing, _ = materialize(parse_sitemap_docs(docs))
@@ -109,7 +109,7 @@ def parse_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int = MAX_INDEX
 
 def crawl_sitemaps(
     requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs: DataFrame,
-    fallback: DataFrame | None = None, max_depth: int = MAX_INDEX_DEPTH,
+    fallback: DataFrame | None = None, max_depth: int | None = None,
 ) -> DataFrame:
     """(job_id, ord, url): the distinct URLs of all the job's sitemaps, first place wins.
     No clean-up, skip or same-site rule applies to them."""
@@ -117,7 +117,7 @@ def crawl_sitemaps(
     return sitemap_urls(found, docs, max_depth)
 
 
-def sitemap_urls(found: DataFrame, docs: DataFrame, max_depth: int = MAX_INDEX_DEPTH) -> DataFrame:
+def sitemap_urls(found: DataFrame, docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """As :func:`crawl_sitemaps`, from sitemaps ``found(job_id, ord, url)`` already."""
     listed = parse_sitemaps(found.select("url").distinct(), docs, max_depth)
     per_job = found.withColumnRenamed("url", "root").join(listed, "root")
@@ -130,7 +130,7 @@ def sitemap_urls(found: DataFrame, docs: DataFrame, max_depth: int = MAX_INDEX_D
 
 def sitemap_counts(docs: DataFrame) -> DataFrame:
     """(url, n_urls, n_sitemaps) per document, zeros included; counted inside the row."""
-    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, {"mode": "PERMISSIVE"}).alias("_d"))
+    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, XML).alias("_d"))
     n_children = F.greatest(F.coalesce(F.size("_d.sitemap"), F.lit(0)), F.lit(0))
     listed = F.size(F.filter("_d.url.loc", lambda s: F.coalesce(s, F.lit("")) != ""))
     n_urls = F.greatest(F.coalesce(listed, F.lit(0)), F.lit(0))

@@ -206,3 +206,15 @@ def test_crawl_result_parts(spark):
     assert [rows["j", p]["urls"] for p in range(3)] == [["u1", "u2", "u3"], ["u4", "u5", "u6"], ["u7"]]
     assert rows["j", 0]["urls_per_second"] == 3.5 and rows["j", 0]["total_urls"] == 7
     assert rows["k", 0]["urls"] == [] and rows["k", 0]["total_urls"] == 0
+
+
+def test_deep_index_and_prefixed_sitemap(spark):
+    """A chain of 15 indexes ends in a file whose elements carry a prefix."""
+    from pagetrail.operators import sitemaps
+
+    docs = [(f"s{k}", f"<sitemapindex><sitemap><loc>s{k + 1}</loc></sitemap></sitemapindex>") for k in range(15)]
+    docs.append(("s15", '<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9"><sm:url><sm:loc>u</sm:loc></sm:url></sm:urlset>'))
+    docs = spark.createDataFrame(docs, "url string, body string")
+    roots = spark.createDataFrame([("s0",)], "url string")
+    assert [r.loc for r in sitemaps.parse_sitemaps(roots, docs).collect()] == ["u"]
+    assert sitemaps.parse_sitemaps(roots, docs, max_depth=3).count() == 0
