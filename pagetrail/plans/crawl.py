@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import (
-    DEFAULT_MAX_URLS, MAX_URLS_LIMIT, html_tier_enabled, needs_headless_tier, needs_html_tier, sitemap_tier_enabled,
+    MAX_URLS_LIMIT, html_tier_enabled, needs_headless_tier, needs_html_tier, sitemap_tier_enabled,
 )
 from ..functions.urls import canonical_url, host_of, site_hosts, site_root
 from ..operators.fallback import first_accessible
@@ -25,6 +25,7 @@ from ..session import materialize
 
 RESULT_PART = MAX_URLS_LIMIT
 HOT_PAGE = 1000  # jobs that read one page at one level, beyond which the page is read in shares
+NO_LIMIT = (1 << 31) - 1  # what a null max_urls stands for
 
 
 def crawl_html(requests: DataFrame, links: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def crawl_html(requests: DataFrame, links: DataFrame) -> DataFrame:
     ``links(src, pos, dst)``, breadth first in the order (depth, parent, position).
 
     The seed is read at depth 1 and listed only when linked. A URL found at depth d is
-    followed while d < ``depth``. A job stops at ``max_urls``; the URL that reaches the
+    followed while d < ``depth``. A job stops at ``max_urls`` (null: no limit); the URL that reaches the
     cap is listed and nothing after it is read.
     """
     return _walk(requests, links)[0]
@@ -44,7 +45,7 @@ def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         "job_id",
         canonical_url(F.col("url")).alias("url"),
         F.greatest(F.coalesce("depth", F.lit(1)), F.lit(1)).alias("_depth"),
-        F.coalesce("max_urls", F.lit(DEFAULT_MAX_URLS)).alias("_max"),
+        F.coalesce("max_urls", F.lit(NO_LIMIT)).alias("_max"),
     ).filter((F.col("_max") > 0) & F.col("url").isNotNull())
     is_small = F.col("_max") <= SMALL_GROUP
     seeds, info = materialize(

@@ -218,3 +218,11 @@ def test_deep_index_and_prefixed_sitemap(spark):
     roots = spark.createDataFrame([("s0",)], "url string")
     assert [r.loc for r in sitemaps.parse_sitemaps(roots, docs).collect()] == ["u"]
     assert sitemaps.parse_sitemaps(roots, docs, max_depth=3).count() == 0
+
+
+def test_null_max_urls_is_no_limit(spark):
+    from pagetrail.plans.crawl import crawl_html
+
+    request = spark.createDataFrame([("j", SITE + "/", 1, None)], "job_id string, url string, depth int, max_urls int")
+    links = spark.createDataFrame([(SITE + "/", k, f"{SITE}/p{k}") for k in range(1500)], LINK)
+    assert crawl_html(request, links).count() == 1500
