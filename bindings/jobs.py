@@ -60,20 +60,26 @@ def rejected_requests(t):
     return _requests(t)[1].select("o_orderkey", "reason")
 
 
-@query("accepted_requests", """
-SELECT CAST(o_orderkey + o_custkey AS STRING) AS job_id, o_orderkey FROM orders
-WHERE CAST(o_orderkey + o_custkey AS STRING) NOT IN (SELECT id FROM job WHERE status = 'running')""", ("job",))
+_ASKED = """
+asked AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 2 + o_custkey % 7 AS STRING) END AS job_id, o_orderkey FROM orders),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY o_orderkey) AS n FROM asked),
+judged AS (SELECT job_id, o_orderkey, job_id IS NOT NULL AND (n > 1 OR job_id IN (SELECT id FROM job)) AS clash FROM ranked)"""
+
+
+def _judged(t):
+    key = (F.col("o_orderkey") * 2 + F.col("o_custkey") % 7).cast("string")
+    asked = t.orders.select(F.when(F.col("o_orderkey") % 11 != 0, key).alias("job_id"), "o_orderkey")
+    return jobs.reject_duplicate_jobs(asked, t.job, ["o_orderkey"])
+
+
+@query("accepted_requests", _ASKED + " SELECT job_id, o_orderkey FROM judged WHERE NOT clash", ("job",))
 def accepted_requests(t):
-    asked = t.orders.select((F.col("o_orderkey") + F.col("o_custkey")).cast("string").alias("job_id"), "o_orderkey")
-    return jobs.reject_duplicate_jobs(asked, t.job.filter("status = 'running'"))[0]
+    return _judged(t)[0]
 
 
-@query("conflicting_requests", """
-SELECT CAST(o_orderkey + o_custkey AS STRING) AS job_id, o_orderkey FROM orders
-WHERE CAST(o_orderkey + o_custkey AS STRING) IN (SELECT id FROM job WHERE status = 'running')""", ("job",))
+@query("conflicting_requests", _ASKED + " SELECT job_id, o_orderkey FROM judged WHERE clash", ("job",))
 def conflicting_requests(t):
-    asked = t.orders.select((F.col("o_orderkey") + F.col("o_custkey")).cast("string").alias("job_id"), "o_orderkey")
-    return jobs.reject_duplicate_jobs(asked, t.job.filter("status = 'running'"))[1]
+    return _judged(t)[1]
 
 
 # -- job table ----------------------------------------------------------------------

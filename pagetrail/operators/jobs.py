@@ -38,13 +38,15 @@ def lookup_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     return jobs.join(ids.select("id").distinct(), "id", "left_semi").select(*jobs.columns)
 
 
-def reject_duplicate_jobs(requests: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, conflicts): a caller's job_id that is known already is a conflict."""
-    known = jobs.select(F.col("id").alias("job_id"))
-    return (
-        requests.join(known, "job_id", "left_anti").select(*requests.columns),
-        requests.join(known, "job_id", "left_semi").select(*requests.columns),
-    )
+def reject_duplicate_jobs(requests: DataFrame, jobs: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, conflicts): a caller's job_id that is known already is a conflict, and so is one that an earlier
+    request of the batch has taken. ``order`` names the columns of arrival, unique per request. No job_id, no conflict."""
+    known = jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("_known")).distinct()
+    first = requests.groupBy("job_id").agg(F.min(F.struct(*order)).alias("_first"))
+    marked = requests.join(known, "job_id", "left").join(first, "job_id", "left")
+    taken = F.coalesce("_known", F.lit(False)) | ~F.struct(*order).eqNullSafe(F.col("_first"))
+    clash = F.col("job_id").isNotNull() & taken
+    return marked.filter(~clash).select(*requests.columns), marked.filter(clash).select(*requests.columns)
 
 
 def parse_limit(text: str | None) -> int:
