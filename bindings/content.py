@@ -10,7 +10,7 @@ from pagetrail.operators import access_log, content, fallback, fetching
 from pagetrail.sources import inputs
 
 from .registry import query
-from .urls import LINKS, TRIM, _ERROR, _FALLBACKS
+from .urls import LINKS, TRIM, _ERROR, _FALLBACKS, start_sql
 
 W = r"[\t\n\f\r ]"
 
@@ -263,10 +263,10 @@ def order_by_index(t):
     return order_by_index(_targets(t))
 
 
-@query("fetch_preview", LINKS + """,
+@query("fetch_preview", LINKS + f""",
 n AS (SELECT page_id, count(*) AS n FROM link GROUP BY 1)
 SELECT a.page_id, a.attempt, CAST(strlen(body) AS INTEGER) AS n_bytes, status_code, content_type,
-  CASE WHEN strlen(body) > 200 THEN left(body, 200) || '...' ELSE body END AS preview,
+  {start_sql("body", 200, "...")} AS preview,
   CAST(CASE WHEN body = '  tiny ' THEN 0 ELSE coalesce(n.n, 0) END AS INTEGER) AS n_links
 FROM attempt a LEFT JOIN n ON a.page_id = n.page_id""", ("attempt",))
 def fetch_preview(t):

@@ -69,6 +69,7 @@ def split_lines(t):
 _REFS = [
     "/a/../b/./c", "../x?y=1", "./n.html#top", "sub/page", "?q=2", "#frag", "", "//other.example.net/z?k",
     "HTTPS://U:p@Other.Example.com:8080/A%20b/..", "mailto:a@example.com", "../../../up/", "a b/%C3%A9", "x/%zz",
+    "/a%FE", "/a%FF",
 ]
 _REFS_SQL = "[" + ", ".join(f"'{r}'" for r in _REFS) + "]"
 # With path "/lang/name" or "/lang/name/": the directory and its parent.
@@ -83,7 +84,7 @@ resolved AS (SELECT page_id, ref, CASE ref
     WHEN '' THEN root || path || query WHEN '//other.example.net/z?k' THEN split_part(root, ':', 1) || '://other.example.net/z?k'
     WHEN 'HTTPS://U:p@Other.Example.com:8080/A%20b/..' THEN 'https://U:p@Other.Example.com:8080/'
     WHEN 'mailto:a@example.com' THEN 'mailto:a@example.com' WHEN '../../../up/' THEN root || '/up/'
-    WHEN 'a b/%C3%A9' THEN root || dir || 'a b/%C3%A9' ELSE root || dir || 'x/%zz' END AS absolute FROM refs)"""
+    WHEN 'a b/%C3%A9' THEN root || dir || 'a b/%C3%A9' WHEN '/a%FE' THEN root || '/a%FE' WHEN '/a%FF' THEN root || '/a%FF' ELSE root || dir || 'x/%zz' END AS absolute FROM refs)"""
 
 
 def _resolved(t):
@@ -97,11 +98,11 @@ def resolve_url(t):
 
 
 @query("canonical_url", _RESOLVED + """,
-joined AS (SELECT page_id, ref, replace(replace(replace(replace(absolute, 'U:p@', ''), '%20', ' '), '%C3%A9', 'é'), 'mailto:a@', 'mailto:a@') AS c FROM resolved)
-SELECT page_id, ref, c AS canonical FROM joined WHERE c NOT LIKE '%\\%zz' ESCAPE '\\' AND c LIKE 'http%'""", ("p",))
+joined AS (SELECT page_id, ref, replace(replace(replace(absolute, 'U:p@', ''), '%20', ' '), '%C3%A9', 'é') AS c FROM resolved)
+SELECT page_id, ref, CASE ref WHEN 'x/%zz' THEN NULL WHEN '#frag' THEN '://' WHEN 'mailto:a@example.com' THEN 'mailto://a@example.com'
+  ELSE c END AS canonical FROM joined""", ("p",))
 def canonical_url(t):
-    out = _resolved(t).select("page_id", "ref", urls.canonical_url(F.col("absolute")).alias("canonical"))
-    return out.filter(F.col("canonical").isNotNull() & F.col("canonical").startswith("http"))
+    return _resolved(t).select("page_id", "ref", urls.canonical_url(F.col("absolute")).alias("canonical"))
 
 
 @query("canonical_page_url", "SELECT page_id, split_part(url, '#', 1) AS canonical FROM pages")
@@ -258,12 +259,16 @@ def allowed_domains(t):
 
 
 @query("robots_allowed", """
-u AS (SELECT page_id, s, root, url || '/' || CAST(page_id AS STRING) AS url FROM site_page)
-SELECT page_id, url, CASE WHEN NOT starts_with(url, root || '/p/1') THEN true
+https AS (SELECT page_id, s, root, url || '/' || CAST(page_id AS STRING) AS url FROM site_page),
+u AS (SELECT * FROM https UNION ALL SELECT page_id, s, 'http' || substr(root, 6), 'http' || substr(url, 6) FROM https)
+SELECT page_id, url, CASE WHEN starts_with(url, 'http:') THEN NOT starts_with(url, root || '/p/2') WHEN NOT starts_with(url, root || '/p/1') THEN true
   WHEN starts_with(url, root || '/p/1' || CAST(s % 10 AS STRING)) THEN true ELSE false END AS allowed FROM u""", ("site",))
 def robots_allowed(t):
     pages = t.site_page.select("page_id", F.concat("url", F.lit("/"), F.col("page_id").cast("string")).alias("url"))
-    return robots.robots_allowed(pages, t.robots_doc.select("base_url", "body"))
+    plain = F.regexp_replace("url", "^https", "http").alias("url")
+    files = t.robots_doc.select("base_url", "body")
+    other = files.select(F.regexp_replace("base_url", "^https", "http"), F.lit("User-agent: *\nDisallow: /p/2"))
+    return robots.robots_allowed(pages.union(pages.select("page_id", plain)), files.union(other))
 
 
 # -- statuses and requests ----------------------------------------------------------
@@ -348,16 +353,25 @@ def duration_seconds(t):
     return t.pages.select("page_id", F.when(seconds == 0, 0.0).otherwise(seconds).alias("seconds"))
 
 
-@query("rate", "SELECT o_orderkey, o_totalprice / 7.0 AS rate FROM orders WHERE true")
+@query("rate", "SELECT o_orderkey, o_totalprice / 7.0 AS rate, printf('%.2f', o_totalprice / 7.0) AS shown FROM orders")
 def rate(t):
-    return t.orders.select("o_orderkey", F.try_divide("o_totalprice", F.lit(7.0)).alias("rate"))
+    per_day = F.try_divide("o_totalprice", F.lit(7.0))
+    return t.orders.select("o_orderkey", per_day.alias("rate"), text.rate_text(per_day).alias("shown"))
 
 
-@query("truncate_text", """
-SELECT doc_id, CASE WHEN strlen(text) > 200 THEN left(text, 200) || '...' ELSE text END AS short,
-  CASE WHEN strlen(text) > 500 THEN left(text, 500) || '... [truncated]' ELSE text END AS longer FROM documents""")
+def start_sql(s: str, n: int, marker: str) -> str:
+    """SQL for ``s``, or plus ``marker`` the most characters of it that take at most ``n`` bytes."""
+    most = f"left({s}, len(list_filter(range(1, {n} + 1), lambda i: strlen(left({s}, i)) <= {n})))"
+    return f"CASE WHEN strlen({s}) <= {n} THEN {s} WHEN strlen(left({s}, {n})) = {n} THEN left({s}, {n}) || '{marker}' ELSE {most} || '{marker}' END"
+
+
+@query("truncate_text", f"""
+texts AS (SELECT doc_id, text AS s FROM documents UNION ALL SELECT -1 - doc_id, 'a' || replace(left(text, 300), 'e', 'é€') FROM documents)
+SELECT doc_id, {start_sql("s", 200, "...")} AS short, {start_sql("s", 500, "... [truncated]")} AS longer FROM texts""")
 def truncate_text(t):
-    return t.documents.select(
+    wide = F.concat(F.lit("a"), F.replace(F.left("text", F.lit(300)), F.lit("e"), F.lit("é€")))
+    texts = t.documents.select("doc_id", "text").unionAll(t.documents.select(-1 - F.col("doc_id"), wide))
+    return texts.select(
         "doc_id", text.truncate(F.col("text"), 200).alias("short"), text.truncate(F.col("text"), 500, "... [truncated]").alias("longer")
     )
 

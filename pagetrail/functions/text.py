@@ -52,8 +52,15 @@ def split_lines(s: Column) -> Column:
 
 
 def truncate(s: Column, n: int, marker: str = "...") -> Column:
-    """``s``, or its first ``n`` characters plus ``marker`` when it is longer than ``n`` bytes."""
-    return F.when(F.octet_length(s) > n, F.concat(F.left(s, F.lit(n)), F.lit(marker))).otherwise(s)
+    """``s``, or plus ``marker`` its longest start of whole characters within ``n`` bytes, when it is longer than that."""
+    raw = s.cast("binary")
+
+    def continues(at: int) -> Column:
+        """The byte at ``at`` (from 1) belongs to the character before it; the first one never does."""
+        return F.hex(F.substring(raw, at, 1)).rlike("^[89AB]")
+
+    end = F.when(~continues(n + 1), n).when(~continues(n), n - 1).when(~continues(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(s) > n, F.concat(raw.substr(F.lit(1), end).cast("string"), F.lit(marker))).otherwise(s)
 
 
 def markdown_size(md: Column) -> Column:

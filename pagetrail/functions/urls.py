@@ -123,10 +123,10 @@ def resolve_url(base: Column, href: Column) -> Column:
 
 
 def decode_path(path: Column) -> Column:
-    """Percent-decoded path; null for a bad escape."""
-    return F.when(
-        path.contains("%"), F.try_url_decode(F.regexp_replace(path, r"\+", "%2B"))
-    ).otherwise(path)
+    """Percent-decoded path; null for a bad escape. A path whose bytes are no UTF-8 text stays as written, since
+    decoding would give different pages one address."""
+    decoded = F.try_url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    return F.when(path.contains("%"), F.when(decoded.contains("\ufffd"), path).otherwise(decoded)).otherwise(path)
 
 
 def canonical_parts(parts: UrlParts) -> Column:

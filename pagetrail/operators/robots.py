@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines, trim_u
-from ..functions.urls import host_of, url_parts
+from ..functions.urls import site_root, url_parts
 
 
 def robots_sitemaps(robots: DataFrame, mode: str = "raw") -> DataFrame:
@@ -81,13 +81,14 @@ def robots_rules(robots: DataFrame, user_agent: str = "*") -> DataFrame:
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = "*") -> DataFrame:
     """``urls`` with ``allowed``: the longest matching prefix decides, Allow on a tie; a URL
-    without a matching rule is allowed. Each URL meets the one rule array of its site."""
-    rules = robots_rules(robots, user_agent).select(host_of(F.col("base_url")).alias("_host"), "rules")
-    rules = rules.groupBy("_host").agg(F.first("rules").alias("rules"))
+    without a matching rule is allowed. Each URL meets the one rule array of its site, which is scheme and host;
+    of several files of a site the one whose text sorts last counts."""
+    files = robots.groupBy(site_root(F.col("base_url")).alias("base_url")).agg(F.max("body").alias("body"))
+    rules = robots_rules(files, user_agent).select(F.col("base_url").alias("_site"), "rules")
     parts = url_parts(F.col("url"))
     path = F.when(parts.path == "", "/").otherwise(parts.path)
     target = F.concat(path, F.coalesce(F.concat(F.lit("?"), parts.query), F.lit("")))
-    joined = urls.withColumn("_host", host_of(F.col("url"))).withColumn("_target", target).join(rules, "_host", "left")
+    joined = urls.withColumn("_site", site_root(F.col("url"))).withColumn("_target", target).join(rules, "_site", "left")
     hits = F.transform(
         F.filter("rules", lambda r: F.startswith(F.col("_target"), r["prefix"])),
         lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow")),

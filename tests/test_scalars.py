@@ -91,7 +91,7 @@ def test_sizes(apply):
     check(apply, text.enough_markdown, [(" " + "x" * 100 + "\n", False), ("x" * 101, True), ("é" * 51, True), (None, False)])
     check(apply, text.enough_html, [("x" * 99, False), ("x" * 100, True), ("é" * 50, True)])
     check(apply, text.markdown_size, [("éa", 3), ("", 0), (None, 0)])
-    check(apply, lambda s: text.truncate(s, 5), [("abcde", "abcde"), ("abcdef", "abcde...")])
+    check(apply, lambda s: text.truncate(s, 5), [("abcde", "abcde"), ("abcdef", "abcde..."), ("aéé", "aéé"), ("ééé", "éé..."), ("ab€€", "ab€..."), ("a😀😀", "a😀...")])
 
 
 def test_job_id(apply):

@@ -91,9 +91,9 @@ def test_job_lists(spark):
     recovered = jobs.recover_jobs(many, F.timestamp_seconds(F.lit(9)))
     assert recovered.filter("status = 'failed'").count() == 30 and recovered.filter(F.col("error") == jobs.INTERRUPTED).count() == 15
     assert dict(rows(jobs.jobs_summary(many), "status", "n_jobs")) == {"running": 15, "failed": 15}
-    asked = spark.createDataFrame([("1",), ("99",)], "job_id string")
-    accepted, conflicts = jobs.reject_duplicate_jobs(asked, many)
-    assert rows(accepted, "job_id") == [("99",)] and rows(conflicts, "job_id") == [("1",)]
+    asked = spark.createDataFrame([("1", 0), ("99", 2), ("99", 1), (None, 3), (None, 4)], "job_id string, at int")
+    accepted, conflicts = jobs.reject_duplicate_jobs(asked, many, ["at"])
+    assert sorted(r["at"] for r in accepted.collect()) == [1, 3, 4] and sorted(r["at"] for r in conflicts.collect()) == [0, 2]
 
 
 def fetch(url, tier, attempt, status, ctype="text/html", body="", error=None):
