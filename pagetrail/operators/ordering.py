@@ -11,7 +11,6 @@ from ..session import materialize
 
 # A window sorts one group in one task. That is fine for groups known to be this small.
 SMALL_GROUP = 2 * MAX_URLS_LIMIT
-SALTS = 32
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower 33
 
 
@@ -51,20 +50,6 @@ def ordinal(
     )
 
 
-def first_per_group(df: DataFrame, group: list[str], order: list[str], n: int, salt_by: str, name: str = "_rank") -> DataFrame:
-    """The first ``n`` rows of each group by ``order``, ranked 1..n in ``name``; ``n`` is small.
-
-    The constant bound cuts each group on the map side. The salted pass before it keeps
-    what reaches the one task of a hot group at ``SALTS * n`` rows, however many
-    partitions hold rows of it.
-    """
-    salted = df.withColumn("_salt", F.pmod(F.hash(salt_by), F.lit(SALTS)))
-    near = Window.partitionBy(*group, "_salt").orderBy(*_columns(order))
-    salted = salted.withColumn(name, F.row_number().over(near)).filter(F.col(name) <= n).drop("_salt")
-    whole = Window.partitionBy(*group).orderBy(*_columns(order))
-    return salted.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= n)
-
-
 def first_seen_distinct(df: DataFrame, keys: list[str], order: str, *carry: str) -> DataFrame:
     """First occurrence per key by ``order``; ``carry`` columns come from that row.
 

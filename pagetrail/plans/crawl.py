@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import (
@@ -18,7 +18,7 @@ from ..functions.checks import (
 from ..functions.urls import canonical_url, host_of, site_hosts, site_root
 from ..operators.fallback import first_accessible
 from ..operators.links import new_only
-from ..operators.ordering import SMALL_GROUP, first_per_group, ordinal, truncate_urls
+from ..operators.ordering import ordinal, truncate_urls
 from ..operators.robots import robots_sitemaps
 from ..operators.sitemaps import discover_sitemaps, sitemap_urls
 from ..session import materialize
@@ -47,7 +47,6 @@ def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         F.greatest(F.coalesce("depth", F.lit(1)), F.lit(1)).alias("_depth"),
         F.coalesce("max_urls", F.lit(NO_LIMIT)).alias("_max"),
     ).filter((F.col("_max") > 0) & F.col("url").isNotNull())
-    is_small = F.col("_max") <= SMALL_GROUP
     seeds, info = materialize(
         limits.withColumns(
             {
@@ -57,18 +56,12 @@ def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
             }
         ),
         deepest=F.max("_depth"),
-        room=F.max(F.when(is_small, F.col("_max"))),
-        large=F.count_if(~is_small),
     )
-    by_host = links.select("src", "pos", "dst", host_of(F.col("dst")).alias("host"))
     levels, largest = [], 0
-    if info["room"]:
-        room = info["room"]
-        near = _first_links(by_host, room)
-        levels, largest = _levels(seeds.filter(is_small), info["rows"], near, info["deepest"], lambda found: _admit_small(found, room))
-    if info["large"]:
-        more, most = _levels(seeds.filter(~is_small), info["large"], by_host, info["deepest"], _admit_large)
-        levels, largest = levels + more, max(largest, most)
+    if info["rows"]:
+        # written once, so that a level neither parses pages nor takes addresses apart
+        by_host, _ = materialize(links.select("src", "pos", "dst", host_of(F.col("dst")).alias("host")))
+        levels, largest = _levels(seeds, info["rows"], by_host, info["deepest"])
     if not levels:
         empty = seeds.limit(0)
         return empty.select("job_id", F.col("_listed").alias("ord"), F.col("_depth").alias("depth"), "url"), 0
@@ -78,9 +71,8 @@ def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     return rows.select("job_id", "ord", "depth", "url"), largest
 
 
-def _levels(seeds: DataFrame, at_most: int, links: DataFrame, deepest: int, admit) -> tuple[list[DataFrame], int]:
-    """The listed URLs level by level. ``admit`` numbers what a level found after what the
-    job lists already, drops what is over the job's cap, and counts it all in ``_listed``."""
+def _levels(seeds: DataFrame, at_most: int, links: DataFrame, deepest: int) -> tuple[list[DataFrame], int]:
+    """The listed URLs level by level, and the URL count of the largest job."""
     frontier, known, levels, largest = seeds, None, [], 0
     for depth in range(1, deepest + 1):
         found = _read_pages(frontier, links, at_most).groupBy("job_id", F.col("dst").alias("url")).agg(
@@ -89,7 +81,7 @@ def _levels(seeds: DataFrame, at_most: int, links: DataFrame, deepest: int, admi
         )
         if known is not None:
             found = new_only(found, known)
-        level, seen = materialize(admit(found).withColumn("depth", F.lit(depth)), largest=F.max("_listed"))
+        level, seen = materialize(_admit(found).withColumn("depth", F.lit(depth)), largest=F.max("_listed"))
         if not seen["rows"]:
             break
         levels.append(level)
@@ -101,24 +93,6 @@ def _levels(seeds: DataFrame, at_most: int, links: DataFrame, deepest: int, admi
     return levels, largest
 
 
-def _first_links(links: DataFrame, room: int) -> DataFrame:
-    """``links`` without those that no job can get to.
-
-    A job that lists at most ``room`` URLs takes at most ``room`` new ones from a page, and
-    at most ``room`` others there can be known already: on each host it needs the first
-    ``2 * room`` distinct targets of a page. Only pages with more links than that are
-    touched; for the others this is a count per page.
-    """
-    enough = 2 * room
-    page = ["src", "host"]
-    heavy, seen = materialize(links.groupBy(*page).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > enough).select(*page))
-    if not seen["rows"]:
-        return links
-    targets = links.join(heavy, page, "left_semi").groupBy(*page, "dst").agg(F.min("pos").alias("pos"))
-    kept, _ = materialize(first_per_group(targets, page, ["pos"], enough, "dst").select(*links.columns))
-    return links.join(heavy, page, "left_anti").select(*links.columns).unionByName(kept)
-
-
 def _read_pages(frontier: DataFrame, links: DataFrame, at_most: int) -> DataFrame:
     """Frontier rows with the links of their page to the hosts of their job. The links of a
     page that very many jobs read at once are copied, and each copy serves its share of them.
@@ -139,18 +113,9 @@ def _read_pages(frontier: DataFrame, links: DataFrame, at_most: int) -> DataFram
     return readers.join(links, on)
 
 
-def _admit_small(found: DataFrame, room: int) -> DataFrame:
-    """For jobs that list at most ``room`` URLs, a small number."""
-    ranked = first_per_group(found, ["job_id"], ["_path"], room, "url").filter(F.col("_rank") <= F.col("_max") - F.col("_listed"))
-    return ranked.select(
-        "job_id", "url", "_path", "_depth", "_max", "_site",
-        (F.col("_listed") + F.col("_rank")).alias("ord"),
-        (F.col("_listed") + F.count(F.lit(1)).over(Window.partitionBy("job_id"))).alias("_listed"),
-    )
-
-
-def _admit_large(found: DataFrame) -> DataFrame:
-    """For jobs without a small cap: the same, with no job ever gathered in one task."""
+def _admit(found: DataFrame) -> DataFrame:
+    """Numbers what a level found after what the job lists already, drops what is over the job's cap, and counts it
+    all in ``_listed``. No job is ever gathered in one task."""
     ranked = ordinal(found, ["job_id"], ["_path"], "_rank").filter(F.col("_rank") <= F.col("_max") - F.col("_listed"))
     counts = ranked.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
     return ranked.join(counts, "job_id").select(
