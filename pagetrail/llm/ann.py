@@ -5,11 +5,13 @@ into ``BRANCH`` children until a leaf stands for ``LEAF`` vectors of the whole t
 reaches by the nearest child at each level. A query walks the tree through a priority queue: the node of least distance
 is opened, its children are queued, leaves come out in order. How many leaves a query visits is calibrated: on sample
 queries against brute force over the sample it widens until ``RECALL`` of the neighbours lie in visited leaves.
+The visits are made in rounds, ``FIRST`` leaves and then up to ``WIDEN`` times as many: the k-th distance that a query has
+after a round bounds what the next may send, so rows sent grow with the rounds and not with the leaves visited.
 
 Equal vectors are one *point* that carries its smallest ``k + 1`` ids: ties go to the smaller id, so a query needs no
 more of them, and a vector that very many rows share is compared once. Points of a leaf are dealt to cells of about
 ``CELL`` points, and each visited (query, leaf) goes to all cells of it; a cell's task measures in double precision,
-in blocks, and sends at most k rows for a query.
+in blocks, and sends at most k rows for a query, none farther than the query's bound.
 
 Vectors null, zero, or with null or non-finite components take no part; nor do those whose length is not the most common
 one. Null ids take no part. Rows that repeat an id and its vector count once. An empty table gives no rows.
@@ -18,6 +20,7 @@ one. Null ids take no part. Rows that repeat an id and its vector count once. An
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,7 @@ from .common import cut
 
 SAMPLE, BRANCH, LEAF, CELL = 20_000, 8, 100, 2000
 RECALL, TEST_QUERIES = 0.98, 100
+FIRST, WIDEN = 16, 64
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -105,13 +109,16 @@ class Tree:
             for d, k in zip(((np.stack([self.centres[k] for k in kids]) - q) ** 2).sum(1).tolist(), kids):
                 heapq.heappush(queue, (d, k))
 
-    def visited(self, q: np.ndarray) -> list[int]:
-        out = []
-        for leaf in self.walk(q):
-            out.append(leaf)
-            if len(out) >= self.visits:
-                break
-        return out
+    def visited(self, q: np.ndarray, start: int, stop: int) -> list[int]:
+        """Leaves ``start`` to ``stop`` of the walk."""
+        return list(itertools.islice(self.walk(q), start, stop))
+
+    def rounds(self) -> list[tuple[int, int]]:
+        """Ranges of the walk that are visited together."""
+        edges = [0, min(FIRST, self.visits)]
+        while edges[-1] < self.visits:
+            edges.append(min(edges[-1] * WIDEN, self.visits))
+        return list(zip(edges, edges[1:]))
 
     def calibrate(self, x: np.ndarray, k: int, recall: float = RECALL) -> None:
         """Least number of leaves that holds ``recall`` of the k nearest sample vectors of sample queries."""
@@ -169,27 +176,29 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     # a row for each leaf of the tree, which the sample bounds
     cells = {r.leaf: -(-r["count"] // CELL) for r in placed.groupBy("leaf").count().collect()}
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                leaves = [(leaf, c) for leaf in tree.visited(np.array(batch.column(1)[i].as_py())) for c in range(cells.get(leaf, 0))]
-                if leaves:
-                    n = len(leaves)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([a for a, _ in leaves], pa.int64()),
-                            pa.array([c for _, c in leaves], pa.int32()),
-                            batch.column(0).take(pa.array([i] * n)),
-                            batch.column(1).take(pa.array([i] * n)),
-                        ],
-                        ["leaf", "cell", "query_id", "vec"],
-                    )
+    def dealer(start: int, stop: int):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    walked = tree.visited(np.array(batch.column(1)[i].as_py()), start, stop)
+                    leaves = [(leaf, c) for leaf in walked for c in range(cells.get(leaf, 0))]
+                    if leaves:
+                        same = pa.array([i] * len(leaves))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([a for a, _ in leaves], pa.int64()),
+                                pa.array([c for _, c in leaves], pa.int32()),
+                                *[column.take(same) for column in batch.columns],
+                            ],
+                            ["leaf", "cell", "query_id", "vec", "bound"],
+                        )
+
+        return deal
 
     # queries by row of the input: a point keeps few ids, its queries may be many
     vec = F.transform(F.col("embedding").cast("array<double>"), lambda v: v + F.lit(0.0))
     asked = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), vec.alias("vec")).distinct()
-    asked = asked.join(table.select("vec"), "vec", "left_semi").select("query_id", "vec")
-    dealt = asked.mapInArrow(deal, "leaf long, cell int, query_id long, vec array<double>")
+    asked = cut(asked.join(table.select("vec"), "vec", "left_semi").select("query_id", "vec"))
     sizes = F.create_map(*[F.lit(v) for pair in cells.items() for v in pair])
     cell = F.pmod(F.xxhash64(F.element_at("ids", 1)), sizes[F.col("leaf")]).cast("int")
     homed = placed.select("leaf", cell.alias("cell"), "vec", "ids")
@@ -199,20 +208,32 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         if left.num_rows and right.num_rows:
             have, ids = _matrix(left.column("vec").combine_chunks()), left.column("ids").to_pylist()
             want, asking = _matrix(right.column("vec").combine_chunks()), right.column("query_id").to_pylist()
+            bound = right.column("bound").to_numpy()
             count = min(k + 1, len(have))
             for a in range(0, len(want), 256):
                 rough = _squares(want[a : a + 256], have)
                 limit = np.partition(rough, count - 1, axis=1)[:, count - 1]
+                limit = np.minimum(limit, bound[a : a + 256] ** 2)
                 limit = limit * (1 + 1e-9) + 1e-12 * (want[a : a + 256] ** 2).sum(1)  # rounding may not lose a tie
                 for i, row in enumerate(rough):
                     near = np.flatnonzero(row <= limit[i])
                     exact = np.sqrt(((have[near] - want[a + i]) ** 2).sum(1)).tolist()
-                    own = sorted((d, v) for d, p in zip(exact, near.tolist()) for v in ids[p] if v != asking[a + i])[:k]
+                    own = sorted((d, v) for d, p in zip(exact, near.tolist()) for v in ids[p] if v != asking[a + i] and d <= bound[a + i])[:k]
                     found += [(asking[a + i], v, d) for d, v in own]
         columns = list(zip(*found)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names)
 
-    pairs = homed.groupBy("leaf", "cell").cogroup(dealt.groupBy("leaf", "cell")).applyInArrow(measure, OUT)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best, ranked = Window.partitionBy("query_id").orderBy("score", "vec_id"), None
+    for start, stop in tree.rounds():
+        if ranked is None:
+            bounded = asked.withColumn("bound", F.lit(float("inf")))
+        else:
+            kth = ranked.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+            bounded = asked.join(kth, "query_id", "left").select("query_id", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+        dealt = bounded.mapInArrow(dealer(start, stop), "leaf long, cell int, query_id long, vec array<double>, bound double")
+        found = homed.groupBy("leaf", "cell").cogroup(dealt.groupBy("leaf", "cell")).applyInArrow(measure, OUT)
+        found = found if ranked is None else found.unionByName(ranked.drop("rank"))
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if stop < tree.visits:
+            ranked = cut(ranked)
     return ranked.select("query_id", "rank", "vec_id", "score")
