@@ -36,11 +36,18 @@ SCALE, DECAY = 20.0, 1e-6
 #: For the start of the embeddings.
 CHANCE, GAIN = 5.0, 0.5
 BUCKETS, DIM = 1 << 19, 8
+#: Distinct words, and training texts, whose subwords are listed at once.
+WORDS, TEXTS = 1 << 14, 64
 THRESHOLD = 0.7
 
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each subword, and how many each word has; a word's subwords lie together."""
+    """Bucket of each subword, and how many each word has; a word's subwords lie together. Taken in blocks of words."""
+    parts = [_subwords(data, starts[i : i + WORDS], ends[i : i + WORDS]) for i in range(0, max(1, len(starts)), WORDS)]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(starts)
     length = ends - starts + 2
     first = np.cumsum(length) - length
@@ -59,7 +66,7 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
             who.append(owner[at])
     who = np.concatenate(who)
     order = np.argsort(who, kind="stable")
-    return (np.concatenate(found)[order] % U64(BUCKETS)).astype(np.int64), np.bincount(who, minlength=n)
+    return (np.concatenate(found)[order] % U64(BUCKETS)).astype(np.int32), np.bincount(who, minlength=n)
 
 
 def split(column: pa.Array):
@@ -138,10 +145,14 @@ def fit(rows: list[tuple[int, list[str]]], epochs: int = 5, rate: float = 0.06)
     # a subword of few texts would be learned by heart
     pair = np.unique(np.repeat(doc, np.diff(bounds)) * len(count) + word)
     own_word, own_doc = pair % len(count), pair // len(count)
-    known = np.repeat(own_doc, count[own_word]) * BUCKETS + bucket[ranges(place[own_word], count[own_word])]
-    known = np.unique(known)
-    texts = np.bincount(known % BUCKETS, minlength=BUCKETS)
-    toxic = np.bincount(known % BUCKETS, label[known // BUCKETS], BUCKETS)
+    texts, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    edges = np.searchsorted(own_doc, np.append(np.arange(0, len(rows), TEXTS), len(rows)))
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a < b:
+            n, w = count[own_word[a:b]], own_word[a:b]
+            known = np.unique(np.repeat(own_doc[a:b], n) * BUCKETS + bucket[ranges(place[w], n)])
+            texts += np.bincount(known % BUCKETS, minlength=BUCKETS)
+            toxic += np.bincount(known % BUCKETS, label[known // BUCKETS], BUCKETS)
     common, mean = texts >= MIN_TEXTS, label.mean()
     # the start: how many deviations a subword's toxic texts lie over what chance gives it, beyond CHANCE of them
     over = np.where(common, (toxic - texts * mean) / np.sqrt(np.maximum(texts, 1) * mean * (1 - mean) + 1e-9), 0)
@@ -209,8 +220,19 @@ def train(docs: DataFrame, labels: DataFrame, keep: Callable[[Column], Column] =
                     out.append([c.decode("utf-8", "replace") for c in cut_ if len(c) <= TRAIN_BYTES])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(out, pa.list_(pa.string()))], ["label", "segments"])
 
-    rows = sample.mapInArrow(run, "label int, segments array<string>").toArrow()
-    return fit(list(zip(rows["label"].to_pylist(), rows["segments"].to_pylist())))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        model = fit(rows)
+        arrays = [pa.array([np.ascontiguousarray(a).tobytes()]) for a in (model.table, model.out, model.bias)]
+        yield pa.RecordBatch.from_arrays(arrays, ["table", "out", "bias"])
+
+    # the bounded sample is fitted in a task, which a lost executor only repeats; the driver gets the model alone
+    segments = sample.mapInArrow(run, "label int, segments array<string>").coalesce(1)
+    got = segments.mapInArrow(learn, "table binary, out binary, bias binary").first()
+    if got is None:  # no task runs on a table without partitions
+        return fit([])
+    table, out = (np.frombuffer(b, np.float32).reshape(-1, n) for b, n in ((got.table, DIM), (got.out, 2)))
+    return Model(table, out, np.frombuffer(got.bias, np.float64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
