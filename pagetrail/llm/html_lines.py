@@ -179,29 +179,31 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def between(sizes: list[int], surge: int) -> list[tuple[int, int]]:
-    """Ranges of lines from a surge to its dive."""
+def between(sizes: list[int], surge: list[int], marked: list[bool]) -> list[tuple[int, int]]:
+    """Ranges of lines from a surge to its dive; ``surge`` is what a window holds that begins at the line."""
     n = len(sizes)
     window = [sum(sizes[i : i + WINDOW]) for i in range(n)]
-    out, i = [], 0
+    out, i, done = [], 0, 0
     while i < n:
-        if sizes[i] and window[i] >= surge:
+        if sizes[i] and window[i] >= surge[i]:
             j = i
             while j < n and window[j]:
                 j += 1
             first = i
-            while first > 0 and any(sizes[max(0, first - WINDOW + 1) : first]):
+            while first > done and (
+                any(sizes[max(0, first - WINDOW + 1) : first])
+                or first >= WINDOW and marked[first - WINDOW] and sizes[first - WINDOW]
+            ):
                 first -= 1  # short lines right before the surge belong to it
             out.append((first, j))
-            i = j
+            i = done = j
         i += 1
     return out
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    if any(text and marked for text, _, marked in lines):
-        return "\n".join(text for text, _, marked in lines if text and marked)
+    marked = [m for _, _, m in lines]
     sizes = [0 if linked else len(text) for text, linked, _ in lines]
     menu, i = [False] * len(lines), 0
     while i < len(lines):  # runs of links, whatever empty lines lie between
@@ -215,10 +217,15 @@ def main_text(page: str | None) -> str:
     for k, (text, linked, _) in enumerate(lines):
         if linked and not menu[k]:
             sizes[k] = len(text)
+    inside = sum(len(text) for text, _, m in lines if m)
+    trusted = inside > 0 and inside >= sum(size for size, m in zip(sizes, marked) if not m)
+    if trusted:
+        sizes = [len(line[0]) if line[2] else size for line, size in zip(lines, sizes)]
     fullest = max((sum(sizes[i : i + WINDOW]) for i in range(len(sizes))), default=0)
     if not fullest:
         return ""
-    kept = between(sizes, min(SURGE, fullest))
+    surge = [1 if trusted and m else min(SURGE, fullest) for m in marked]
+    kept = between(sizes, surge, marked)
     return "\n".join(lines[k][0] for a, b in kept for k in range(a, b) if sizes[k])
 
 

@@ -62,6 +62,28 @@ def test_surge_and_dive_without_landmarks():
     assert html_lines.main_text(page) == "Title\n" + ("A long first paragraph. " * 5).strip() + "\nSecond é one\nEnd."
 
 
+BODY = [f"Paragraph {k} of the body, " + "which has more to say than any teaser. " * 4 for k in range(4)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_marked_element_is_not_the_article():
+    body = [t.strip() for t in BODY]
+    cards = "".join(f"<article><h3><a href=/{k}>Teaser {k}</a></h3><p>Read on {k}.</p></article>" for k in range(3))
+    beside = f"<body><div class=left>{cards}</div><section><div>{paragraphs(BODY)}</div></section></body>"
+    assert html_lines.main_text(beside).split("\n") == body
+    headline = f"<body><main><h1>Only the headline</h1></main><div>{paragraphs(BODY)}</div></body>"
+    assert html_lines.main_text(headline).split("\n") == ["Only the headline", *body]
+    # a marked article takes nothing away either, and keeps its own short and linked lines
+    links = "".join(f"<li><a href=/{k}>Source {k}</a>" for k in range(3))
+    article = f"<article>{paragraphs(BODY)}<section><div><div><p>Short.</p></div></div></section><ul>{links}</ul></article>"
+    after = html_lines.main_text(f"<body>{article}<div><div><p>{BODY[0]}</p></div></div></body>").split("\n")
+    assert after == [*body, "Short.", "Source 0", "Source 1", "Source 2", body[0]]
+    assert html_lines.main_text("<body><article><p>Brief.</p></article></body>") == "Brief."
+
+
 def test_odd_pages(spark):
     html = [None, "", "   ", "<p>short</p>", "<p>a<b", "<!-- open", "<script>x", "<p class=\"x>y", "<a>" * 2000 + "deep", "&amp;&#233;&nbsp;x"]
     pages = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(html)], "page_id long, url string, html string, text string")
