@@ -11,7 +11,9 @@
    length or more: a window holds half of the longest passage at least, so of a leak it holds more than that.
 4. A candidate is verified on the window and its surroundings by the longest common subsequence with the passage: a leak
    if it covers ``EXACT`` of the passage, or ``LOOSE`` of it with the answer there: the passage's ``ANSWER`` words of
-   highest inverse frequency. Passages under ``SHORTEST`` words must stand there word by word.
+   highest inverse frequency.
+5. Passages under ``SHORTEST`` words, which other benchmark words in a window drown, are no candidates of the cosine:
+   they leak where they stand word by word, sought by the hash of the whole sequence at every word of every text.
 
 Texts never move: counting and search are maps. Passages go to the driver in parts of at most ``PART`` (by hash of the
 item), and each part has its own basis and search, so what a task holds is bounded whatever the benchmark's size.
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, chunks, cut, flat, slice_hash, words
+from .common import ALNUM, U64, chunks, cut, flat, mix, slice_hash, words
 
 BLOCK, LONGEST, STEP = 32, 96, 32
 COMMON = 0.35
@@ -151,6 +153,43 @@ def tf_idf(hashes: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray) -> np
     return np.bincount(number, minlength=len(vocabulary)) * weight
 
 
+class Grams:
+    """Sequences of words by the hash of the whole sequence."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+        self.sizes = {}
+        for size in sorted({len(own) for _, own in rows}):
+            number = np.array([p for p, own in rows if len(own) == size])
+            lists = np.array([own for _, own in rows if len(own) == size], U64)
+            key = self.hashes(lists.ravel(), size)[::size]
+            order = np.argsort(key, kind="stable")
+            self.sizes[size] = key[order], number[order], lists[order]
+
+    @staticmethod
+    def hashes(words_: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` words from each word on."""
+        out = np.zeros(max(0, len(words_) - size + 1), U64)
+        for k in range(size):
+            out = mix(out + words_[k : k + len(out)])
+        return out
+
+    def find(self, words_: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all places where a sequence stands within one text, and the numbers of the sequences."""
+        at, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size, (key, number, lists) in self.sizes.items():
+            distinct, first, times = np.unique(key, return_index=True, return_counts=True)
+            place, which = lookup(distinct, self.hashes(words_, size))
+            inside = place + size <= bounds[np.searchsorted(bounds, place, "right")]
+            place, which = place[inside], which[inside]
+            for k in range(int(times.max())):  # the k-th sequence of an equal hash
+                more = times[which] > k
+                row = first[which[more]] + k
+                same = (words_[place[more][:, None] + np.arange(size)] == lists[row]).all(axis=1)
+                at.append(place[more][same])
+                found.append(number[row[same]])
+        return np.concatenate(at), np.concatenate(found)
+
+
 class Finder:
     """Search for the passages of one part; sent to tasks, at most ``PART`` passages of ``LONGEST`` words large."""
 
@@ -163,6 +202,8 @@ class Finder:
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         self.lists, self.places, self.answers = [w.tolist() for w in lists], [], []
         idf = dict(zip(vocabulary.tolist(), weight.tolist()))
+        self.short = Grams([(p, own) for p, own in enumerate(lists) if len(own) < SHORTEST])
+        self.drawn = np.array([len(own) >= SHORTEST for own in lists], bool)
         for own in self.lists:
             place = {}
             for k, w in enumerate(own):
@@ -173,9 +214,6 @@ class Finder:
     def check(self, passage: int, context: list[int]) -> tuple[float, bool]:
         """Share of the passage in the longest common subsequence, and whether its answer is there."""
         own, place = self.lists[passage], self.places[passage]
-        if len(own) < SHORTEST:
-            found = any(context[k : k + len(own)] == own for k in range(len(context) - len(own) + 1))
-            return float(found), found
         full = (1 << len(own)) - 1
         row = full
         for w in context:
@@ -191,7 +229,8 @@ class Finder:
         begins, first, owner = blocks_of(bounds)
         out: list[dict] = [{} for _ in range(len(bounds) - 1)]
         at, number = lookup(self.used_vocabulary, hashes)
-        if not len(at) or not len(self.items):
+        exact = self.short.find(hashes, bounds)
+        if not len(at) and not len(exact[0]):
             return out
         block = np.searchsorted(begins, at, "right") - 1
         edge = np.flatnonzero(np.diff(block, prepend=-1))
@@ -203,12 +242,17 @@ class Finder:
         same = np.append(owner[1:] == owner[:-1], False)
         sums[:-1][same] += sums[1:][same]  # a window is a block and the next; going up, the next is not yet a window
         norm = np.linalg.norm(sums[:-1], axis=1)
+        for k, p in zip(*exact):  # the window that begins with the block of the first word holds all of it
+            w = np.searchsorted(begins, k, "right") - 1
+            item, c = self.items[p], float(sums[w] @ self.latent[p] / norm[w]) if norm[w] else 0.0
+            own = out[owner[w]]
+            own[item] = max(own.get(item, (c, 1.0, True)), (c, 1.0, True))
         some = np.flatnonzero(norm > 0)
         for k in range(0, len(some), 4096):
             own = some[k : k + 4096]
             cosine = (sums[own] / norm[own, None]) @ self.latent.T
             covered = cosine * norm[own, None] >= COVER * self.length
-            for w, p in zip(*np.nonzero((cosine >= COSINE) & covered)):
+            for w, p in zip(*np.nonzero((cosine >= COSINE) & covered & self.drawn)):
                 doc = owner[own[w]]
                 begin = begins[own[w]]
                 a, b = max(bounds[doc], begin - BLOCK), min(bounds[doc + 1], begin + 3 * BLOCK)

@@ -132,6 +132,25 @@ def test_paraphrase_and_odd_rows(spark):
     assert decontam.leaks(docs.limit(0), found).count() == 0
 
 
+def test_short_items_among_other_benchmark_words(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(600)]
+    items = [[rng.choice(vocabulary) for _ in range(1 + i % 7 if i % 7 > 1 else rng.randint(15, 59))] for i in range(200)]
+    items += [items[2], ["once"], ["never"]]  # two items of the same words; items of one word
+    words = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] + own + [rng.choice(vocabulary) for _ in range(60)] for own in items[:-1]]
+    words += [items[2][:-1], items[2][-1:]]  # two texts that hold an item only together
+    bench = spark.createDataFrame([(i, " ".join(own)) for i, own in enumerate(items)], "item_id long, text string")
+    docs = docs_of(spark, [*ODD, *(", ".join(own) for own in words)])
+    stands = lambda own, text: any(text[k : k + len(own)] == own for k in range(len(text) - len(own) + 1))
+    short = {i for i, own in enumerate(items) if len(own) < decontam.SHORTEST}
+    want = {(len(ODD) + d, i) for d, text in enumerate(words) for i in short if stands(items[i], text)}
+    found = decontam.finders(docs, bench)
+    rows = [r for r in decontam.leaks(docs, found).collect() if r.item_id in short]
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) > 140
+    assert all(r.lcs_share == 1 and r.answer_found for r in rows)
+    assert not {d for d, _ in want} & {r.doc_id for r in decontam.keep_clean(docs, found).collect()}
+
+
 # byte-level BPE
 
 
