@@ -13,7 +13,8 @@
    if it covers ``EXACT`` of the passage, or ``LOOSE`` of it with the answer there: the passage's ``ANSWER`` words of
    highest inverse frequency.
 5. Passages under ``SHORTEST`` words, which other benchmark words in a window drown, are no candidates of the cosine:
-   they leak where they stand word by word, sought by the hash of the whole sequence at every word of every text.
+   they leak where they stand word by word, sought by the hash of the sequence at every word of every text. So are
+   passages whose words all weigh nothing, as those that stand in very many blocks; changed copies of these are not found.
 
 Texts never move: counting and search are maps. Passages go to the driver in parts of at most ``PART`` (by hash of the
 item), and each part has its own basis and search, so what a task holds is bounded whatever the benchmark's size.
@@ -154,14 +155,14 @@ def tf_idf(hashes: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray) -> np
 
 
 class Grams:
-    """Sequences of words by the hash of the whole sequence."""
+    """Sequences of words by the hash of their first ``SHORTEST`` words, then compared whole."""
 
     def __init__(self, rows: list[tuple[int, np.ndarray]]):
         self.sizes = {}
         for size in sorted({len(own) for _, own in rows}):
             number = np.array([p for p, own in rows if len(own) == size])
             lists = np.array([own for _, own in rows if len(own) == size], U64)
-            key = self.hashes(lists.ravel(), size)[::size]
+            key = self.hashes(lists[:, :SHORTEST].ravel(), min(size, SHORTEST))[:: min(size, SHORTEST)]
             order = np.argsort(key, kind="stable")
             self.sizes[size] = key[order], number[order], lists[order]
 
@@ -175,10 +176,13 @@ class Grams:
 
     def find(self, words_: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First words of all places where a sequence stands within one text, and the numbers of the sequences."""
-        at, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        at, found, hashed = [np.empty(0, np.int64)], [np.empty(0, np.int64)], {}
         for size, (key, number, lists) in self.sizes.items():
+            head = min(size, SHORTEST)
+            if head not in hashed:
+                hashed[head] = self.hashes(words_, head)
             distinct, first, times = np.unique(key, return_index=True, return_counts=True)
-            place, which = lookup(distinct, self.hashes(words_, size))
+            place, which = lookup(distinct, hashed[head])
             inside = place + size <= bounds[np.searchsorted(bounds, place, "right")]
             place, which = place[inside], which[inside]
             for k in range(int(times.max())):  # the k-th sequence of an equal hash
@@ -202,8 +206,8 @@ class Finder:
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         self.lists, self.places, self.answers = [w.tolist() for w in lists], [], []
         idf = dict(zip(vocabulary.tolist(), weight.tolist()))
-        self.short = Grams([(p, own) for p, own in enumerate(lists) if len(own) < SHORTEST])
-        self.drawn = np.array([len(own) >= SHORTEST for own in lists], bool)
+        self.drawn = (self.length > 0) & np.array([len(own) >= SHORTEST for own in lists], bool)
+        self.exact = Grams([(p, own) for p, own in enumerate(lists) if not self.drawn[p]])
         for own in self.lists:
             place = {}
             for k, w in enumerate(own):
@@ -229,7 +233,7 @@ class Finder:
         begins, first, owner = blocks_of(bounds)
         out: list[dict] = [{} for _ in range(len(bounds) - 1)]
         at, number = lookup(self.used_vocabulary, hashes)
-        exact = self.short.find(hashes, bounds)
+        exact = self.exact.find(hashes, bounds)
         if not len(at) and not len(exact[0]):
             return out
         block = np.searchsorted(begins, at, "right") - 1
@@ -242,7 +246,7 @@ class Finder:
         same = np.append(owner[1:] == owner[:-1], False)
         sums[:-1][same] += sums[1:][same]  # a window is a block and the next; going up, the next is not yet a window
         norm = np.linalg.norm(sums[:-1], axis=1)
-        for k, p in zip(*exact):  # the window that begins with the block of the first word holds all of it
+        for k, p in zip(*exact):  # the window that begins with the block of the first word holds all of a short one
             w = np.searchsorted(begins, k, "right") - 1
             item, c = self.items[p], float(sums[w] @ self.latent[p] / norm[w]) if norm[w] else 0.0
             own = out[owner[w]]

@@ -151,6 +151,14 @@ def test_short_items_among_other_benchmark_words(spark):
     assert not {d for d, _ in want} & {r.doc_id for r in decontam.keep_clean(docs, found).collect()}
 
 
+def test_passage_that_fills_most_blocks(spark):
+    often, rare = " ".join(f"often{k}" for k in range(30)), " ".join(f"rare{k}" for k in range(30))
+    bench = spark.createDataFrame([(1, often), (2, rare)], "item_id long, text string")
+    docs = docs_of(spark, [*[often] * 4, f"{rare} end", "clean words here", "other clean words", often[:-1], f"so {often}"])
+    found = decontam.finders(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, found).collect()} == {*((d, 1) for d in (0, 1, 2, 3, 8)), (4, 2)}
+
+
 # byte-level BPE
 
 
