@@ -26,11 +26,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; texts without words are in no group."""
-    found = setsketch.near_duplicates(docs, size=5, percent=80)
-    name = fresh(docs, "llm_gone_id")
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """One row of each group stays; texts without words are in no group.
+
+    Rows are judged one by one, by their places in the files of ``docs``: of each group the row of smallest doc_id stays,
+    rows without one come last, and of several rows with that doc_id the one of the smallest place stays. So rows that share
+    a doc_id, or have none, go only as copies of a row that stays.
+    """
+    docs = stored(docs)
+    file, row = fresh(docs, "llm_file"), fresh(docs, "llm_row")
+    place = docs.metadataColumn("_metadata")
+    keyed = docs.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+    number = F.col("doc_id").cast("long")
+    parts = number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"), F.col(file).alias("file"), F.col(row).alias("row")
+    found = setsketch.grouped(keyed.select(F.struct(*parts).alias("doc_id"), F.col("text").cast("string")), size=5, percent=80)
+    gone = cut(found.where("not kept").select(F.col("doc_id.file").alias(file), F.col("doc_id.row").alias(row)))
+    return keyed.join(gone, [file, row], "left_anti").select(*(keyed[c] for c in docs.columns))
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is read from files as it is, so that rows have places there; else written first."""
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return docs if plan == "LogicalRelation" else cut(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,7 +104,8 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     ["doc_id", "node", "n_shingles", "regs"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, regs binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, n_shingles long, regs binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -306,8 +307,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of ``size``-word shingles. Runs jobs.
     """
+    return grouped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), size, percent)
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of docs (doc_id, text) by ids of any type that has an order. Where every row has an id of its own,
+    one row of each component is kept."""
     threshold = percent / 100
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     drawn = cut(sketch(docs, size))
     nodes = cut(
         drawn.where("node is not null")

@@ -416,3 +416,21 @@ def test_pipeline(spark):
     assert last.count() == out.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    group = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [
+        *((1, "a"), (None, "a"), (None, "alone"), (None, "other")),  # a copy without id takes no other such row with it
+        *((2, "b"), (3, "b"), (3, "c"), (4, "c")),  # 3 is a copy in one group and the smallest id of another
+        *((5, "d"), (5, "d"), (5, "e")),  # repeated rows of one id
+        *((None, "f"), (None, "f"), (None, "f")),  # copies without any id
+    ]
+    docs = docs_of(spark, [*(group(name) for _, name in rows), None, "", ""], [*(i for i, _ in rows), None, None, 1])
+    for given in (docs, corpus_pipeline.cut(docs.repartition(3))):
+        out = corpus_pipeline.near_duplicates(spark, given, FOLDER)
+        assert out.schema == docs.schema
+        got = sorted((r.doc_id or 0, (r.text or "0").split("0")[0]) for r in out.collect())
+        assert got == [(0, ""), (0, ""), (0, "alone"), (0, "f"), (0, "other"), (1, ""), (1, "a"), (2, "b"), (3, "c"), (5, "d"), (5, "e")]
