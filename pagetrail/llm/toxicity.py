@@ -7,8 +7,8 @@ scores as its most toxic segment: an average over a long text would drown a few
 
 Embeddings and softmax are trained together by gradient steps on whole texts, whose logit is the soft maximum of their
 segments'. Subwords of fewer than ``MIN_TEXTS`` texts are not learned. Training reads at most ``PER_CLASS`` labelled rows
-of either label and at most ``TRAIN_SEGMENTS`` segments of each, evenly spread, none over ``TRAIN_BYTES``; scoring reads
-every word of every text. As the softmax is linear, the score of a subword is one number, so scoring
+of either label, all of their segments, and weighs a row by how many labelled rows it stands for, so that the balance of
+the labels is that of the table at every size; scoring reads every word of every text. As the softmax is linear, the score of a subword is one number, so scoring
 gathers from a table of scalars. Scoring is a map: nothing is shuffled.
 
 lang, source, doc_id and labels are no inputs of a score. Null, empty and wordless texts score as a segment with no
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, U64, Flat, chunks, flat, labelled_sample, mix, remainder, slice_hash, words
 
 PER_CLASS = 2500
-TRAIN_SEGMENTS, TRAIN_BYTES = 64, 4096
 SEGMENT = 16
 #: Texts that a subword must be in before training moves it.
 MIN_TEXTS = 5
@@ -36,8 +35,8 @@ SCALE, DECAY = 20.0, 1e-6
 #: For the start of the embeddings.
 CHANCE, GAIN = 5.0, 0.5
 BUCKETS, DIM = 1 << 19, 8
-#: Distinct words, and training texts, whose subwords are listed at once.
-WORDS, TEXTS = 1 << 14, 64
+#: Distinct words whose subwords are listed at once, and about how many subwords of training texts.
+WORDS, LISTED = 1 << 14, 1 << 21
 THRESHOLD = 0.7
 
 
@@ -113,14 +112,18 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
-def fit(rows: list[tuple[int, list[str]]], epochs: int = 5, rate: float = 0.06) -> Model:
-    """``rows``: label and segments of a text."""
+def fit(rows: list[tuple[int, list[str]]], sizes: dict[int, int] | None = None, epochs: int = 5, rate: float = 0.06) -> Model:
+    """``rows``: label and segments of a text. ``sizes``: labelled rows of either label, for the weight of a row."""
     rng = np.random.default_rng(5)
     table = np.zeros((BUCKETS, DIM), np.float32)  # a subword that training never saw says nothing
     model = Model(table, np.zeros((DIM, 2), np.float32), np.zeros(2))
+    own = {k: sum(r[0] == k for r in rows) for k in (0, 1)}
     rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0], r[1]))
     if not rows:
         return model
+    each = {k: (sizes or own).get(k, own[k]) / max(1, own[k]) for k in (0, 1)}
+    weight = np.array([each[r[0]] for r in rows])
+    weight /= weight.mean()
     model.out[:] = np.array([[-0.5, 0.5]]) * rng.choice([-1, 1], (DIM, 1))
     model.bias[:] = 1, -1
     segments = [s for _, own in rows for s in own]
@@ -146,7 +149,8 @@ def fit(rows: list[tuple[int, list[str]]], epochs: int = 5, rate: float = 0.06)
     pair = np.unique(np.repeat(doc, np.diff(bounds)) * len(count) + word)
     own_word, own_doc = pair % len(count), pair // len(count)
     texts, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
-    edges = np.searchsorted(own_doc, np.append(np.arange(0, len(rows), TEXTS), len(rows)))
+    listed = np.cumsum(np.bincount(own_doc, count[own_word], len(rows)).astype(np.int64))
+    edges = np.searchsorted(own_doc, np.concatenate([[0], np.flatnonzero(np.diff(listed // LISTED)) + 1, [len(rows)]]))
     for a, b in zip(edges[:-1], edges[1:]):
         if a < b:
             n, w = count[own_word[a:b]], own_word[a:b]
@@ -181,7 +185,7 @@ def fit(rows: list[tuple[int, list[str]]], epochs: int = 5, rate: float = 0.06)
             share = np.exp(logit - top[owner])
             total = np.bincount(owner, share, len(docs))
             whole = top + np.log(np.maximum(total, 1e-30))
-            error = 1 / (1 + np.exp(-np.clip(whole, -30, 30))) - label[docs]
+            error = (1 / (1 + np.exp(-np.clip(whole, -30, 30))) - label[docs]) * weight[docs]
             each = (error / len(docs))[owner] * share / total[owner]
             step = np.stack([-each, each], 1)  # by class, as of a softmax of two
             d_out, d_bias, d_hidden = SCALE * hidden.T @ step, step.sum(0), SCALE * step @ model.out.T / size[:, None]
@@ -206,7 +210,7 @@ def in_training(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, keep: Callable[[Column], Column] = in_training, per_class: int = PER_CLASS) -> Model:
     """Runs jobs."""
-    sample, _ = labelled_sample(docs, labels, "toxic", keep, per_class)
+    sample, sizes = labelled_sample(docs, labels, "toxic", keep, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,14 +219,12 @@ def train(docs: DataFrame, labels: DataFrame, keep: Callable[[Column], Column] =
                 last = np.append(begins[1:], len(starts)) - 1
                 raw, out = text.data.tobytes(), []
                 for a, b in zip(seg_bounds[:-1], seg_bounds[1:]):
-                    own = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_SEGMENTS)).astype(np.int64)) if b > a else []
-                    cut_ = [raw[starts[begins[k]] : ends[last[k]]] for k in own]
-                    out.append([c.decode("utf-8", "replace") for c in cut_ if len(c) <= TRAIN_BYTES])
+                    out.append([raw[starts[begins[k]] : ends[last[k]]].decode("utf-8", "replace") for k in range(a, b)])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(out, pa.list_(pa.string()))], ["label", "segments"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        model = fit(rows)
+        model = fit(rows, sizes)
         arrays = [pa.array([np.ascontiguousarray(a).tobytes()]) for a in (model.table, model.out, model.bias)]
         yield pa.RecordBatch.from_arrays(arrays, ["table", "out", "bias"])
 

@@ -259,6 +259,34 @@ def test_classifiers_on_odd_rows(spark, module):
     assert module.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_keeps_the_balance_of_labels(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(50)]
+    texts = [" ".join(rng.choice(words) for _ in range(16)) for _ in range(2200)]  # the label is not in the words
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 11 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+    means = []
+    for per_class in (5000, 150):
+        scored = toxicity.score(docs, toxicity.train(docs, labels, lambda _: F.lit(True), per_class))
+        means.append(np.mean([np.log(r.score / (1 - r.score)) for r in scored.collect()]))
+    assert abs(means[0] - means[1]) < 0.7, means
+
+
+def test_toxicity_learns_from_every_segment(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(50)]
+    texts = []
+    for i in range(200):
+        own = [rng.choice(words) for _ in range(16 * 127)]
+        if i % 2:
+            own[16 + i % 16] = "zzyxqv"  # in the second segment of 127
+        texts.append(" ".join(own))
+    docs = docs_of(spark, [*texts, "zzyxqv " + texts[0][:80], texts[0][:80]])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels, lambda _: F.lit(True))).collect()}
+    assert got[200] > 0.7 > got[201]
+
+
 # nearest neighbours
 
 
