@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, html_lines, licenses, line_dedup, quality_fm, rans, setsketch, toxicity
+from . import (
+    alignment, ann, bpe, decontam, hard_negatives, html_lines, licenses, line_dedup, packing, quality_fm, rans, setsketch, toxicity,
+)
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, BYTE_JSON, PIECES = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,11 +66,26 @@ def op10_rans_files(spark: SparkSession, folder: str) -> DataFrame:
     return rans.read(spark, path)
 
 
+def op11_packed_products(spark: SparkSession, folder: str) -> DataFrame:
+    rows, label = _table(spark, folder, "embeddings"), F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(rows.withColumn("label", noisy), every=50, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op12_exact_text_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return alignment.align_documents(docs, public_tokenizers.path(BYTE_JSON), public_tokenizers.path(PIECES))
+
+
+def op13_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path(BYTE_JSON), size=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_blocks, op2_latent_leaks, op3_byte_bpe, op4_cuckoo_lines, op5_toxicity, op6_kmeans_tree, op7_setsketch,
-        op8_license_rules, op9_quality_fm, op10_rans_files,
+        op8_license_rules, op9_quality_fm, op10_rans_files, op11_packed_products, op12_exact_text_alignment, op13_sum_of_squares,
     )
 }
 
@@ -87,4 +104,23 @@ ORACLES = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(gone::int) AS BIGINT) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY r""",
+    "op11_packed_products": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+            FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        ranked AS (
+            SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+            FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+                AND 100 * n.score BETWEEN 50 * positive_score AND 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= 3""",
 }
