@@ -16,7 +16,8 @@ from .urls import FOUND
 # -- sitemaps and robots ------------------------------------------------------------
 
 _LISTED = r"""
-doc_kind AS (SELECT url, body, contains(body, '<sitemapindex') AS is_index, regexp_extract_all(body, '<loc>([^<]*)</loc>', 1) AS locs FROM sitemap_doc),
+doc_kind AS (SELECT d.url, reason, contains(d.body, '<sitemapindex') AS is_index, regexp_extract_all(coalesce(good, d.body), '<loc>([^<]*)</loc>', 1) AS locs
+  FROM sitemap_doc d LEFT JOIN bad_doc b ON d.url = b.url),
 listed AS (SELECT url, is_index, CAST(i - 1 AS INT) AS pos, replace(locs[i], '&amp;', '&') AS loc
   FROM doc_kind, unnest(range(1, len(locs) + 1)) n(i) WHERE locs[i] <> '')"""
 _ROBOT_LINES = rf"""
@@ -24,11 +25,13 @@ robot_line AS (SELECT base_url, CAST(i - 1 AS INT) AS pos, regexp_replace(string
   FROM robots_doc, unnest(range(1, len(string_split(body, chr(10))) + 1)) n(i)),
 robot_map AS (SELECT base_url, pos, regexp_replace(substr(line, 9), '^\s+', '') AS url FROM robot_line
   WHERE lower(line) LIKE 'sitemap:%' AND trim(substr(line, 9)) <> '')"""
-# Documents reachable from any document, with the path of positions.
+# Documents reachable from any document, with the first path of positions that leads there.
 _WALK = """
-walk AS (SELECT url AS root, CAST([] AS INTEGER[]) AS path, url FROM sitemap_doc
-  UNION ALL SELECT w.root, list_append(w.path, l.pos), l.loc FROM walk w JOIN listed l ON l.url = w.url AND l.is_index WHERE len(w.path) < 5),
-tree AS (SELECT w.root, list_append(w.path, l.pos) AS path, l.loc FROM walk w JOIN listed l ON l.url = w.url AND NOT l.is_index)"""
+walk AS (SELECT url AS root, CAST([] AS INTEGER[]) AS path, url, [url] AS above FROM sitemap_doc
+  UNION ALL SELECT w.root, list_append(w.path, l.pos), l.loc, list_append(w.above, l.loc) FROM walk w JOIN listed l ON l.url = w.url AND l.is_index
+    WHERE NOT list_contains(w.above, l.loc)),
+opened AS (SELECT root, min(path) AS path, url FROM walk GROUP BY root, url),
+tree AS (SELECT w.root, list_append(w.path, l.pos) AS path, l.loc FROM opened w JOIN listed l ON l.url = w.url AND NOT l.is_index)"""
 
 
 def _path(column: str):
@@ -84,7 +87,7 @@ def parse_sitemap_docs(t):
     return sitemaps.parse_sitemap_docs(_docs(t))
 
 
-@query("expand_sitemap_index", _LISTED + "," + _WALK + f" SELECT root, {_PATH} AS path, url FROM walk", ("sitemap_doc",))
+@query("expand_sitemap_index", _LISTED + "," + _WALK + f" SELECT root, {_PATH} AS path, url FROM opened", ("sitemap_doc",))
 def expand_sitemap_index(t):
     listing, _ = materialize(sitemaps.parse_sitemap_docs(_docs(t)))
     opened = sitemaps.expand_sitemap_index(_docs(t).select("url"), listing.filter("is_index"))
@@ -97,12 +100,56 @@ def parse_sitemaps(t):
 
 
 @query("sitemap_counts", _LISTED + """
-SELECT d.url, count(l.loc) FILTER (NOT d.is_index) AS n_urls, count(l.loc) FILTER (d.is_index) AS n_sitemaps
+SELECT d.url, count(l.loc) FILTER (NOT d.is_index) AS n_urls, count(l.loc) FILTER (d.is_index) AS n_sitemaps, any_value(reason) AS reason
 FROM doc_kind d LEFT JOIN listed l ON d.url = l.url GROUP BY 1""", ("sitemap_doc",))
 def sitemap_counts(t):
     return sitemaps.sitemap_counts(_docs(t))
 
 
+@query("sitemap_errors", _LISTED + """
+SELECT b.url, b.reason, line, place, count(l.loc) AS n_kept FROM bad_doc b LEFT JOIN listed l ON b.url = l.url GROUP BY ALL""", ("sitemap_doc",))
+def sitemap_errors(t):
+    return sitemaps.sitemap_errors(_docs(t))
+
+
+# A gzip file whose text is stored as it is: header, one stored block, checksum and length.
+_GZIPPED = """
+SELECT url, unhex('1F8B080000000000000301') AS head, concat(unhex(concat(substr(n, 7, 2), substr(n, 5, 2), substr(m, 7, 2), substr(m, 5, 2))), raw) AS block,
+  unhex(concat(substr(c, 7, 2), substr(c, 5, 2), substr(c, 3, 2), substr(c, 1, 2))) AS crc,
+  unhex(concat(substr(n, 7, 2), substr(n, 5, 2), '0000')) AS size, kind
+FROM (SELECT url, raw, lpad(hex(length(raw)), 8, '0') AS n, lpad(hex(65535 - length(raw)), 8, '0') AS m, lpad(hex(crc32(raw)), 8, '0') AS c, length(raw) % 5 AS kind
+  FROM (SELECT url, encode(body, 'UTF-8') AS raw FROM {docs}))"""
+
+
+def _packed(t):
+    """Sitemaps as gzip files, some cut short, with a wrong checksum, with a strange header, or with bytes behind the end."""
+    kind, whole = F.col("kind"), F.concat("head", "block", "crc", "size")
+    sent = (
+        F.when(kind == 1, F.substring(whole, 1, 100))
+        .when(kind == 2, F.concat("head", "block", F.unhex(F.lit("00000000")), "size"))
+        .when(kind == 3, F.concat(F.unhex(F.lit("1F8B09")), F.substring(whole, 4, 1_000_000)))
+        .when(kind == 4, F.concat(whole, F.encode(F.lit("more"), "UTF-8")))
+        .otherwise(whole)
+    )
+    files = t.spark.sql(_GZIPPED, docs=_docs(t))
+    return files.select("url", F.lit(200).alias("status_code"), F.lit(None).cast("map<string,string>").alias("headers"), sent.alias("body"))
+
+
+@query("gzip_sitemaps", """
+SELECT url, CASE length(body) % 5 WHEN 1 THEN substr(body, 1, 85) WHEN 3 THEN '' ELSE body END AS body FROM sitemap_doc""", ("sitemap_doc",))
+def gzip_sitemaps(t):
+    return inputs.sitemap_docs_binary(_packed(t)).select("url", "body")
+
+
+@query("gzip_rejects", """
+file AS (SELECT url, length(body) AS n, length(body) % 5 AS kind FROM sitemap_doc WHERE length(body) % 5 <> 0)
+SELECT url, CASE kind WHEN 1 THEN 'truncated' WHEN 2 THEN 'incorrect data check' WHEN 3 THEN 'unknown compression method' ELSE 'bytes after the end' END AS reason,
+  CAST(CASE kind WHEN 1 THEN least(100, n + 23) WHEN 2 THEN n + 18 WHEN 3 THEN 3 ELSE n + 23 END AS BIGINT) AS place,
+  CAST(CASE kind WHEN 1 THEN least(n, 85) WHEN 3 THEN 0 ELSE n END AS INT) AS n_chars FROM file WHERE kind <> 1 OR n + 23 > 100""", ("sitemap_doc",))
+def gzip_rejects(t):
+    return inputs.gzip_rejects(_packed(t))
+
+
 _CANDIDATES = """
 usual AS (SELECT job_id, CAST(i - 1 AS INT) AS ord, root || ['/sitemap.xml', '/sitemap_index.xml', '/sitemaps.xml', '/sitemap/sitemap.xml'][i] AS url
   FROM request, unnest([1, 2, 3, 4]) n(i)),
@@ -137,6 +184,18 @@ def crawl_sitemaps(t):
     return sitemaps.crawl_sitemaps(t.request, t.site_fetch, _robots(t), _docs(t))
 
 
+@query("sitemap_failures", ",".join([_ROBOT_LINES, _LISTED, _WALK, _CANDIDATES]) + """,
+kept AS (SELECT url, count(*) AS n FROM listed GROUP BY url)
+SELECT t.job_id, array_to_string(list_prepend(t.ord, o.path), '/') AS path, o.url, CASE WHEN d.url IS NULL THEN 'not fetched' ELSE b.reason END AS reason,
+  line, place, coalesce(k.n, 0) AS n_kept
+FROM there t JOIN opened o ON o.root = t.url LEFT JOIN sitemap_doc d ON d.url = o.url LEFT JOIN bad_doc b ON b.url = o.url LEFT JOIN kept k ON k.url = o.url
+WHERE d.url IS NULL OR b.url IS NOT NULL""", ("request", "robots_doc"))
+def sitemap_failures(t):
+    found, _ = materialize(sitemaps.discover_sitemaps(t.request, t.site_fetch, _robots(t)))
+    opened = sitemaps.open_sitemaps(found.select("url").distinct(), _docs(t))
+    return sitemaps.sitemap_failures(found, opened).withColumn("path", _path("path"))
+
+
 @query("unique_sitemap_urls", ",".join([_ROBOT_LINES, _LISTED, _WALK, _CANDIDATES, _SITEMAP_CRAWL]) + """
 SELECT job_id, count(DISTINCT url) AS n_urls FROM placed GROUP BY 1""", ("request", "robots_doc"))
 def unique_sitemap_urls(t):

@@ -48,7 +48,28 @@ _CHILD = "'<sitemap><loc>' || root || '/sm/{k}.xml</loc><lastmod>2024-01-0{d}</l
 _CHILDREN = " || ".join(
     f"coalesce(max(CASE WHEN k = {k} THEN {_CHILD.format(k=k, d=1 + k % 9)} END), '')" for k in range(SITE_SIZE)
 )
+_ENTRY = "'<url><loc>' || root || '/{0}</loc></url>'"
+_LINK = "'<sitemap><loc>' || root || '/{0}.xml</loc></sitemap>'"
+_DENSE = 5  # indexes of a site that all list each other
+# Documents that cannot be read to their end: what is wrong, where, and the part in front of it that can.
 _SITEMAPS = f"""
+bad_body AS (
+  SELECT root || '/sm/bad.xml' AS url, s % 5 AS kind, '<urlset>' || {_ENTRY.format("early")} AS head,
+    CASE s % 5 WHEN 0 THEN {_ENTRY.format("second")} || '<url><loc>' || root || '/cut'
+      WHEN 1 THEN '<url><loc>' || root || '/a?x=1&y=2</loc></url>' || {_ENTRY.format("late")} || '</urlset>'
+      WHEN 4 THEN chr(10) || '<url><loc>x</url>' || {_ENTRY.format("late")} || '</urlset>' ELSE '' END AS rest, s, root
+  FROM site_page GROUP BY s, root),
+bad_doc AS (
+  SELECT url, CASE kind WHEN 2 THEN 'Service unavailable ' || CAST(s AS STRING) WHEN 3 THEN '<rss>' || {_ENTRY.format("early")} || '</rss>' ELSE head || rest END AS body,
+    CASE kind WHEN 0 THEN head || {_ENTRY.format("second")} WHEN 1 THEN head WHEN 4 THEN head ELSE '' END AS good,
+    CASE kind WHEN 0 THEN 'no element found' WHEN 1 THEN 'not well-formed (invalid token)' WHEN 2 THEN 'syntax error'
+      WHEN 3 THEN 'root element is rss' ELSE 'mismatched tag' END AS reason,
+    CAST(CASE kind WHEN 3 THEN NULL WHEN 4 THEN 2 ELSE 1 END AS INT) AS line,
+    CAST(CASE kind WHEN 0 THEN length(head || rest) WHEN 1 THEN length(head || split_part(rest, '&', 1)) + 2 WHEN 2 THEN 0
+      WHEN 4 THEN length(head) + 14 END AS BIGINT) AS place
+  FROM bad_body
+  UNION ALL
+  SELECT root || '/sitemaps.xml', '<html><body>not found</body></html>', '', 'root element is html', NULL, NULL FROM site_page GROUP BY s, root),
 sitemap_doc AS (
   SELECT root || '/sm/' || CAST(k AS STRING) || '.xml' AS url,
     '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>' || url
@@ -57,10 +78,15 @@ sitemap_doc AS (
   FROM site_page
   UNION ALL
   SELECT root || CASE s % 4 WHEN 0 THEN '/sitemap.xml' WHEN 1 THEN '/sitemap_index.xml' ELSE '/maps/all.xml' END,
-    '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || {_CHILDREN} || '</sitemapindex>'
+    '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || {_CHILDREN}
+    || {_LINK.format("sm/bad")} || {_LINK.format("sm/gone")} || '</sitemapindex>'
   FROM site_page GROUP BY s, root
   UNION ALL
-  SELECT root || '/sitemaps.xml', '<html><body>not found</body></html>' FROM site_page GROUP BY s, root),
+  SELECT root || '/dense/' || CAST(k AS STRING) || '.xml', '<sitemapindex>' || {" || ".join(_LINK.format(f"dense/{k}") for k in range(_DENSE))}
+    || '<sitemap><loc>' || root || '/sm/' || CAST(k AS STRING) || '.xml</loc></sitemap></sitemapindex>'
+  FROM site_page WHERE k < {_DENSE}
+  UNION ALL
+  SELECT url, body FROM bad_doc),
 robots_doc AS (
   SELECT root AS base_url, s,
     'User-agent: *' || chr(10) || 'Disallow: /p/1' || chr(13) || chr(10) || 'Allow: /p/1' || CAST(s % 10 AS STRING) || chr(10)
@@ -147,7 +173,7 @@ GROUPS = {"p": _BASE, "site": _SITE, "sitemaps": _SITEMAPS, "fetches": _FETCHES,
 OF_TABLE = {
     "p": ["p"], "attempt": ["p", "fetches"], "probe": ["p", "fetches"],
     "site": ["site"], "site_page": ["site"], "site_edge": ["site"], "request": ["site"],
-    "sitemap_doc": ["site", "sitemaps"], "robots_doc": ["site", "sitemaps"], "site_fetch": ["site", "sitemaps"],
+    "sitemap_doc": ["site", "sitemaps"], "bad_doc": ["site", "sitemaps"], "robots_doc": ["site", "sitemaps"], "site_fetch": ["site", "sitemaps"],
     "ev": ["events"], "access_log": ["events"], "job": ["jobs"], "job_update": ["jobs"], "crawl_run": ["jobs"],
 }
 GIVEN = ["pages", "documents", "events", "orders"]

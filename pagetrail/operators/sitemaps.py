@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.checks import sitemap_exists
+from ..functions.sitemap_xml import ROOTS, SCANNED, scan_array
 from ..functions.urls import SITEMAP_PATHS, site_root, sitemap_candidates
 from ..schemas import SITEMAP_DOC
 from ..session import materialize, spread
@@ -13,7 +17,15 @@ from .ordering import first_seen_distinct, ordinal
 from .robots import robots_sitemaps
 
 #: Local names count, whatever prefix a file gives them.
-XML = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
+XML = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_bad"}
+#: Begins like a sitemap; what does not is looked at by :mod:`..functions.sitemap_xml`.
+SITEMAP_ROOT = (
+    r"^\uFEFF?(?:\s++|<\?(?s:.*?)\?>|<!--(?s:.*?)-->|<!DOCTYPE[^>\[]*+(?:\[[^\]]*+\])?[^>]*+>)*+"
+    rf"<(?:[^\s<>/:]++:)?(?:{'|'.join(ROOTS)})[\s/>]"
+)
+NO_BODY, MISSING = "no body", "not fetched"
+#: Rounds of the expansion after which their results are made one table.
+FOLD = 8
 
 
 def existing_sitemaps(candidates: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -44,67 +56,126 @@ def discover_sitemaps(
     return found
 
 
-def parse_sitemap_docs(docs: DataFrame) -> DataFrame:
-    """(url, is_index, pos, loc): what each of ``docs(url, body)`` lists.
+def read_sitemap_docs(docs: DataFrame) -> DataFrame:
+    """(url, is_index, locs, reason, line, place): every one of ``docs(url, body)`` once.
 
-    A document with children is an index and lists no entries of its own. A ``lastmod``
-    that is no timestamp does not spoil the file; text that is no sitemap lists nothing.
+    A document with children is an index and lists no entries of its own. A ``lastmod`` that is no timestamp does not
+    spoil the file. Where a document is not well-formed, or no sitemap at all, ``reason`` says why, ``line`` (from 1) and
+    ``place`` (byte, from 0) where, and ``locs`` are those of the entries that end before.
     """
-    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, XML).alias("_d"))
+    fields = T.StructType([*SITEMAP_DOC.fields, T.StructField("_bad", T.StringType())])
+    parsed = spread(docs.select("url", "body")).withColumn("_d", F.from_xml("body", fields, XML))
+    broken = F.col("body").isNotNull() & (~F.col("body").rlike(SITEMAP_ROOT) | F.col("_d._bad").isNotNull())
+    scanned = parsed.withColumn("_r", F.arrow_udf(scan_array, SCANNED)(F.when(broken, F.col("body"))))
     is_index = F.coalesce(F.size("_d.sitemap"), F.lit(0)) > 0
     locs = F.when(is_index, F.col("_d.sitemap.loc")).otherwise(F.col("_d.url.loc"))
-    rows = parsed.select("url", is_index.alias("is_index"), F.posexplode_outer(locs).alias("pos", "loc"))
+    spoilt = F.col("_r").isNotNull()
+    return scanned.select(
+        "url",
+        F.when(spoilt, F.col("_r.is_index")).otherwise(is_index).alias("is_index"),
+        F.when(spoilt, F.col("_r.locs")).otherwise(locs).alias("locs"),
+        F.when(F.col("body").isNull(), NO_BODY).otherwise(F.col("_r.reason")).alias("reason"),
+        F.col("_r.line").alias("line"),
+        F.col("_r.place").alias("place"),
+    )
+
+
+def listing(read: DataFrame) -> DataFrame:
+    """(url, is_index, pos, loc) of documents as :func:`read_sitemap_docs` gives them."""
+    rows = read.select("url", "is_index", F.posexplode_outer("locs").alias("pos", "loc"))
     return rows.filter(F.coalesce(F.col("loc"), F.lit("")) != "")
 
 
+def parse_sitemap_docs(docs: DataFrame) -> DataFrame:
+    """(url, is_index, pos, loc): what each of ``docs(url, body)`` lists, up to its bad spot if it has one."""
+    return listing(read_sitemap_docs(docs))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.size(F.filter("locs", lambda s: F.coalesce(s, F.lit("")) != "")), F.lit(0)).cast("bigint")
+
+
+def sitemap_errors(docs: DataFrame) -> DataFrame:
+    """(url, reason, line, place, n_kept): the documents that could not be read to their end."""
+    return _errors(read_sitemap_docs(docs))
+
+
+def _errors(read: DataFrame) -> DataFrame:
+    return read.filter(F.col("reason").isNotNull()).select("url", "reason", "line", "place", _kept().alias("n_kept"))
+
+
 def expand_sitemap_index(roots: DataFrame, children: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(root, path, url): the roots and every document below them.
+    """(root, path, url): the roots and every document below them, each once for a root.
 
-    ``path`` is the list of positions from the root, so sorting by it gives document
-    order. One pass per index level; a document that is its own ancestor is not entered
-    again, and of equal documents on one level the first is kept, so cycles and shared
-    children end; the passes end with the first empty level, or after ``max_depth`` if given.
-    Runs a job for each level.
+    ``path`` is the list of positions from the root at which the document comes first in document order; sorting by it
+    gives that order. Every round follows the children of documents whose path the round before made smaller, and the
+    rounds end when none does. A path round a cycle only makes the path to its start longer, so cycles end by themselves,
+    and shared children do not multiply. ``max_depth`` bounds the rounds, and with them the length of paths. Runs a job
+    for each round.
     """
-    start = roots.select(
-        F.col("url").alias("root"),
-        F.expr("cast(array() as array<int>)").alias("path"),
-        "url",
-        F.array("url").alias("_above"),
-    ).distinct()
+    start = roots.select(F.col("url").alias("root"), "url", F.expr("cast(array() as array<int>)").alias("path")).distinct()
     edges = children.select(F.col("url").alias("_parent"), "pos", F.col("loc").alias("_child"))
-    levels, level = [start], start
-    while max_depth is None or len(levels) <= max_depth:
-        below = (
-            level.join(edges, level["url"] == edges["_parent"])
-            .filter(~F.array_contains("_above", F.col("_child")))
-            .select(
-                "root",
-                F.array_append("path", F.col("pos")).alias("path"),
-                F.col("_child").alias("url"),
-                F.array_append("_above", F.col("_child")).alias("_above"),
-            )
+    none = F.lit(None).cast("array<int>")
+    rounds, changed, n = [start], start, 0
+    while max_depth is None or n < max_depth:
+        n += 1
+        found = changed.join(edges, changed["url"] == edges["_parent"]).select(
+            "root", F.col("_child").alias("url"), F.array_append("path", F.col("pos")).alias("_new"), none.alias("_old")
         )
-        level, seen = materialize(first_seen_distinct(below, ["root", "url"], "path", "_above").select(*start.columns))
+        known = _union(rounds).select("root", "url", none.alias("_new"), F.col("path").alias("_old"))
+        best = found.unionByName(known).groupBy("root", "url").agg(F.min("_new").alias("path"), F.min("_old").alias("_old"))
+        smaller = best.filter(F.col("path").isNotNull() & (F.col("_old").isNull() | (F.col("path") < F.col("_old"))))
+        changed, seen = materialize(smaller.select("root", "url", "path"))
         if not seen["rows"]:
             break
-        levels.append(level)
-    out = levels[0]
-    for below in levels[1:]:
-        out = out.unionByName(below)
-    return out.select("root", "path", "url")
+        rounds.append(changed)
+        if len(rounds) > FOLD:
+            rounds = [materialize(_smallest(rounds))[0]]
+    return _smallest(rounds).select("root", "path", "url")
 
 
-def parse_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(root, path, loc): every URL listed below each root, in document order of ``path``."""
-    # XML is parsed once; every level of the walk then reads the narrow listing.
-    listing, _ = materialize(parse_sitemap_docs(docs))
-    entries = listing.filter(~F.col("is_index")).drop("is_index")
-    children = listing.filter("is_index").drop("is_index")
-    opened = expand_sitemap_index(roots, children, max_depth).withColumnRenamed("url", "_doc")
-    return opened.join(entries, opened["_doc"] == entries["url"]).select(
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _smallest(rounds: list[DataFrame]) -> DataFrame:
+    return first_seen_distinct(_union(rounds), ["root", "url"], "path")
+
+
+@dataclass(frozen=True)
+class Opened:
+    """Outcome of :func:`open_sitemaps`. ``entries``: root, path, loc; ``errors``: root, path, url, reason, line, place,
+    n_kept, for documents that are missing or could not be read to their end."""
+
+    entries: DataFrame
+    errors: DataFrame
+
+
+def open_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int | None = None) -> Opened:
+    """Every URL listed below each root, in document order of ``path``, and what went wrong on the way."""
+    # XML is parsed once; every round of the expansion then reads the narrow listing.
+    read, _ = materialize(read_sitemap_docs(docs))
+    listed = listing(read)
+    opened = expand_sitemap_index(roots, listed.filter("is_index").drop("is_index"), max_depth)
+    opened, _ = materialize(opened)
+    entries = listed.filter(~F.col("is_index")).withColumnRenamed("url", "_url")
+    rows = opened.join(entries, opened["url"] == entries["_url"]).select(
         "root", F.array_append("path", F.col("pos")).alias("path"), "loc"
     )
+    state = read.select(F.col("url").alias("_url"), F.lit(True).alias("_there"), "reason", "line", "place", _kept().alias("n_kept"))
+    # documents without a fault need not be carried; those there are marked all the same
+    judged = opened.join(state, opened["url"] == state["_url"], "left").filter(F.col("_there").isNull() | F.col("reason").isNotNull())
+    reason = F.when(F.col("_there").isNull(), MISSING).otherwise(F.col("reason"))
+    errors = judged.select("root", "path", "url", reason.alias("reason"), "line", "place", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+    return Opened(rows, errors)
+
+
+def parse_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, path, loc): every URL listed below each root, in document order of ``path``."""
+    return open_sitemaps(roots, docs, max_depth).entries
 
 
 def crawl_sitemaps(
@@ -119,25 +190,36 @@ def crawl_sitemaps(
 
 def sitemap_urls(found: DataFrame, docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """As :func:`crawl_sitemaps`, from sitemaps ``found(job_id, ord, url)`` already."""
-    listed = parse_sitemaps(found.select("url").distinct(), docs, max_depth)
-    per_job = found.withColumnRenamed("url", "root").join(listed, "root")
-    placed = per_job.select(
-        "job_id", F.col("loc").alias("url"), F.concat(F.array(F.col("ord").cast("int")), "path").alias("path")
-    )
-    first = first_seen_distinct(placed, ["job_id", "url"], "path")
+    return urls_of_sitemaps(found, open_sitemaps(found.select("url").distinct(), docs, max_depth))
+
+
+def urls_of_sitemaps(found: DataFrame, opened: Opened) -> DataFrame:
+    """(job_id, ord, url) of the sitemaps ``found(job_id, ord, url)``, which are among the roots that were opened."""
+    first = first_seen_distinct(_placed(found, opened.entries).withColumnRenamed("loc", "url"), ["job_id", "url"], "path")
     return ordinal(first, ["job_id"], ["path"]).select("job_id", "ord", "url")
 
 
+def sitemap_failures(found: DataFrame, opened: Opened) -> DataFrame:
+    """(job_id, path, url, reason, line, place, n_kept): what a job could not read; its sitemaps first, in their order."""
+    return _placed(found, opened.errors)
+
+
+def _placed(found: DataFrame, below: DataFrame) -> DataFrame:
+    """``below(root, path, ...)`` for every job that found the root, the root's place in front of the path."""
+    per_job = found.select("job_id", "ord", F.col("url").alias("root")).join(below, "root")
+    rest = [c for c in below.columns if c not in ("root", "path")]
+    return per_job.select("job_id", F.concat(F.array(F.col("ord").cast("int")), "path").alias("path"), *rest)
+
+
 def sitemap_counts(docs: DataFrame) -> DataFrame:
-    """(url, n_urls, n_sitemaps) per document, zeros included; counted inside the row."""
-    parsed = spread(docs.select("url", "body")).select("url", F.from_xml("body", SITEMAP_DOC, XML).alias("_d"))
-    n_children = F.greatest(F.coalesce(F.size("_d.sitemap"), F.lit(0)), F.lit(0))
-    listed = F.size(F.filter("_d.url.loc", lambda s: F.coalesce(s, F.lit("")) != ""))
-    n_urls = F.greatest(F.coalesce(listed, F.lit(0)), F.lit(0))
-    return parsed.select(
+    """(url, n_urls, n_sitemaps, reason) per document, zeros included; counted inside the row. Of a document that could not
+    be read to its end, what comes before the bad spot counts, and ``reason`` is set."""
+    n = _kept()
+    return read_sitemap_docs(docs).select(
         "url",
-        F.when(n_children > 0, 0).otherwise(n_urls).cast("bigint").alias("n_urls"),
-        n_children.cast("bigint").alias("n_sitemaps"),
+        F.when(F.col("is_index"), 0).otherwise(n).cast("bigint").alias("n_urls"),
+        F.when(F.col("is_index"), n).otherwise(0).cast("bigint").alias("n_sitemaps"),
+        "reason",
     )
 
 

@@ -12,7 +12,7 @@ from ..functions.checks import (
 )
 from ..functions.urls import site_root
 from ..schemas import CONTENT_REQUEST, CRAWL_EVENT, CRAWL_REQUEST
-from .unpack import gunzip_array
+from .unpack import MAGIC, UNPACKED, unpack_array
 
 FLAGS = ["enable_sitemap", "enable_html", "enable_headless", "wait_for_js"]
 GZIP = "gzip"
@@ -74,24 +74,49 @@ def sitemap_docs(fetches: DataFrame) -> DataFrame:
     return fetches.filter(F.col("status_code") == 200).select("url", "status_code", "body")
 
 
-def sitemap_docs_binary(fetches: DataFrame) -> DataFrame:
-    """As :func:`sitemap_docs` for ``body`` as bytes; gzip is told by the header, or by the
-    first two bytes where the header is missing."""
+def unpack_sitemaps(fetches: DataFrame) -> DataFrame:
+    """(url, status_code, body, reason, place) of sitemap fetches with status 200 and ``body`` as bytes.
+
+    Gzip is told by the header, or by the first two bytes where the header is missing. Of a broken gzip body the text
+    before the first byte that does not fit is kept, ``reason`` says what is wrong and ``place`` is that byte. Bytes that
+    are not UTF-8 become U+FFFD.
+    """
     ok = fetches.filter(F.col("status_code") == 200)
     packed = (F.lower(F.coalesce(F.col("headers")["Content-Encoding"], F.lit(""))) == GZIP) | (
-        F.hex(F.substring("body", 1, 2)) == "1F8B"
+        F.hex(F.substring("body", 1, 2)) == MAGIC.hex().upper()
     )
-    return ok.select("url", "status_code", _gunzip(F.when(packed, F.col("body")), F.when(~packed, F.col("body"))).alias("body"))
-
+    unpacked = ok.withColumn("_u", F.arrow_udf(unpack_array, UNPACKED)(F.when(packed, F.col("body"))))
+    plain = F.make_valid_utf8(F.col("body").cast("string"))
+    body = F.when(F.col("_u").isNotNull(), F.col("_u.body")).otherwise(plain)
+    return unpacked.select("url", "status_code", body.alias("body"), F.col("_u.reason").alias("reason"), F.col("_u.place").alias("place"))
 
-def _gunzip(packed: Column, plain: Column) -> Column:
-    return F.coalesce(F.arrow_udf(gunzip_array, T.StringType())(packed), F.decode(plain, "UTF-8"))
 
-
-def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """(url, status_code, body) of stored sitemap files, ``.gz`` included; the file name is the url."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.col("_metadata.file_path").alias("url"), F.lit(200).alias("status_code"), F.col("value").alias("body"))
+def sitemap_docs_binary(fetches: DataFrame) -> DataFrame:
+    """As :func:`sitemap_docs` for ``body`` as bytes, gzip or not."""
+    return unpack_sitemaps(fetches).select("url", "status_code", "body")
+
+
+def gzip_rejects(fetches: DataFrame) -> DataFrame:
+    """(url, reason, place, n_chars): the gzip bodies that are broken, and how much text comes before the bad spot."""
+    broken = unpack_sitemaps(fetches).filter(F.col("reason").isNotNull())
+    return broken.select("url", "reason", "place", F.length("body").alias("n_chars"))
+
+
+def read_sitemap_files(spark: SparkSession, folder: str, base: str | None = None) -> DataFrame:
+    """Fetches (url, status_code, headers, body as bytes) for :func:`unpack_sitemaps`, of all files below ``folder``.
+
+    With ``base``, a file's url is its place below ``folder`` put after ``base``, so that the files of a mirrored site are
+    found by the addresses their indexes list; else the url is the file's own address.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    own = F.col("_metadata.file_path")
+    if base is not None:
+        # addresses of files differ in the slashes after the scheme
+        plain = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+        top = plain(F.lit(folder.rstrip("/")))
+        own = F.concat(F.lit(base.rstrip("/")), F.substr(plain(own), F.length(top) + 1))
+    empty = F.lit(None).cast("map<string,string>")
+    return files.select(own.alias("url"), F.lit(200).alias("status_code"), empty.alias("headers"), F.col("content").alias("body"))
 
 
 def robots_docs(fetches: DataFrame) -> DataFrame:

@@ -43,13 +43,19 @@ def test_content_targets(spark):
 
 def test_sitemap_sources(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<urlset/>")
-    (tmp_path / "b.xml.gz").write_bytes(gzip.compress(b"<zipped/>"))
-    got = {u.rsplit("/", 1)[1]: b for u, b in rows(inputs.read_sitemap_files(spark, str(tmp_path)), "url", "body")}
-    assert got == {"a.xml": "<urlset/>", "b.xml.gz": "<zipped/>"}
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "sub dir" / "b.xml.gz").write_bytes(gzip.compress(b"<zipped/>"))
+    (tmp_path / "c.xml.gz").write_bytes(gzip.compress(b"<zipped/>")[:-9])
+    files = inputs.read_sitemap_files(spark, str(tmp_path), "https://h.org/maps/")
+    got = dict(rows(inputs.sitemap_docs_binary(files), "url", "body"))
+    top = "https://h.org/maps/"
+    assert got == {f"{top}a.xml": "<urlset/>", f"{top}sub%20dir/b.xml.gz": "<zipped/>", f"{top}c.xml.gz": "<zipped/>"}
+    assert rows(inputs.gzip_rejects(files), "url", "reason") == [(f"{top}c.xml.gz", "truncated")]
+    assert all(u.startswith("file:") for (u,) in rows(inputs.read_sitemap_files(spark, str(tmp_path)), "url"))
     z = gzip.compress("é".encode())
     data = [("h", 200, {"Content-Encoding": "gzip"}, z), ("m", 200, {}, z), ("p", 200, None, "é".encode()), ("x", 404, {}, b"no"), ("b", 200, {"Content-Encoding": "gzip"}, b"junk")]
     binary = spark.createDataFrame(data, "url string, status_code int, headers map<string,string>, body binary")
-    assert dict(rows(inputs.sitemap_docs_binary(binary), "url", "body")) == {"h": "é", "m": "é", "p": "é", "b": None}
+    assert dict(rows(inputs.sitemap_docs_binary(binary), "url", "body")) == {"h": "é", "m": "é", "p": "é", "b": ""}
 
 
 def test_events_in_and_out(spark):
