@@ -21,7 +21,7 @@ from ..operators.links import new_only
 from ..operators.ordering import ordinal, truncate_urls
 from ..operators.robots import robots_sitemaps
 from ..operators.sitemaps import discover_sitemaps, sitemap_urls
-from ..session import materialize
+from ..session import Buckets, materialize
 
 RESULT_PART = MAX_URLS_LIMIT
 HOT_PAGE = 1000  # jobs that read one page at one level, beyond which the page is read in shares
@@ -57,60 +57,67 @@ def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         ),
         deepest=F.max("_depth"),
     )
-    levels, largest = [], 0
+    found, largest = None, 0
     if info["rows"]:
-        # written once, so that a level neither parses pages nor takes addresses apart
-        by_host, _ = materialize(links.select("src", "pos", "dst", host_of(F.col("dst")).alias("host")))
-        levels, largest = _levels(seeds, info["rows"], by_host, info["deepest"])
-    if not levels:
+        # written once, so that a level neither parses pages nor takes addresses apart, and in the buckets a level asks for
+        by_host = Buckets(links.sparkSession, "src", "host")
+        by_host.append(links.select("src", "pos", "dst", host_of(F.col("dst")).alias("host")))
+        found, largest = _levels(seeds, info["rows"], by_host, info["deepest"])
+        by_host.forget()
+    if found is None:
         empty = seeds.limit(0)
         return empty.select("job_id", F.col("_listed").alias("ord"), F.col("_depth").alias("depth"), "url"), 0
-    rows = levels[0]
-    for level in levels[1:]:
-        rows = rows.unionByName(level)
-    return rows.select("job_id", "ord", "depth", "url"), largest
+    return found.select("job_id", "ord", "depth", "url"), largest
 
 
-def _levels(seeds: DataFrame, at_most: int, links: DataFrame, deepest: int) -> tuple[list[DataFrame], int]:
-    """The listed URLs level by level, and the URL count of the largest job."""
-    frontier, known, levels, largest = seeds, None, [], 0
+def _levels(seeds: DataFrame, at_most: int, links: Buckets, deepest: int) -> tuple[DataFrame, int]:
+    """The listed URLs of all levels, and the URL count of the largest job. One table in buckets of (job_id, url) is the
+    result, what is known, and the frontier in one; a level moves the frontier and what it found, nothing that lies there."""
+    listed, largest = Buckets(seeds.sparkSession, "job_id", "url", by="depth"), 0
+    frontier, known = seeds, None
     for depth in range(1, deepest + 1):
-        found = _read_pages(frontier, links, at_most).groupBy("job_id", F.col("dst").alias("url")).agg(
-            F.min(F.array_append("_path", F.col("pos"))).alias("_path"),
-            *[F.any_value(c).alias(c) for c in ("_depth", "_max", "_site", "_listed")],
-        )
-        if known is not None:
-            found = new_only(found, known)
-        level, seen = materialize(_admit(found).withColumn("depth", F.lit(depth)), largest=F.max("_listed"))
+        level = _admit(_found(frontier, links.table(), known, at_most)).withColumn("depth", F.lit(depth))
+        seen = listed.append(level, largest=F.max("_listed"))
         if not seen["rows"]:
             break
-        levels.append(level)
         largest, at_most = max(largest, seen["largest"]), seen["rows"]
+        known = listed.table()
         # The URL that reaches the cap ends its job.
-        frontier = level.filter((F.col("_listed") < F.col("_max")) & (F.col("_depth") > depth))
-        listed = level.select("job_id", "url")
-        known = listed if known is None else known.unionByName(listed)
-    return levels, largest
+        frontier = known.filter((F.col("depth") == depth) & (F.col("_listed") < F.col("_max")) & (F.col("_depth") > depth))
+    rows = listed.rows()
+    listed.forget()
+    return rows, largest
+
+
+def _found(frontier: DataFrame, links: DataFrame, known: DataFrame | None, at_most: int) -> DataFrame:
+    """New URLs on the pages of ``frontier``, each with its first path."""
+    found = _read_pages(frontier, links, at_most).groupBy("job_id", F.col("dst").alias("url")).agg(
+        F.min(F.array_append("_path", F.col("pos"))).alias("_path"),
+        *[F.any_value(c).alias(c) for c in ("_depth", "_max", "_site", "_listed")],
+    )
+    return found if known is None else new_only(found, known)
 
 
 def _read_pages(frontier: DataFrame, links: DataFrame, at_most: int) -> DataFrame:
     """Frontier rows with the links of their page to the hosts of their job. The links of a
     page that very many jobs read at once are copied, and each copy serves its share of them.
-    The frontier has ``at_most`` rows."""
+    The frontier has ``at_most`` rows, so only beyond ``HOT_PAGE`` can there be such a page."""
     readers = frontier.drop("ord", "depth").withColumn("host", F.explode("_site")).withColumnRenamed("url", "src")
     on = ["src", "host"]
-    if at_most > HOT_PAGE:
-        jobs = frontier.groupBy(F.col("url").alias("src")).agg(F.count(F.lit(1)).alias("_jobs"))
-        hot, seen = materialize(
-            jobs.filter(F.col("_jobs") > HOT_PAGE).select("src", F.ceil(F.col("_jobs") / HOT_PAGE).cast("int").alias("_shares"))
-        )
-    if at_most > HOT_PAGE and seen["rows"]:
-        shares = F.coalesce("_shares", F.lit(1))
-        readers = readers.join(hot, "src", "left").withColumn("_share", F.pmod(F.hash("job_id"), shares)).drop("_shares")
-        copies = F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share")
-        links = links.join(hot, "src", "left").select(*links.columns, copies)
-        on = [*on, "_share"]
-    return readers.join(links, on)
+    if at_most <= HOT_PAGE:
+        return readers.join(links, on)
+    jobs = readers.groupBy(*on).agg(F.count(F.lit(1)).alias("_jobs"))
+    hot, seen = materialize(
+        jobs.filter(F.col("_jobs") > HOT_PAGE).select(*on, F.ceil(F.col("_jobs") / HOT_PAGE).cast("int").alias("_shares"))
+    )
+    if not seen["rows"]:
+        return readers.join(links, on)
+    # links stay in their buckets: the few of hot pages are copied, the others joined as they lie
+    shared = readers.join(hot, on).withColumn("_share", F.pmod(F.hash("job_id"), F.col("_shares"))).drop("_shares")
+    pages, _ = materialize(links.join(hot, on))
+    copies = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")
+    together = shared.join(pages.select(*links.columns, copies), [*on, "_share"]).drop("_share")
+    return readers.join(hot, on, "left_anti").join(links, on).unionByName(together)
 
 
 def _admit(found: DataFrame) -> DataFrame:
@@ -269,7 +276,7 @@ def crawl_event_log(crawl: Crawl, started: DataFrame) -> DataFrame:
     done = done.withColumn("_left", F.when(cut, F.col("max_urls")).otherwise(F.col("_all")))
     with_html = done.filter(F.col("use_html") & F.col("success"))
     # The URL that reaches the cap is listed but not announced.
-    announced = crawl.html.join(jobs.select("job_id", "max_urls"), "job_id").filter(F.col("ord") < F.col("max_urls"))
+    announced = crawl.html.join(jobs.select("job_id", "max_urls"), "job_id").filter(F.col("ord") < F.coalesce("max_urls", F.lit(NO_LIMIT)))
     sitemap = {"tier": F.lit("sitemap")}
     html = {"tier": F.lit("html")}
     parts = [

@@ -74,3 +74,41 @@ def materialize(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     metrics = {"rows": F.count(F.lit(1)), **metrics}
     df.observe(observed, *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), observed.get
+
+
+class Buckets:
+    """A table in the scratch folder whose rows lie in buckets of ``keys``, so that a join or an aggregate on them moves
+    none of its rows. It grows by :meth:`append`; the catalog entry is named at random and :meth:`forget` removes it, while
+    the files stay and :meth:`rows` reads them without it.
+    """
+
+    def __init__(self, spark: SparkSession, *keys: str, by: str | None = None):
+        self.spark, self.keys, self.by = spark, keys, by
+        self.name = f"pagetrail_{uuid.uuid4().hex}"
+        self.path = f"{scratch_dir(spark).rstrip('/')}/{self.name}"
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.schema = None
+
+    def append(self, df: DataFrame, **metrics) -> dict:
+        """Adds the rows of ``df``, which are moved to their buckets; row count and ``metrics`` as in :func:`materialize`."""
+        observed = Observation()
+        metrics = {"rows": F.count(F.lit(1)), **metrics}
+        counted = df.observe(observed, *[c.alias(k) for k, c in metrics.items()])
+        # dealt out by the hash the buckets have, a task writes whole buckets
+        writer = counted.repartition(self.n, *self.keys).write.mode("append").format("parquet").option("path", self.path)
+        if self.by:
+            writer = writer.partitionBy(self.by)
+        writer.bucketBy(self.n, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
+        self.schema = df.schema
+        return observed.get
+
+    def table(self) -> DataFrame:
+        """The rows so far, known to lie in buckets."""
+        return self.spark.table(self.name)
+
+    def rows(self) -> DataFrame:
+        """The rows so far, as plain files."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -226,3 +226,45 @@ def test_null_max_urls_is_no_limit(spark):
     request = spark.createDataFrame([("j", SITE + "/", 1, None)], "job_id string, url string, depth int, max_urls int")
     links = spark.createDataFrame([(SITE + "/", k, f"{SITE}/p{k}") for k in range(1500)], LINK)
     assert crawl_html(request, links).count() == 1500
+
+
+@pytest.mark.parametrize("hot", [2, 10**6])
+def test_level_moves_neither_links_nor_visited_rows(spark, monkeypatch, hot):
+    """In the plan of a level, links and known URLs are read in their buckets and reach the join without an exchange."""
+    monkeypatch.setattr(crawl, "HOT_PAGE", hot)
+    rows = [(f"{SITE}/{i}", p, f"{SITE}/{(i * 7 + p) % 500}") for i in range(500) for p in range(3)]
+    links = crawl.Buckets(spark, "src", "host")
+    links.append(spark.createDataFrame(rows, LINK).withColumn("host", F.lit("x.com")))
+    known = crawl.Buckets(spark, "job_id", "url", by="depth")
+    listed = spark.range(3000).select(
+        F.concat(F.lit("j"), F.col("id") % 30).alias("job_id"), F.concat(F.lit(SITE + "/"), F.col("id") % 499).alias("url"),
+        F.array(F.col("id").cast("int")).alias("_path"), F.lit(5).alias("_depth"), F.lit(10**6).alias("_max"),
+        F.array(F.lit("x.com")).alias("_site"), F.col("id").alias("ord"), F.lit(100).cast("bigint").alias("_listed"), F.lit(1).alias("depth"),
+    ).dropDuplicates(["job_id", "url"])
+    known.append(listed)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = crawl._found(known.table().filter("depth = 1"), links.table(), known.table(), 3000)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # from each scan upwards to the next join; the frontier is the scan of known URLs that reads paths
+    above, still = [], set()
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        above = [(d, x) for d, x in above if d < depth] + [(depth, line)]
+        if "FileScan" in line and (links.name in line or known.name in line and "_path#" not in line and "_site#" not in line):
+            way = [x for _, x in above][::-1]
+            assert not any("Exchange" in x for x in way[: next(i for i, x in enumerate(way) if "Join" in x)]), plan
+            still.add(links.name if links.name in line else known.name)
+    assert still == {links.name, known.name}, plan
+    links.forget()
+    known.forget()
+
+
+def test_null_limit_lists_and_announces_all(spark):
+    links = spark.createDataFrame([(SITE + "/", p, f"{SITE}/{p}") for p in range(40)], LINK)
+    requests = spark.createDataFrame([("j", SITE + "/", 1, None), ("k", SITE + "/", 1, 7)], "job_id string, url string, depth int, max_urls int")
+    assert crawl.crawl_html(requests, links).groupBy("job_id").count().orderBy("job_id").collect() == [("j", 40), ("k", 7)]
