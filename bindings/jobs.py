@@ -12,6 +12,7 @@ from pagetrail.schemas import CRAWL_EVENT
 from pagetrail.session import scratch_dir
 from pagetrail.sources import inputs, sinks
 from pagetrail.streaming import events as ev
+from pagetrail.streaming import state
 
 from .registry import query
 
@@ -292,24 +293,65 @@ def job_state(t):
     return _plain(ev.job_state(_events(t), ["event_id"]))
 
 
-def _streamed(t, fold):
-    """Run ``fold`` over the event table as a stream, keep its last row per job, and give
-    back the table that the ``foreachBatch`` sink wrote."""
+DAYS = 5  # of events that arrive as one file; a job of a stream lives as long
+
+
+def _streamed(t, rows, order, fold, keys=None):
+    """Give ``rows`` to ``fold`` as a stream that has one file for each value of the column ``order``, and read back what the
+    ``foreachBatch`` sink wrote; with ``keys`` only the last row of each."""
     folder = f"{scratch_dir(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    t.ev.write.parquet(f"{folder}/in")
-    source = t.spark.readStream.schema(t.ev.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    rows.write.partitionBy(order).parquet(f"{folder}/all")
+    parts = t.spark.read.schema(rows.schema).parquet(f"{folder}/all")
+    for (part,) in parts.select(order).distinct().orderBy(order).collect():
+        parts.where(F.col(order) == part).drop(order).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = t.spark.readStream.schema(rows.drop(order).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
     def keep(rows, batch_id):
         rows.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    ev.update_query(fold(source), keep, f"{folder}/checkpoint").awaitTermination()
-    out = t.spark.read.parquet(f"{folder}/out").drop("batch")
-    rest = [c for c in out.columns if c not in ("job_id", "_batch")]
-    return out.groupBy("job_id").agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select("job_id", "_r.*")
+    folded = fold(source)
+    ev.update_query(folded, keep, f"{folder}/checkpoint", mode="update" if keys else "append").awaitTermination()
+    out = t.spark.read.schema(f"{', '.join(f'{c} {d}' for c, d in folded.dtypes)}, _batch long").parquet(f"{folder}/out").drop("batch")
+    if keys is None:
+        return out.drop("_batch")
+    rest = [c for c in out.columns if c not in (*keys, "_batch")]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
+
+
+def _period(column="timestamp"):
+    return F.floor(F.datediff(F.col(column), F.lit("2000-01-01")) / DAYS).cast("int")
 
 
-@query("live_stats_stream", """
-SELECT job_id, coalesce(arg_max(total, (timestamp, event_id)) FILTER (total <> 0), 0) AS url_count, count(*) FILTER (type = 'error') AS error_count,
-  bool_or(type = 'completed') AS finished FROM ev GROUP BY 1""", ("ev",))
+_PERIOD = f"floor(date_diff('day', DATE '2000-01-01', timestamp::DATE) / {DAYS})::INT"
+
+
+@query("live_stats_stream", f"""
+own AS (SELECT * REPLACE (job_id || '-' || ({_PERIOD})::STRING AS job_id), TRY_CAST(nullif(regexp_extract(progress, 'added ([0-9]+) new URLs', 1), '') AS INTEGER) AS added FROM ev)
+SELECT job_id, coalesce(arg_max(total, (timestamp, event_id)) FILTER (total <> 0), 0)::BIGINT AS url_count,
+  coalesce(arg_max(total, (timestamp, event_id)) FILTER (total <> 0 AND tier = 'sitemap' AND type <> 'error'), 0)::BIGINT AS sitemap_count,
+  coalesce(arg_max(added, (timestamp, event_id)) FILTER (added IS NOT NULL AND tier = 'html'), 0)::BIGINT AS html_count,
+  coalesce(arg_max(added, (timestamp, event_id)) FILTER (added IS NOT NULL AND tier = 'headless'), 0)::BIGINT AS headless_count,
+  count(*) FILTER (type = 'tier_switch' AND contains(progress, 'Starting Tier')) AS tiers_used, count(*) FILTER (type = 'error') AS error_count,
+  bool_or(type = 'completed') AS finished FROM own GROUP BY 1""", ("ev",))
 def live_stats_stream(t):
-    return _streamed(t, lambda s: ev.live_stats(s, ["event_id"])).select("job_id", "url_count", "error_count", "finished")
+    job = F.concat_ws("-", "job_id", _period().cast("string"))
+    rows = t.ev.withColumn("period", _period()).withColumn("job_id", job)
+    return _streamed(t, rows, "period", lambda s: state.live_stats(s, "event_id"), ["job_id"])
+
+
+@query("drop_stale_stream", f"""
+sent AS (SELECT event_id, timestamp, {_PERIOD} + (event_id % 10 = 3)::INT AS batch FROM ev),
+mark AS (SELECT batch, max(max(epoch_ms(timestamp))) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000 AS ms FROM sent GROUP BY 1)
+SELECT event_id FROM sent JOIN mark USING (batch) WHERE ms IS NULL OR epoch_us(timestamp) >= ms * 1000""", ("ev",))
+def drop_stale_stream(t):
+    """Every tenth event arrives a file later than the others of its time."""
+    rows = t.ev.withColumn("batch", _period() + (F.col("event_id") % 10 == 3).cast("int"))
+    return _streamed(t, rows, "batch", state.drop_stale).select("event_id")
+
+
+@query("expire_jobs_stream", """
+SELECT id, created_at FROM job WHERE epoch_ms(created_at) + 86400000 < (SELECT max(epoch_ms(created_at)) - 3600000 FROM job)""", ("job",))
+def expire_jobs_stream(t):
+    """Jobs arrive by the year; each is given back once the clock has passed its day."""
+    rows = t.job.select("id", "created_at").withColumn("year", F.year("created_at"))
+    return _plain(_streamed(t, rows, "year", state.expirations))

@@ -42,8 +42,9 @@ def connected_message(messages: DataFrame, subscriptions: DataFrame, now: Column
 
 
 def drop_stale(events: DataFrame) -> DataFrame:
-    """Events older than one hour behind the newest are late. On a stream this sets the
-    watermark, by which stateful operators drop them; on a batch they are filtered."""
+    """Events older than one hour behind the newest are late and go. On a stream this sets the watermark, by which the
+    stateful operators of Spark that follow drop them; :func:`.state.drop_stale` drops them where none follows, and
+    :func:`.state.live_stats` does by itself."""
     if events.isStreaming:
         return events.withWatermark("timestamp", STALE_AFTER)
     newest = events.agg(F.max("timestamp")).scalar()
@@ -59,21 +60,35 @@ def _last(value: Column, when: Column, tie: list[str] | None) -> Column:
     return F.max_by(value, F.when(when & value.isNotNull(), _order(tie)))
 
 
-def live_stats(events: DataFrame, tie: list[str] | None = None) -> DataFrame:
-    """One row of counters per job. Event time decides what is last; ``tie`` breaks ties."""
-    total = F.nullif(F.col("total"), F.lit(0))
-    added = parse_added(F.col("progress"))
+LATEST = ["url_count", "sitemap_count", "html_count", "headless_count"]
+COUNTED = ["tiers_used", "error_count"]
+
+
+def measures(events: DataFrame) -> DataFrame:
+    """``events`` with what each tells about the counters of its job: ``LATEST`` hold a number or null, of which the newest
+    counts, ``COUNTED`` whether it counts, ``finished`` whether it ends the job."""
     tier, kind = F.coalesce("tier", F.lit("")), F.col("type")
-    starts = (kind == "tier_switch") & F.coalesce(F.col("progress").contains("Starting Tier"), F.lit(False))
-    zero = F.lit(0)
-    return events.groupBy("job_id").agg(
-        F.coalesce(_last(total, F.lit(True), tie), zero).alias("url_count"),
-        F.coalesce(_last(total, (tier == "sitemap") & (kind != "error"), tie), zero).alias("sitemap_count"),
-        F.coalesce(_last(added, tier == "html", tie), zero).alias("html_count"),
-        F.coalesce(_last(added, tier == "headless", tie), zero).alias("headless_count"),
-        F.count_if(starts).alias("tiers_used"),
-        F.count_if(kind == "error").alias("error_count"),
-        F.bool_or(kind == "completed").alias("finished"),
+    total, added = F.nullif(F.col("total"), F.lit(0)), parse_added(F.col("progress"))
+    return events.withColumns(
+        {
+            "url_count": total,
+            "sitemap_count": F.when((tier == "sitemap") & (kind != "error"), total),
+            "html_count": F.when(tier == "html", added),
+            "headless_count": F.when(tier == "headless", added),
+            "tiers_used": (kind == "tier_switch") & F.coalesce(F.col("progress").contains("Starting Tier"), F.lit(False)),
+            "error_count": F.coalesce(kind == "error", F.lit(False)),
+            "finished": F.coalesce(kind == "completed", F.lit(False)),
+        }
+    )
+
+
+def live_stats(events: DataFrame, tie: list[str] | None = None) -> DataFrame:
+    """One row of counters per job. Event time decides what is last; ``tie`` breaks ties. :func:`.state.live_stats` is the
+    form for streams."""
+    return measures(events).groupBy("job_id").agg(
+        *[F.coalesce(_last(F.col(c), F.lit(True), tie), F.lit(0)).alias(c) for c in LATEST],
+        *[F.count_if(F.col(c)).alias(c) for c in COUNTED],
+        F.bool_or("finished").alias("finished"),
     )
 
 
@@ -132,8 +147,7 @@ def job_state(events: DataFrame, tie: list[str] | None = None) -> DataFrame:
     )
 
 
-def update_query(df: DataFrame, batch_function, checkpoint: str, trigger: dict | None = None):
-    """Start ``df`` in update mode with a ``foreachBatch`` sink. The checkpoint folder must be
-    shared storage on a cluster."""
-    writer = df.writeStream.outputMode("update").foreachBatch(batch_function).option("checkpointLocation", checkpoint)
+def update_query(df: DataFrame, batch_function, checkpoint: str, trigger: dict | None = None, mode: str = "update"):
+    """Start ``df`` with a ``foreachBatch`` sink. The checkpoint folder must be shared storage on a cluster."""
+    writer = df.writeStream.outputMode(mode).foreachBatch(batch_function).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
