@@ -11,6 +11,7 @@ from pagetrail.operators import jobs, ordering
 from pagetrail.schemas import CRAWL_EVENT
 from pagetrail.session import scratch_dir
 from pagetrail.sources import inputs, sinks
+from pagetrail.sources.job_log import JobLog
 from pagetrail.streaming import events as ev
 from pagetrail.streaming import state
 
@@ -102,6 +103,41 @@ def upsert_jobs(t):
     return _plain(jobs.upsert_jobs(t.job, t.job_update))
 
 
+def _job_log(t):
+    """Jobs as the first batch of a log, their updates as three more."""
+    log = JobLog(t.spark, f"{scratch_dir(t.spark).rstrip('/')}/jobs-{uuid.uuid4().hex}", buckets=16)
+    log.append(t.job, 0)
+    for k in range(3):
+        log.append(t.job_update.where(F.col("id").cast("long") % 3 == k), k + 1)
+    return log
+
+
+_CURRENT = _UPSERTED + " SELECT id, status, progress, error, created_at, updated_at FROM up"
+
+
+@query("current_jobs", _CURRENT, ("job",))
+def current_jobs(t):
+    """Base from two compactions, and one open delta."""
+    log = _job_log(t)
+    log.compact(1)
+    log.compact()
+    return _plain(log.current())
+
+
+@query("current_jobs_uncompacted", _CURRENT, ("job",))
+def current_jobs_uncompacted(t):
+    return _plain(_job_log(t).current())
+
+
+@query("current_jobs_compacting", _CURRENT, ("job",))
+def current_jobs_compacting(t):
+    """While a compaction has written its buckets and not switched over."""
+    log = _job_log(t)
+    log.compact(0)
+    log.prepare(3)
+    return _plain(log.current())
+
+
 @query("job_lookup", _UPSERTED + " SELECT id, status, progress FROM up WHERE id = '42'", ("job",))
 def job_lookup(t):
     return jobs.job_lookup(jobs.upsert_jobs(t.job, t.job_update), "42").select("id", "status", "progress")

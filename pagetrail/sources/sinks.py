@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.jobs import upsert_jobs
 from ..schemas import CRAWL_EVENT
+from .job_log import JobLog
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -32,19 +32,14 @@ def event_envelope(events: DataFrame) -> DataFrame:
 
 
 def append_job_updates(path: str):
-    """``foreachBatch`` function: each micro-batch adds its job updates under ``path``.
-
-    A batch owns its folder, so a retry replaces its own rows and nothing else; the cost
-    per batch follows the batch, not the table. :func:`current_jobs` folds them.
-    """
+    """``foreachBatch`` function: each micro-batch adds its job updates to the :class:`.job_log.JobLog` under ``path``."""
 
     def run(updates: DataFrame, batch_id: int) -> None:
-        updates.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        JobLog(updates.sparkSession, path).append(updates, batch_id)
 
     return run
 
 
 def current_jobs(spark: SparkSession, path: str) -> DataFrame:
     """The job table as of all updates appended so far: last update wins per field."""
-    rows = spark.read.parquet(path).drop("batch")
-    return upsert_jobs(rows.limit(0), rows)
+    return JobLog(spark, path).current()
