@@ -184,16 +184,28 @@ def crawl_sitemaps(t):
     return sitemaps.crawl_sitemaps(t.request, t.site_fetch, _robots(t), _docs(t))
 
 
-@query("sitemap_failures", ",".join([_ROBOT_LINES, _LISTED, _WALK, _CANDIDATES]) + """,
-kept AS (SELECT url, count(*) AS n FROM listed GROUP BY url)
-SELECT t.job_id, array_to_string(list_prepend(t.ord, o.path), '/') AS path, o.url, CASE WHEN d.url IS NULL THEN 'not fetched' ELSE b.reason END AS reason,
-  line, place, coalesce(k.n, 0) AS n_kept
-FROM there t JOIN opened o ON o.root = t.url LEFT JOIN sitemap_doc d ON d.url = o.url LEFT JOIN bad_doc b ON b.url = o.url LEFT JOIN kept k ON k.url = o.url
-WHERE d.url IS NULL OR b.url IS NOT NULL""", ("request", "robots_doc"))
-def sitemap_failures(t):
+_DOCUMENTS = """
+own_doc AS (SELECT t.job_id, o.url, min(list_prepend(t.ord, o.path)) AS path FROM there t JOIN opened o ON o.root = t.url GROUP BY 1, 2),
+kept AS (SELECT url, count(*) AS n FROM listed GROUP BY url),
+job_doc AS (SELECT j.*, coalesce(k.is_index, false) AS is_index, coalesce(c.n, 0) AS n_kept, CASE WHEN k.url IS NULL THEN 'not fetched' ELSE b.reason END AS reason, b.line, b.place
+  FROM own_doc j LEFT JOIN doc_kind k ON k.url = j.url LEFT JOIN bad_doc b ON b.url = j.url LEFT JOIN kept c ON c.url = j.url)"""
+
+
+def _opened(t):
     found, _ = materialize(sitemaps.discover_sitemaps(t.request, t.site_fetch, _robots(t)))
-    opened = sitemaps.open_sitemaps(found.select("url").distinct(), _docs(t))
-    return sitemaps.sitemap_failures(found, opened).withColumn("path", _path("path"))
+    return found, sitemaps.open_sitemaps(found.select("url").distinct(), _docs(t))
+
+
+@query("sitemap_documents", ",".join([_ROBOT_LINES, _LISTED, _WALK, _CANDIDATES, _DOCUMENTS]) + """
+SELECT job_id, array_to_string(path, '/') AS path, url, is_index, n_kept, reason, line, place FROM job_doc""", ("request", "robots_doc"))
+def sitemap_documents(t):
+    return sitemaps.sitemap_documents(*_opened(t)).withColumn("path", _path("path"))
+
+
+@query("sitemap_failures", ",".join([_ROBOT_LINES, _LISTED, _WALK, _CANDIDATES, _DOCUMENTS]) + """
+SELECT job_id, array_to_string(path, '/') AS path, url, n_kept, reason, line, place FROM job_doc WHERE reason IS NOT NULL""", ("request", "robots_doc"))
+def sitemap_failures(t):
+    return sitemaps.sitemap_failures(*_opened(t)).withColumn("path", _path("path"))
 
 
 @query("unique_sitemap_urls", ",".join([_ROBOT_LINES, _LISTED, _WALK, _CANDIDATES, _SITEMAP_CRAWL]) + """
@@ -220,7 +232,7 @@ hop AS (SELECT job_id, 0 AS depth, CAST([] AS INTEGER[]) AS path, url FROM {jobs
     JOIN {jobs} r ON r.job_id = h.job_id JOIN site_edge e ON e.src = h.url WHERE h.depth < r.depth),
 reached AS (SELECT job_id, url, min(depth) AS depth, arg_min(path, (depth, path)) AS path FROM hop WHERE depth > 0 GROUP BY 1, 2),
 numbered AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY depth, path) AS ord, CAST(depth AS INT) AS depth, url FROM reached),
-html AS (SELECT n.* FROM numbered n JOIN {jobs} r ON n.job_id = r.job_id WHERE n.ord <= r.max_urls)"""
+html AS (SELECT n.* FROM numbered n JOIN {jobs} r ON n.job_id = r.job_id WHERE n.ord <= coalesce(r.max_urls, 1000000000))"""
 
 
 def _site_links(t):
@@ -237,6 +249,27 @@ def crawl_html(t):
     return crawl.crawl_html(t.request, _site_links(t))
 
 
+def _pages(jobs: str) -> str:
+    """Pages that the walk of ``jobs`` reads, by the rows of :func:`_bfs`."""
+    return f"""
+walked AS (SELECT h.*, r.path FROM html h JOIN reached r ON r.job_id = h.job_id AND r.url = h.url),
+ended AS (SELECT a.job_id, coalesce(p.ord, 0) AS last FROM walked a JOIN {jobs} t ON t.job_id = a.job_id AND a.ord = t.max_urls
+  LEFT JOIN walked p ON p.job_id = a.job_id AND p.path = a.path[1:len(a.path) - 1]),
+visit AS (SELECT job_id, 1 AS page_count, 1 AS depth, url FROM {jobs}
+  UNION ALL SELECT h.job_id, 1 + row_number() OVER (PARTITION BY h.job_id ORDER BY h.ord), h.depth + 1, h.url FROM walked h JOIN {jobs} t ON t.job_id = h.job_id
+  LEFT JOIN ended e ON e.job_id = h.job_id WHERE h.depth < t.depth AND h.url <> t.url AND (e.last IS NULL OR h.ord <= e.last))"""
+
+
+@query("crawl_visits", _bfs("request") + "," + _pages("request") + " SELECT job_id, page_count, depth, url FROM visit", ("request",))
+def crawl_visits(t):
+    return crawl.walk(t.request, _site_links(t)).visits
+
+
+@query("pages_per_job", _bfs("request") + "," + _pages("request") + " SELECT job_id, count(*) AS n_pages FROM visit GROUP BY 1", ("request",))
+def pages_per_job(t):
+    return crawl.pages_per_job(crawl.walk(t.request, _site_links(t)).visits)
+
+
 @query("crawl_stored_pages", FOUND + """,
 chosen AS (SELECT split_part(url, '#', 1) AS src, min(page_id) AS page_id FROM pages GROUP BY 1),
 reached AS (SELECT g.page_id, f.dst AS url, min(f.pos) AS pos FROM pages g JOIN chosen c ON c.src = split_part(g.url, '#', 1)
@@ -279,7 +312,7 @@ def page_counter(t):
 @query("truncate_urls", """
 u AS (SELECT r.job_id, e.src || '>' || CAST(e.pos AS STRING) AS url, row_number() OVER (PARTITION BY r.job_id ORDER BY e.src, e.pos) AS ord, r.max_urls
   FROM request r JOIN site_page p ON p.s = r.s JOIN site_edge e ON e.src = p.url)
-SELECT job_id, ord, url FROM u WHERE ord <= max_urls""", ("request",))
+SELECT job_id, ord, url FROM u WHERE ord <= coalesce(max_urls, 1000000000)""", ("request",))
 def truncate_urls(t):
     pages = t.site_page.select("s", F.col("url").alias("src"))
     rows = t.request.select("job_id", "s").join(pages, "s").join(t.site_edge, "src")
@@ -296,6 +329,14 @@ def merge_tiers(t):
     return ordering.merge_tiers(sm, crawl.crawl_html(t.request, _site_links(t)))
 
 
+@query("merge_counts", _bfs("request") + ",".join(["", _ROBOT_LINES, _LISTED, _WALK, _CANDIDATES, _SITEMAP_CRAWL]) + """,
+ranked AS (SELECT job_id, url, 1 AS rank FROM sm UNION ALL SELECT job_id, url, 2 FROM html),
+first AS (SELECT job_id, url, min(rank) AS rank FROM ranked GROUP BY 1, 2)
+SELECT job_id, count(*) FILTER (rank = 1) AS n_before, count(*) FILTER (rank = 2) AS n_new, count(*) AS total FROM first GROUP BY 1""", ("request", "robots_doc"))
+def merge_counts(t):
+    return ordering.merge_counts(merge_tiers(t))
+
+
 # -- all tiers ----------------------------------------------------------------------
 
 _TIERS = ",".join([_ROBOT_LINES, _LISTED, _WALK, """
@@ -323,7 +364,7 @@ _bfs("tier2").replace("e.src = h.url", "e.src = h.url AND regexp_extract(e.dst,
 added AS (SELECT h.job_id, t2.n_sm + row_number() OVER (PARTITION BY h.job_id ORDER BY h.ord) AS ord, h.url, 'html' AS tier
   FROM html h JOIN tier2 t2 ON t2.job_id = h.job_id WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.job_id = h.job_id AND sm.url = h.url)),
 merged AS (SELECT job_id, ord, url, 'sitemap' AS tier FROM sm UNION ALL SELECT * FROM added),
-final AS (SELECT m.* FROM merged m JOIN request r ON r.job_id = m.job_id WHERE r.max_urls <= 0 OR m.ord <= r.max_urls)"""])
+final AS (SELECT m.* FROM merged m JOIN request r ON r.job_id = m.job_id WHERE coalesce(r.max_urls, 0) <= 0 OR m.ord <= r.max_urls)"""])
 
 
 def _crawl(t):
@@ -365,26 +406,43 @@ def crawl_result(t):
     )
 
 
-@query("crawl_event_log", _TIERS + """,
+@query("crawl_event_log", _TIERS + "," + _pages("tier2") + "," + _DOCUMENTS + """,
 per_job AS (SELECT c.*, (SELECT count(*) FROM added x WHERE x.job_id = c.job_id) AS n_html FROM counted c),
-log AS (SELECT job_id, 'progress' AS type, NULL AS tier FROM flagged
-  UNION ALL SELECT job_id, 'error', NULL FROM flagged WHERE NOT success AND NOT saved
-  UNION ALL SELECT job_id, 'progress', 'sitemap' FROM alive WHERE saved
-  UNION ALL SELECT job_id, 'progress', NULL FROM alive WHERE target <> url
-  UNION ALL SELECT job_id, 'tier_switch', 'sitemap' FROM alive WHERE want1
-  UNION ALL SELECT job_id, 'sitemap_discovered', 'sitemap' FROM there
-  UNION ALL SELECT job_id, 'progress', 'sitemap' FROM alive WHERE want1
-  UNION ALL SELECT job_id, 'tier_switch', 'html' FROM counted WHERE want2 AND n_sm < 10
-  UNION ALL SELECT job_id, 'error', 'html' FROM counted WHERE want2 AND n_sm < 10 AND NOT success
-  UNION ALL SELECT h.job_id, 'url_discovered', NULL FROM html h JOIN request r ON r.job_id = h.job_id WHERE h.ord < r.max_urls
-  UNION ALL SELECT job_id, 'progress', 'html' FROM tier2
-  UNION ALL SELECT job_id, 'progress', NULL FROM per_job WHERE max_urls > 0 AND n_sm + n_html > max_urls
-  UNION ALL SELECT job_id, 'completed', NULL FROM alive UNION ALL SELECT job_id, 'completed', NULL FROM alive)
-SELECT job_id, type, tier, count(*) AS n FROM log GROUP BY 1, 2, 3""", ("request", "robots_doc"))
+ending AS (SELECT *, n_sm + n_html AS n_all, CASE WHEN max_urls > 0 AND n_sm + n_html > max_urls THEN max_urls ELSE n_sm + n_html END AS n_left,
+  (n_sm > 0)::INT + (n_html > 0)::INT AS tiers FROM per_job),
+doc_n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY path) AS n FROM job_doc),
+level AS (SELECT job_id, depth, sum(p) AS p, sum(u) AS u FROM (SELECT job_id, depth, 1 AS p, 0 AS u FROM visit UNION ALL SELECT job_id, depth, 0, 1 FROM html) GROUP BY 1, 2),
+before AS (SELECT job_id, depth, sum(p) OVER w AS pages, sum(u) OVER w - u AS urls FROM level WINDOW w AS (PARTITION BY job_id ORDER BY depth)),
+log AS (SELECT job_id, 0 AS micro, 'progress' AS type, NULL::TEXT AS url, NULL::INT AS depth, 'Crawl begins' AS progress, NULL::INT AS total, NULL::INT AS page_count,
+    NULL::TEXT AS error, NULL::TEXT AS tier FROM flagged
+  UNION ALL BY NAME SELECT job_id, 1000000 AS micro, 'error' AS type, 'No address of the site answers: ' || coalesce(err, '') AS progress, err AS error FROM flagged WHERE NOT success AND NOT saved
+  UNION ALL BY NAME SELECT job_id, 1000000 AS micro, 'progress' AS type, 'No address answers, going on with the sitemaps of robots.txt' AS progress, 'sitemap' AS tier FROM alive WHERE saved
+  UNION ALL BY NAME SELECT job_id, 1000000 AS micro, 'progress' AS type, 'Reading ' || target || ' in place of ' || url AS progress FROM alive WHERE target <> url
+  UNION ALL BY NAME SELECT job_id, 2000000 AS micro, 'tier_switch' AS type, 'Starting Tier 1: sitemaps' AS progress, 'sitemap' AS tier FROM alive WHERE want1
+  UNION ALL BY NAME SELECT job_id, 3000000 + ord AS micro, 'sitemap_discovered' AS type, url, 'Sitemap at ' || url AS progress, 'sitemap' AS tier FROM there
+  UNION ALL BY NAME SELECT job_id, 3000000 AS micro, 'progress' AS type, 'The site has no sitemaps' AS progress, 'sitemap' AS tier FROM alive WHERE want1 AND job_id NOT IN (SELECT job_id FROM there)
+  UNION ALL BY NAME SELECT job_id, 3999999 + 2 * n AS micro, 'progress' AS type, 'Reading sitemap ' || url AS progress, 'sitemap' AS tier FROM doc_n
+  UNION ALL BY NAME SELECT job_id, 4000000 + 2 * n AS micro, 'progress' AS type, 'Sitemap ' || url || ' lists ' || n_kept::TEXT || CASE WHEN is_index THEN ' sitemaps' ELSE ' URLs' END AS progress,
+    CASE WHEN NOT is_index THEN nullif(n_kept, 0) END::INT AS total, 'sitemap' AS tier FROM doc_n WHERE reason IS NULL
+  UNION ALL BY NAME SELECT job_id, 4000000 + 2 * n AS micro, 'error' AS type, 'Sitemap ' || url || ' cannot be read: ' || reason AS progress, reason AS error, 'sitemap' AS tier FROM doc_n WHERE reason IS NOT NULL AND len(path) = 1
+  UNION ALL BY NAME SELECT job_id, 5000000 AS micro, 'progress' AS type, 'Sitemaps read, ' || n_sm::TEXT || ' different URLs' AS progress, nullif(n_sm, 0)::INT AS total, 'sitemap' AS tier
+    FROM counted WHERE want1 AND job_id IN (SELECT job_id FROM there)
+  UNION ALL BY NAME SELECT job_id, 6000000 AS micro, 'tier_switch' AS type, 'Starting Tier 2: links of pages' AS progress, 'html' AS tier FROM counted WHERE want2 AND n_sm < 10
+  UNION ALL BY NAME SELECT job_id, 7000000 AS micro, 'error' AS type, 'Links cannot be read: ' || err AS progress, err AS error, 'html' AS tier FROM counted WHERE want2 AND n_sm < 10 AND NOT success
+  UNION ALL BY NAME SELECT v.job_id, 7000000 + v.page_count + b.urls AS micro, 'progress' AS type, 'Reading page ' || v.page_count::TEXT || ' at depth ' || v.depth::TEXT || ': ' || v.url AS progress, v.page_count::INT AS page_count
+    FROM visit v JOIN before b ON b.job_id = v.job_id AND b.depth = v.depth
+  UNION ALL BY NAME SELECT h.job_id, 7000000 + h.ord + b.pages AS micro, 'url_discovered' AS type, h.url, h.depth::INT AS depth, h.ord::INT AS total
+    FROM html h JOIN request r ON r.job_id = h.job_id JOIN before b ON b.job_id = h.job_id AND b.depth = h.depth WHERE h.ord < coalesce(r.max_urls, 1000000000)
+  UNION ALL BY NAME SELECT job_id, 8000000 AS micro, 'progress' AS type, 'Links of pages added ' || n_html::TEXT || ' new URLs, ' || n_all::TEXT || ' in all' AS progress, nullif(n_all, 0)::INT AS total, 'html' AS tier
+    FROM ending WHERE want2 AND n_sm < 10 AND success
+  UNION ALL BY NAME SELECT job_id, 9000000 AS micro, 'progress' AS type, 'Kept the first ' || max_urls::TEXT || ' URLs, as asked for' AS progress FROM ending WHERE n_left < n_all
+  UNION ALL BY NAME SELECT job_id, 10000000 AS micro, 'completed' AS type, n_left::TEXT || ' URLs by ' || tiers::TEXT || ' tiers' AS progress, nullif(n_left, 0)::INT AS total FROM ending
+  UNION ALL BY NAME SELECT job_id, 10000001 AS micro, 'completed' AS type, 'Crawl ends with ' || n_left::TEXT || ' URLs' AS progress, nullif(n_left, 0)::INT AS total FROM ending)
+SELECT type, job_id, url, depth, progress, TIMESTAMP '2024-05-01 10:00:00' + to_microseconds(micro::BIGINT) AS timestamp, total, page_count, error, tier FROM log""", ("request", "robots_doc"))
 def crawl_event_log(t):
     done = _crawl(t)
     started = t.request.select("job_id", F.to_timestamp(F.lit("2024-05-01 10:00:00")).alias("started_at"))
-    return crawl.crawl_event_log(done, started).groupBy("job_id", "type", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return crawl.crawl_event_log(done, started).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query("fetch_plan", _bfs("request") + """

@@ -40,7 +40,7 @@ request AS (
     root || '/p/' || CAST(k AS STRING) AS url, CAST(1 + page_id % 3 AS INT) AS depth,
     CAST(5 + page_id % 7 AS INT) AS workers,
     CASE page_id % 3 WHEN 0 THEN '200ms' WHEN 1 THEN '1.5s' ELSE 'soon' END AS delay,
-    CAST(CASE page_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 12 ELSE 1000 END AS INT) AS max_urls,
+    CAST(CASE page_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 12 ELSE CASE WHEN page_id % 8 = 3 THEN 1000 END END AS INT) AS max_urls,
     page_id % 5 = 1 AS enable_sitemap, page_id % 5 = 2 AS enable_html, page_id % 11 = 5 AS enable_headless
   FROM site_page)"""
 

@@ -196,7 +196,7 @@ def first_seen_links(t):
 
 
 @query("links_per_host", FOUND + """
-SELECT split_part(dst, '/', 3) AS host, count(*) AS n_links, count(DISTINCT dst) AS n_urls FROM found GROUP BY 1""", ("p",))
+SELECT split_part(dst, '/', 3) AS host, count(DISTINCT page_id) AS n_pages, count(*) AS n_links, count(DISTINCT dst) AS n_urls FROM found GROUP BY 1""", ("p",))
 def links_per_host(t):
     return links.links_per_host(t.pages)
 

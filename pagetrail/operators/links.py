@@ -116,7 +116,8 @@ def link_counts(pages: DataFrame) -> DataFrame:
 
 
 def links_per_host(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, n_links, n_urls): the link inventory of every site."""
+    """(host, n_pages, n_links, n_urls): the link inventory of every site; ``n_pages`` are those that link to it."""
     links = discover_links(pages).select(host_of(F.col("dst")).alias("host"), "dst", "page_id")
-    per_url = links.groupBy("host", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return per_url.groupBy("host").agg(F.sum("n").alias("n_links"), F.count(F.lit(1)).alias("n_urls"))
+    return links.groupBy("host").agg(
+        F.count_distinct("page_id").alias("n_pages"), F.count(F.lit(1)).alias("n_links"), F.count_distinct("dst").alias("n_urls")
+    )

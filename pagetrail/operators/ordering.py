@@ -116,3 +116,9 @@ def merge_tiers(sitemap_urls: DataFrame, html_urls: DataFrame) -> DataFrame:
     first = ranked.groupBy("job_id", "url").agg(F.min(F.struct("rank", "tier_ord")).alias("_f"))
     tier = F.when(F.col("_f.rank") == 1, "sitemap").otherwise("html")
     return first.select("job_id", "url", tier.alias("tier"), F.col("_f.tier_ord").alias("tier_ord"))
+
+
+def merge_counts(merged: DataFrame) -> DataFrame:
+    """(job_id, n_before, n_new, total): what the first tier had, and what merging the second in has added."""
+    later = F.count_if(F.col("tier") != "sitemap")
+    return merged.groupBy("job_id").agg((F.count(F.lit(1)) - later).alias("n_before"), later.alias("n_new"), F.count(F.lit(1)).alias("total"))

@@ -147,15 +147,15 @@ def _smallest(rounds: list[DataFrame]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Opened:
-    """Outcome of :func:`open_sitemaps`. ``entries``: root, path, loc; ``errors``: root, path, url, reason, line, place,
-    n_kept, for documents that are missing or could not be read to their end."""
+    """Outcome of :func:`open_sitemaps`. ``entries``: root, path, loc; ``documents``: root, path, url, is_index, n_kept,
+    reason, line, place, where ``reason`` is null for documents that are there and could be read to their end."""
 
     entries: DataFrame
-    errors: DataFrame
+    documents: DataFrame
 
 
 def open_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int | None = None) -> Opened:
-    """Every URL listed below each root, in document order of ``path``, and what went wrong on the way."""
+    """Every URL listed below each root, in document order of ``path``, and the documents that were opened for it."""
     # XML is parsed once; every round of the expansion then reads the narrow listing.
     read, _ = materialize(read_sitemap_docs(docs))
     listed = listing(read)
@@ -165,12 +165,13 @@ def open_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int | None = Non
     rows = opened.join(entries, opened["url"] == entries["_url"]).select(
         "root", F.array_append("path", F.col("pos")).alias("path"), "loc"
     )
-    state = read.select(F.col("url").alias("_url"), F.lit(True).alias("_there"), "reason", "line", "place", _kept().alias("n_kept"))
-    # documents without a fault need not be carried; those there are marked all the same
-    judged = opened.join(state, opened["url"] == state["_url"], "left").filter(F.col("_there").isNull() | F.col("reason").isNotNull())
-    reason = F.when(F.col("_there").isNull(), MISSING).otherwise(F.col("reason"))
-    errors = judged.select("root", "path", "url", reason.alias("reason"), "line", "place", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
-    return Opened(rows, errors)
+    state = read.select(F.col("url").alias("_url"), F.lit(True).alias("_there"), "is_index", _kept().alias("n_kept"), "reason", "line", "place")
+    judged = opened.join(state, opened["url"] == state["_url"], "left")
+    documents = judged.select(
+        "root", "path", "url", F.coalesce("is_index", F.lit(False)).alias("is_index"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"),
+        F.when(F.col("_there").isNull(), MISSING).otherwise(F.col("reason")).alias("reason"), "line", "place",
+    )
+    return Opened(rows, documents)
 
 
 def parse_sitemaps(roots: DataFrame, docs: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -199,9 +200,16 @@ def urls_of_sitemaps(found: DataFrame, opened: Opened) -> DataFrame:
     return ordinal(first, ["job_id"], ["path"]).select("job_id", "ord", "url")
 
 
+def sitemap_documents(found: DataFrame, opened: Opened) -> DataFrame:
+    """(job_id, path, url, is_index, n_kept, reason, line, place): every document a job opened, once; of several places in
+    its sitemaps the first."""
+    placed = _placed(found, opened.documents)
+    return first_seen_distinct(placed, ["job_id", "url"], "path", "is_index", "n_kept", "reason", "line", "place").select(*placed.columns)
+
+
 def sitemap_failures(found: DataFrame, opened: Opened) -> DataFrame:
-    """(job_id, path, url, reason, line, place, n_kept): what a job could not read; its sitemaps first, in their order."""
-    return _placed(found, opened.errors)
+    """Those of :func:`sitemap_documents` that are missing or could not be read to their end."""
+    return sitemap_documents(found, opened).filter(F.col("reason").isNotNull()).drop("is_index")
 
 
 def _placed(found: DataFrame, below: DataFrame) -> DataFrame:

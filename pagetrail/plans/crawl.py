@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import (
@@ -20,7 +20,7 @@ from ..operators.fallback import first_accessible
 from ..operators.links import new_only
 from ..operators.ordering import ordinal, truncate_urls
 from ..operators.robots import robots_sitemaps
-from ..operators.sitemaps import discover_sitemaps, sitemap_urls
+from ..operators.sitemaps import discover_sitemaps, open_sitemaps, sitemap_documents, urls_of_sitemaps
 from ..session import Buckets, materialize
 
 RESULT_PART = MAX_URLS_LIMIT
@@ -36,11 +36,21 @@ def crawl_html(requests: DataFrame, links: DataFrame) -> DataFrame:
     followed while d < ``depth``. A job stops at ``max_urls`` (null: no limit); the URL that reaches the
     cap is listed and nothing after it is read.
     """
-    return _walk(requests, links)[0]
+    return walk(requests, links).urls
 
 
-def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """:func:`crawl_html` and the URL count of its largest job."""
+@dataclass(frozen=True)
+class Walk:
+    """Outcome of :func:`walk`. ``urls``: job_id, ord, depth, url as :func:`crawl_html`; ``visits``: job_id, page_count,
+    depth, url of the pages that were read, in the order of ``page_count`` 1, 2, ...; ``largest``: URLs of the largest job."""
+
+    urls: DataFrame
+    visits: DataFrame
+    largest: int
+
+
+def walk(requests: DataFrame, links: DataFrame) -> Walk:
+    """:func:`crawl_html` with the pages it read. A page counts when it is asked for, whether or not it is stored."""
     limits = requests.select(
         "job_id",
         canonical_url(F.col("url")).alias("url"),
@@ -66,8 +76,30 @@ def _walk(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         by_host.forget()
     if found is None:
         empty = seeds.limit(0)
-        return empty.select("job_id", F.col("_listed").alias("ord"), F.col("_depth").alias("depth"), "url"), 0
-    return found.select("job_id", "ord", "depth", "url"), largest
+        urls = empty.select("job_id", F.col("_listed").alias("ord"), F.col("_depth").alias("depth"), "url")
+        return Walk(urls, empty.select("job_id", F.col("_listed").alias("page_count"), F.col("_depth").alias("depth"), "url"), 0)
+    return Walk(found.select("job_id", "ord", "depth", "url"), _visits(seeds, found), largest)
+
+
+def _visits(seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages read: the seed, then what was listed in its order, down to the job's depth and to the page whose link filled
+    the job. A seed that is linked is not read again."""
+    parent = F.slice("_path", 1, F.size("_path") - 1)
+    filled = found.filter(F.col("ord") == F.col("_max")).select("job_id", parent.alias("_path"))
+    pages = found.select("job_id", "_path", F.col("ord").alias("_page"))
+    last = filled.join(pages, ["job_id", "_path"], "left").select("job_id", F.coalesce("_page", F.lit(0)).alias("_last"))
+    again = found.select("job_id", "url", F.col("ord").alias("_again")).join(seeds.select("job_id", "url"), ["job_id", "url"])
+    ends = last.join(again.select("job_id", "_again"), "job_id", "full_outer")
+    rows = found.filter(F.col("depth") < F.col("_depth")).join(ends, "job_id", "left")
+    read = rows.filter((F.col("_last").isNull() | (F.col("ord") <= F.col("_last"))) & (F.col("_again").isNull() | (F.col("ord") != F.col("_again"))))
+    number = F.col("ord") + 1 - F.coalesce((F.col("_again") < F.col("ord")).cast("int"), F.lit(0))
+    first = seeds.select("job_id", F.lit(1).cast("bigint").alias("page_count"), F.lit(1).alias("depth"), "url")
+    return first.unionByName(read.select("job_id", number.alias("page_count"), (F.col("depth") + 1).alias("depth"), "url"))
+
+
+def pages_per_job(visits: DataFrame) -> DataFrame:
+    """(job_id, n_pages): pages read."""
+    return visits.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 def _levels(seeds: DataFrame, at_most: int, links: Buckets, deepest: int) -> tuple[DataFrame, int]:
@@ -138,14 +170,17 @@ class Crawl:
 
     ``jobs``: job_id, status, error, target_url, success, flags and settings;
     ``urls``: job_id, ord, url, tier after the URL limit; ``stats``: per-job tier counts
-    before it; ``sitemaps``: job_id, ord, url; ``html``: job_id, ord, depth, url.
+    before it; ``sitemaps``: job_id, ord, url; ``documents``: the sitemap documents of each job as
+    :func:`..operators.sitemaps.sitemap_documents` gives them; ``html``: job_id, ord, depth, url; ``visits``: pages read.
     """
 
     jobs: DataFrame
     urls: DataFrame
     stats: DataFrame
     sitemaps: DataFrame
+    documents: DataFrame
     html: DataFrame
+    visits: DataFrame
 
 
 def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs: DataFrame, links: DataFrame) -> Crawl:
@@ -180,7 +215,8 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
     sitemaps, _ = materialize(
         discover_sitemaps(tier1, fetches, robots, saved_by.join(tier1, "job_id", "left_semi"))
     )
-    listed = sitemap_urls(sitemaps, docs)
+    opened = open_sitemaps(sitemaps.select("url").distinct(), docs)
+    listed = urls_of_sitemaps(sitemaps, opened)
     n_listed = listed.groupBy("job_id").agg(F.count(F.lit(1)).alias("sitemap_urls"))
     jobs, _ = materialize(
         jobs.join(n_listed, "job_id", "left")
@@ -190,9 +226,8 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
     )
     # A job saved by robots.txt has no address to read HTML from.
     tier2 = jobs.filter(F.col("use_html") & F.col("success"))
-    walked, largest = _walk(tier2.select("job_id", F.col("target_url").alias("url"), "depth", "max_urls"), links)
-    html, _ = materialize(walked)
-    added = ordinal(new_only(html, listed).select("job_id", "url", "ord"), ["job_id"], ["ord"], "_n", largest)
+    walked = walk(tier2.select("job_id", F.col("target_url").alias("url"), "depth", "max_urls"), links)
+    added = ordinal(new_only(walked.urls, listed).select("job_id", "url", "ord"), ["job_id"], ["ord"], "_n", walked.largest)
     added = added.join(jobs.select("job_id", "sitemap_urls"), "job_id").select(
         "job_id", (F.col("sitemap_urls") + F.col("_n")).alias("ord"), "url", F.lit("html").alias("tier")
     )
@@ -202,7 +237,9 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
         urls=truncate_urls(merged, requests),
         stats=tier_stats(merged, jobs.filter(~F.col("failed"))),
         sitemaps=sitemaps,
-        html=html,
+        documents=sitemap_documents(sitemaps, opened),
+        html=walked.urls,
+        visits=walked.visits,
     )
 
 
@@ -246,11 +283,18 @@ def crawl_result(jobs: DataFrame, urls: DataFrame, per_part: int = RESULT_PART)
     )
 
 
+# The two message texts that readers of the events take apart (:mod:`..streaming.events`).
+TIER_STARTS = "Starting Tier {}: {}"
+ADDED = ("added ", " new URLs")
+
+
 def crawl_event_log(crawl: Crawl, started: DataFrame) -> DataFrame:
     """The events a live crawl would have sent, in ``schemas.CRAWL_EVENT`` form.
 
     ``started(job_id, started_at)`` gives each job's clock; a step of the job is one
     second after the step before it, and rows inside a step are microseconds apart.
+    Sitemap documents come in document order, each when it is read and, if it could be, with what it lists; only a job's own
+    sitemaps report errors. Pages come level by level, those of a level before the URLs found on them.
     A finished job sends ``completed`` twice, as its readers expect to have to handle.
     """
     blank = {
@@ -275,36 +319,53 @@ def crawl_event_log(crawl: Crawl, started: DataFrame) -> DataFrame:
     cut = (F.col("max_urls") > 0) & (F.col("_all") > F.col("max_urls"))
     done = done.withColumn("_left", F.when(cut, F.col("max_urls")).otherwise(F.col("_all")))
     with_html = done.filter(F.col("use_html") & F.col("success"))
+    tier1 = alive.filter("use_sitemap")
+    none_found = tier1.join(crawl.sitemaps, "job_id", "left_anti")
+    some_found = tier1.join(crawl.sitemaps, "job_id", "left_semi")
+    numbered = ordinal(crawl.documents, ["job_id"], ["path"], "_n")
+    spoilt, own = F.col("reason").isNotNull(), F.size("path") == 1
+    lists = text("Sitemap ", F.col("url"), " lists ", F.col("n_kept"), F.when(F.col("is_index"), " sitemaps").otherwise(" URLs"))
+    pages, found = _by_level(crawl.visits, crawl.html)
     # The URL that reaches the cap is listed but not announced.
-    announced = crawl.html.join(jobs.select("job_id", "max_urls"), "job_id").filter(F.col("ord") < F.coalesce("max_urls", F.lit(NO_LIMIT)))
+    announced = found.join(jobs.select("job_id", "max_urls"), "job_id").filter(F.col("ord") < F.coalesce("max_urls", F.lit(NO_LIMIT)))
     sitemap = {"tier": F.lit("sitemap")}
     html = {"tier": F.lit("html")}
     parts = [
-        rows(jobs, 0, "progress", progress=F.lit("Starting crawl...")),
-        rows(jobs.filter("failed"), 1, "error", progress=text("URL and all fallbacks failed: ", F.coalesce("error", F.lit(""))), error=F.col("error")),
-        rows(jobs.filter("saved"), 1, "progress", progress=F.lit("Found sitemaps via robots.txt fallback"), **sitemap),
+        rows(jobs, 0, "progress", progress=F.lit("Crawl begins")),
+        rows(jobs.filter("failed"), 1, "error", progress=text("No address of the site answers: ", F.coalesce("error", F.lit(""))), error=F.col("error")),
+        rows(jobs.filter("saved"), 1, "progress", progress=F.lit("No address answers, going on with the sitemaps of robots.txt"), **sitemap),
         rows(
             alive.filter(F.col("target_url") != F.col("original_url")), 1, "progress",
-            progress=text("Fallback successful, using ", F.col("target_url"), " instead of ", F.col("original_url")),
+            progress=text("Reading ", F.col("target_url"), " in place of ", F.col("original_url")),
         ),
-        rows(alive.filter("use_sitemap"), 2, "tier_switch", progress=F.lit("Starting Tier 1: Sitemap Discovery"), **sitemap),
-        rows(crawl.sitemaps, 3, "sitemap_discovered", F.col("ord"), url=F.col("url"), progress=text("Found sitemap: ", F.col("url")), **sitemap),
+        rows(tier1, 2, "tier_switch", progress=F.lit(TIER_STARTS.format(1, "sitemaps")), **sitemap),
+        rows(crawl.sitemaps, 3, "sitemap_discovered", F.col("ord"), url=F.col("url"), progress=text("Sitemap at ", F.col("url")), **sitemap),
+        rows(none_found, 3, "progress", progress=F.lit("The site has no sitemaps"), **sitemap),
+        rows(numbered, 4, "progress", 2 * F.col("_n") - 1, progress=text("Reading sitemap ", F.col("url")), **sitemap),
         rows(
-            alive.filter("use_sitemap"), 4, "progress",
-            progress=text("Sitemap crawling complete: ", F.col("sitemap_urls"), " unique URLs discovered"),
+            numbered.filter(~spoilt), 4, "progress", 2 * F.col("_n"), progress=lists,
+            total=F.when(~F.col("is_index"), F.nullif(F.col("n_kept"), F.lit(0))), **sitemap,
+        ),
+        rows(
+            numbered.filter(spoilt & own), 4, "error", 2 * F.col("_n"),
+            progress=text("Sitemap ", F.col("url"), " cannot be read: ", F.col("reason")), error=F.col("reason"), **sitemap,
+        ),
+        rows(
+            some_found, 5, "progress", progress=text("Sitemaps read, ", F.col("sitemap_urls"), " different URLs"),
             total=F.nullif(F.col("sitemap_urls"), F.lit(0)), **sitemap,
         ),
-        rows(alive.filter("use_html"), 5, "tier_switch", progress=F.lit("Starting Tier 2: HTML Link Discovery"), **html),
-        rows(alive.filter(F.col("use_html") & ~F.col("success")), 6, "error", progress=text("HTML crawling failed: ", F.col("error")), error=F.col("error"), **html),
-        rows(announced, 6, "url_discovered", F.col("ord"), url=F.col("url"), depth=F.col("depth"), total=F.col("ord")),
+        rows(alive.filter("use_html"), 6, "tier_switch", progress=F.lit(TIER_STARTS.format(2, "links of pages")), **html),
+        rows(alive.filter(F.col("use_html") & ~F.col("success")), 7, "error", progress=text("Links cannot be read: ", F.col("error")), error=F.col("error"), **html),
+        rows(pages, 7, "progress", F.col("_micro"), progress=text("Reading page ", F.col("page_count"), " at depth ", F.col("depth"), ": ", F.col("url")), page_count=F.col("page_count")),
+        rows(announced, 7, "url_discovered", F.col("_micro"), url=F.col("url"), depth=F.col("depth"), total=F.col("ord")),
         rows(
-            with_html, 7, "progress",
-            progress=text("HTML crawling added ", F.col("html_urls"), " new URLs (total: ", F.col("_all"), ")"),
+            with_html, 8, "progress",
+            progress=text("Links of pages ", ADDED[0], F.col("html_urls"), ADDED[1], ", ", F.col("_all"), " in all"),
             total=F.nullif(F.col("_all"), F.lit(0)), **html,
         ),
-        rows(done.filter(F.col("_left") < F.col("_all")), 8, "progress", progress=text("Applied URL limit: truncated to ", F.col("max_urls"), " URLs")),
-        rows(done, 9, "completed", progress=text("Crawling completed, found ", F.col("_left"), " URLs using ", F.col("total_tiers_used"), " tiers"), total=F.nullif(F.col("_left"), F.lit(0))),
-        rows(done, 9, "completed", F.lit(1), progress=text("Crawl completed! Found ", F.col("_left"), " URLs"), total=F.nullif(F.col("_left"), F.lit(0))),
+        rows(done.filter(F.col("_left") < F.col("_all")), 9, "progress", progress=text("Kept the first ", F.col("max_urls"), " URLs, as asked for")),
+        rows(done, 10, "completed", progress=text(F.col("_left"), " URLs by ", F.col("total_tiers_used"), " tiers"), total=F.nullif(F.col("_left"), F.lit(0))),
+        rows(done, 10, "completed", F.lit(1), progress=text("Crawl ends with ", F.col("_left"), " URLs"), total=F.nullif(F.col("_left"), F.lit(0))),
     ]
     log = parts[0]
     for p in parts[1:]:
@@ -313,3 +374,17 @@ def crawl_event_log(crawl: Crawl, started: DataFrame) -> DataFrame:
     return log.join(started.select("job_id", "started_at"), "job_id").select(
         "type", "job_id", "url", "depth", "progress", clock.alias("timestamp"), "total", "page_count", "error", "tier"
     )
+
+
+def _by_level(visits: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``visits`` and ``found`` with ``_micro``: their places in one sequence per job, level by level, pages first."""
+    n_pages = visits.groupBy("job_id", "depth").agg(F.count(F.lit(1)).alias("_pages"))
+    n_urls = found.groupBy("job_id", "depth").agg(F.count(F.lit(1)).alias("_urls"))
+    # one row for a job and level
+    so_far = Window.partitionBy("job_id").orderBy("depth")
+    counts = n_pages.join(n_urls, ["job_id", "depth"], "full_outer").select(
+        "job_id", "depth", F.sum(F.coalesce("_pages", F.lit(0))).over(so_far).alias("_pages"),
+        (F.sum(F.coalesce("_urls", F.lit(0))).over(so_far) - F.coalesce("_urls", F.lit(0))).alias("_urls"),
+    )
+    placed = lambda df, micro: df.join(counts, ["job_id", "depth"]).withColumn("_micro", micro).drop("_pages", "_urls")
+    return placed(visits, F.col("page_count") + F.col("_urls")), placed(found, F.col("ord") + F.col("_pages"))

@@ -17,11 +17,13 @@ REQUEST = (
 LINK = "src string, pos int, dst string"
 
 
-def bfs(edges, seed, depth, cap):
-    """Listed URLs in order, as (url, depth)."""
+def bfs(edges, seed, depth, cap, pages=None):
+    """Listed URLs in order, as (url, depth); pages read go to ``pages`` alike."""
     listed, seen, queue, read = [], set(), deque([(seed, 1)]), {seed}
     while queue and len(listed) < cap:
         page, d = queue.popleft()
+        if pages is not None:
+            pages.append((page, d))
         for dst in edges.get(page, []):
             if dst in seen or len(listed) >= cap:
                 continue
@@ -45,13 +47,20 @@ def test_crawl_html_is_breadth_first(spark, seed, partitions):
     jobs = [(f"j{i}", f"{SITE}/{rnd.randrange(n)}", rnd.randrange(0, 7), rnd.choice([1, 2, 3, 5, 8, 13, 1000])) for i in range(60)]
     requests = spark.createDataFrame(jobs, "job_id string, url string, depth int, max_urls int").repartition(partitions)
     inside = {s: [d for d in ds if d.startswith(SITE + "/")] for s, ds in edges.items()}
-    rows = crawl.crawl_html(requests, links).orderBy("job_id", "ord").collect()
+    walk = crawl.walk(requests, links)
+    rows = walk.urls.orderBy("job_id", "ord").collect()
+    read = {}
+    for r in walk.visits.orderBy("job_id", "page_count").collect():
+        read.setdefault(r["job_id"], []).append((r["url"], r["depth"]))
+        assert r["page_count"] == len(read[r["job_id"]])
     got = {}
     for r in rows:
         got.setdefault(r["job_id"], []).append((r["url"], r["depth"]))
         assert r["ord"] == len(got[r["job_id"]])
     for job_id, url, depth, cap in jobs:
-        assert got.get(job_id, []) == bfs(inside, url, max(depth, 1), cap), job_id
+        pages = []
+        assert got.get(job_id, []) == bfs(inside, url, max(depth, 1), cap, pages), job_id
+        assert read[job_id] == pages, job_id
 
 
 @pytest.mark.parametrize("hot", [2, 1000])
