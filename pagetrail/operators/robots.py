@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines, trim_u
@@ -41,56 +41,45 @@ def robots_counts(robots: DataFrame, mode: str = "raw") -> DataFrame:
 
 
 def robots_rules(robots: DataFrame, user_agent: str = "*") -> DataFrame:
-    """(base_url, rules): the Allow/Disallow lines of the group for ``user_agent``, else of
-    ``*``, as one array per site. One file is one row, so the array is bounded by the file."""
+    """(base_url, prefix, allow): the Allow/Disallow lines of the groups for ``user_agent``, else of ``*``; of equal
+    prefixes Allow counts. ``base_url`` is unique. A run of user-agent lines opens a group, and the rules after it belong to
+    all of them. A window holds the lines of one file."""
     directive = r"^(?i)\s*(user-agent|allow|disallow)\s*:\s*(.*?)\s*(?:#.*)?$"
-    lines = F.filter(split_lines(F.col("body")), lambda s: s.rlike(directive))
-    parsed = F.transform(
-        lines,
-        lambda s: F.struct(
-            F.lower(F.regexp_extract(s, directive, 1)).alias("key"), F.regexp_extract(s, directive, 2).alias("value")
-        ),
+    listed = F.filter(split_lines(F.col("body")), lambda s: s.rlike(directive))
+    lines = robots.select("base_url", F.posexplode(listed).alias("pos", "_line")).select(
+        "base_url", "pos", F.lower(F.regexp_extract("_line", directive, 1)).alias("_key"), F.regexp_extract("_line", directive, 2).alias("prefix")
     )
-    # Fold: a run of user-agent lines opens a group, the rules after it belong to all of them.
-    start = F.expr(
-        "named_struct('agents', cast(array() as array<string>), 'open', false, "
-        "'rules', cast(array() as array<struct<agent: string, allow: boolean, prefix: string>>))"
-    )
-
-    def step(acc, line):
-        is_agent = line["key"] == "user-agent"
-        agents = F.when(
-            is_agent,
-            F.array_append(F.when(acc["open"], acc["agents"]).otherwise(F.expr("cast(array() as array<string>)")), F.lower(line["value"])),
-        ).otherwise(acc["agents"])
-        added = F.transform(
-            acc["agents"],
-            lambda a: F.struct(a.alias("agent"), (line["key"] == "allow").alias("allow"), line["value"].alias("prefix")),
-        )
-        rules = F.when(is_agent | (line["value"] == ""), acc["rules"]).otherwise(F.concat(acc["rules"], added))
-        return F.struct(agents.alias("agents"), is_agent.alias("open"), rules.alias("rules"))
-
-    rules = F.aggregate(parsed, start, step)["rules"]
+    file = Window.partitionBy("base_url")
+    is_agent = F.col("_key") == "user-agent"
+    opens = is_agent & (F.coalesce(F.lag("_key").over(file.orderBy("pos")), F.lit("")) != "user-agent")
     wanted = user_agent.lower()
-    named = F.exists(parsed, lambda p: (p["key"] == "user-agent") & (F.lower(p["value"]) == wanted))
-    agent = F.when(named, wanted).otherwise("*")
-    return robots.select("base_url", rules.alias("_rules"), agent.alias("_agent")).select(
-        "base_url", F.filter("_rules", lambda r: r["agent"] == F.col("_agent")).alias("rules")
-    )
+    marked = lines.withColumns({"_opens": opens, "_named": F.max(is_agent & (F.lower("prefix") == wanted)).over(file)})
+    marked = marked.withColumn("_group", F.sum(F.col("_opens").cast("int")).over(file.orderBy("pos")))
+    meant = is_agent & (F.lower("prefix") == F.when(F.col("_named"), wanted).otherwise("*"))
+    rules = marked.withColumn("_meant", F.max(meant).over(Window.partitionBy("base_url", "_group")))
+    rules = rules.filter(F.col("_meant") & ~is_agent & (F.col("prefix") != ""))
+    return rules.groupBy("base_url", "prefix").agg(F.max(F.col("_key") == "allow").alias("allow"))
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = "*") -> DataFrame:
     """``urls`` with ``allowed``: the longest matching prefix decides, Allow on a tie; a URL
-    without a matching rule is allowed. Each URL meets the one rule array of its site, which is scheme and host;
-    of several files of a site the one whose text sorts last counts."""
+    without a matching rule is allowed. Rules belong to a site, which is scheme and host; of several files of a site the one
+    whose text sorts last counts.
+
+    A URL is looked up once for each length that rules of its site have, by site and its start of that length; so its rows
+    carry those lengths and never the rules, however many a site has.
+    """
     files = robots.groupBy(site_root(F.col("base_url")).alias("base_url")).agg(F.max("body").alias("body"))
-    rules = robots_rules(files, user_agent).select(F.col("base_url").alias("_site"), "rules")
+    rules = robots_rules(files, user_agent).withColumnRenamed("base_url", "_site")
+    lengths = rules.groupBy("_site").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
     parts = url_parts(F.col("url"))
     path = F.when(parts.path == "", "/").otherwise(parts.path)
     target = F.concat(path, F.coalesce(F.concat(F.lit("?"), parts.query), F.lit("")))
-    joined = urls.withColumn("_site", site_root(F.col("url"))).withColumn("_target", target).join(rules, "_site", "left")
-    hits = F.transform(
-        F.filter("rules", lambda r: F.startswith(F.col("_target"), r["prefix"])),
-        lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow")),
-    )
-    return joined.withColumn("allowed", F.coalesce(F.array_max(hits)["allow"], F.lit(True))).select(*urls.columns, "allowed")
+    placed = urls.withColumns({"_site": site_root(F.col("url")), "_target": target})
+    asked = placed.select("_site", "_target").distinct().join(lengths, "_site")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_target"))
+    starts = F.explode(F.transform(fitting, lambda n: F.substr(F.col("_target"), F.lit(1), n))).alias("prefix")
+    hits = asked.select("_site", "_target", starts).join(rules, ["_site", "prefix"])
+    decided = hits.groupBy("_site", "_target").agg(F.max(F.struct(F.length("prefix").alias("n"), "allow")).alias("_hit"))
+    joined = placed.join(decided, ["_site", "_target"], "left")
+    return joined.select(*urls.columns, F.coalesce(F.col("_hit")["allow"], F.lit(True)).alias("allowed"))

@@ -145,6 +145,24 @@ def test_robots(spark):
     assert allowed("B2") == {SITE + "/p/1": False, SITE + "/p/q/1": False, SITE: False, "https://z.com/p": True}
 
 
+def test_robots_of_very_many_rules(spark):
+    """Against a scan of all rules; and no rules on the rows of URLs."""
+    rnd = random.Random(3)
+    rules = [(rnd.choice(["Allow", "Disallow"]), "/" + "/".join(rnd.choice("abcde") * rnd.randint(1, 3) for _ in range(rnd.randint(1, 6)))) for _ in range(10_000)]
+    body = "User-agent: other\nDisallow: /\n\nUser-agent: x\nCrawl-delay: 3\nUser-agent: *\n" + "\n".join(f"{k}: {p}" for k, p in rules) + "\nDisallow:\n"
+    files = spark.createDataFrame([(SITE, body), ("http://x.com", "User-agent: *\nDisallow: /a\nAllow: /a")], "base_url string, body string")
+    paths = ["/" + "/".join(rnd.choice("abcdef") * rnd.randint(1, 3) for _ in range(rnd.randint(0, 7))) for _ in range(500)]
+    urls = spark.createDataFrame([(k, SITE + p) for k, p in enumerate(paths)] + [(998, None), (999, "http://x.com/ab")], "k int, url string")
+    checked = robots.robots_allowed(urls, files)
+    got = {r["k"]: r["allowed"] for r in checked.collect()}
+    for k, path in enumerate(paths):
+        best = max(((len(p), kind == "Allow") for kind, p in rules if path.startswith(p)), default=(0, True))
+        assert got[k] == best[1], path
+    assert got[998] and got[999] and len(got) == 502
+    last = checked._jdf.queryExecution().optimizedPlan().toString().split("\n")[1]
+    assert "Join" in last and "array" not in last
+
+
 def tiers(spark, n_listed, **settings):
     host = SITE
     request = {"job_id": "j", "url": host + "/", "depth": 1, "workers": 1, "delay": "", "max_urls": 100, "enable_sitemap": False, "enable_html": False, "enable_headless": False}
