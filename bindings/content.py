@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagetrail.functions import html, text
 from pagetrail.functions.checks import is_html
 from pagetrail.operators import access_log, content, fallback, fetching
+from pagetrail.session import materialize
 from pagetrail.sources import inputs
 
 from .registry import query
@@ -182,15 +183,23 @@ response AS (SELECT a.page_id, a.url, a.tier, a.attempt,
   FROM attempt a JOIN page_md m ON a.page_id = m.page_id AND a.attempt = m.attempt)"""
 
 
+def _fetches(t):
+    return t.attempt.withColumn("headers", F.create_map(F.lit("Content-Type"), F.col("content_type"), F.lit("Attempt"), F.col("attempt").cast("string")))
+
+
 def _responses(t):
-    fetches = t.attempt.withColumn("headers", F.create_map(F.lit("Content-Type"), F.col("content_type")))
-    return content.content_response(fetches, "page_id")
+    return content.content_response(_fetches(t), "page_id")
 
 
 @query("content_response", _RESPONSE + """
-SELECT page_id, attempt, status_code, error, markdown, via, CAST(strlen(markdown) AS INTEGER) AS size FROM response""", ("attempt",))
+SELECT page_id, url, tier, attempt, status_code, error, markdown, via, CAST(strlen(markdown) AS INTEGER) AS size, CASE WHEN error = '' THEN a.content_type ELSE '' END AS content_type,
+  CASE WHEN error = '' THEN a.content_type END AS header_type, CASE WHEN error = '' THEN CAST(attempt AS STRING) END AS header_attempt
+FROM response JOIN (SELECT page_id, attempt, content_type FROM attempt) a USING (page_id, attempt)""", ("attempt",))
 def content_response(t):
-    return _responses(t).select("page_id", "attempt", "status_code", "error", "markdown", "via", F.col("sizes.markdown").alias("size"))
+    headers = [F.col("headers")[h].alias(n) for h, n in (("Content-Type", "header_type"), ("Attempt", "header_attempt"))]
+    return _responses(t).select(
+        "page_id", "url", "tier", "attempt", "status_code", "error", "markdown", "via", F.col("sizes.markdown").alias("size"), "content_type", *headers
+    )
 
 
 _BEST = _RESPONSE + rf""",
@@ -205,12 +214,19 @@ best AS (SELECT url, page_id, CASE WHEN good1 OR (e2 <> '' AND e1 <> '') THEN 1
 
 
 def _best(t):
-    return content.best_attempt(_responses(t))
+    return content.best_responses(_fetches(t), "page_id")
 
 
 @query("best_attempt", _BEST + " SELECT url, tier, markdown, via, error FROM best", ("attempt",))
 def best_attempt(t):
-    return _best(t).select("url", "tier", "markdown", "via", "error")
+    """From responses that are stored."""
+    return content.best_attempt(materialize(_responses(t))[0]).select("url", "tier", "markdown", "via", "error")
+
+
+@query("best_responses", _BEST + " SELECT url, page_id, tier, markdown, via, error FROM best", ("attempt",))
+def best_responses(t):
+    """From fetches, of which only what is needed is converted."""
+    return _best(t).select("url", "page_id", "tier", "markdown", "via", "error")
 
 
 _REQUESTS = """SELECT CAST(floor(page_id / 8.0) AS BIGINT) AS req_id, page_id,
@@ -256,6 +272,25 @@ def content_batch_rows(t):
     return rows.select("req_id", "part", listed.alias("results"), "total")
 
 
+@query("content_batch_parts", """
+piece AS (SELECT CAST(floor(page_id / 50.0) AS BIGINT) AS req_id, CAST(page_id % 50 AS INT) AS idx, strlen(url) * (1 + page_id % 7 * 400) AS n FROM pages),
+ended AS (SELECT *, sum(n) OVER w AS upto, sum((n > 32000)::INT) OVER w AS alone FROM piece WINDOW w AS (PARTITION BY req_id ORDER BY idx)),
+keyed AS (SELECT *, (idx // 20, (upto - 1) // 32000, alone, n > 32000) AS cut FROM ended),
+part AS (SELECT req_id, cut, min(idx) AS first, sum(n) AS bytes, count(*) AS n_results FROM keyed GROUP BY ALL)
+SELECT req_id, CAST(row_number() OVER (PARTITION BY req_id ORDER BY first) - 1 AS INT) AS part, first, bytes::BIGINT AS bytes, n_results FROM part""")
+def content_batch_parts(t):
+    """Pages as long texts of a request of fifty, in parts of at most 20 results and 64,000 bytes."""
+    text = F.expr("repeat(url, cast(1 + page_id % 7 * 400 as int))")
+    batch = t.pages.select(
+        F.floor(F.col("page_id") / 50).alias("req_id"), (F.col("page_id") % 50).cast("int").alias("idx"), text.alias("markdown"), F.lit("").alias("error")
+    )
+    rows = content.content_batch_rows(batch, 20, 64_000)
+    return rows.select(
+        "req_id", "part", F.col("results")[0]["idx"].alias("first"),
+        F.aggregate("results", F.lit(0).cast("bigint"), lambda a, r: a + F.octet_length(r["markdown"])).alias("bytes"), F.size("results").cast("bigint").alias("n_results"),
+    )
+
+
 @query("order_by_index", _TARGETS + " SELECT req_id, idx, url FROM target ORDER BY req_id, idx")
 def order_by_index(t):
     from pagetrail.operators.ordering import order_by_index

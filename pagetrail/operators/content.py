@@ -9,13 +9,14 @@ from ..functions.checks import is_blocked, is_html, is_success_2xx, status_line
 from ..functions.html import parse_page
 from ..functions.markdown import meta_description, page_markdown, page_title
 from ..functions.text import clean_text, enough_markdown, markdown_size
-from ..session import spread
+from ..session import materialize, spread
+from .ordering import ordinal, prefix_sum
 
 # Error texts.
 ALL_ATTEMPTS_FAILED = "All aggressive HTTP attempts failed (browser not available in this environment)"
 BROWSER_UNAVAILABLE = " (Browser fallback unavailable: headless browser not available in this environment)"
 CONVERT_FAILED = "Error converting to markdown: "
-RESULTS_PER_PART = 1000
+RESULTS_PER_PART, BYTES_PER_PART = 1000, 16 << 20
 
 
 def with_page(df: DataFrame, html: str = "html") -> DataFrame:
@@ -78,52 +79,96 @@ def content_response(fetches: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("sizes", F.struct(markdown_size(F.col("markdown")).alias("markdown")))
 
 
+def _chosen(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The rows whose key is in ``keys``, which has each once, with its other columns. The narrow side is hashed, so the wide
+    rows are neither sorted nor gathered."""
+    return rows.join(keys.hint("shuffle_hash"), list(on))
+
+
 def first_success(fetches: DataFrame) -> DataFrame:
     """(url, attempt, status_code, content_type, body, error): the first 2xx attempt with a
-    readable body; the fixed error text when there is none."""
+    readable body; the fixed error text when there is none.
+
+    ``url``, ``tier`` if there is such a column, and ``attempt`` name a fetch. The choice is made on narrow rows, and the
+    bodies of those chosen are read by their key.
+    """
+    named = ["attempt", *(["tier"] if "tier" in fetches.columns else [])]
     ok = is_success_2xx(F.col("status_code")) & F.col("body").isNotNull() & (F.coalesce("error", F.lit("")) == "")
-    won = F.min_by(F.struct("attempt", "status_code", "content_type", "body"), F.when(ok, F.col("attempt"))).alias("_w")
-    return fetches.groupBy("url").agg(won).select(
-        "url",
-        F.col("_w.attempt").alias("attempt"),
-        F.col("_w.status_code").alias("status_code"),
-        F.col("_w.content_type").alias("content_type"),
-        F.col("_w.body").alias("body"),
-        F.when(F.col("_w").isNull(), ALL_ATTEMPTS_FAILED).otherwise("").alias("error"),
+    key = F.struct(*named)
+    first = fetches.select("url", *named, ok.alias("_ok")).groupBy("url").agg(F.min(F.when(F.col("_ok"), key)).alias("_w"))
+    won = _chosen(fetches, first.filter(F.col("_w").isNotNull()).select("url", "_w.*"), "url", *named)
+    lost = first.filter(F.col("_w").isNull())
+    columns = ["attempt", "status_code", "content_type", "body"]
+    types = dict(fetches.dtypes)
+    return won.select("url", *columns, F.lit("").alias("error")).unionByName(
+        lost.select("url", *[F.lit(None).cast(types[c]).alias(c) for c in columns], F.lit(ALL_ATTEMPTS_FAILED).alias("error"))
     )
 
 
-def best_attempt(responses: DataFrame) -> DataFrame:
-    """One response per URL out of tier 1 (plain) and tier 2 (rendered).
+def last_attempts(attempts: DataFrame, tier: int) -> DataFrame:
+    """(url, tier, attempt) of the last attempt of ``tier`` for each URL."""
+    return attempts.filter(F.col("tier") == tier).groupBy("url").agg(F.max("attempt").alias("attempt")).select(
+        "url", F.lit(tier).cast(dict(attempts.dtypes)["tier"]).alias("tier"), "attempt"
+    )
 
-    Tier 1 wins with enough clean text; else tier 2 without error; else a failed tier 1
-    carries both errors; a short but clean tier 1 gives way to the failed tier 2.
-    """
-    fields = [c for c in responses.columns if c not in ("url", "tier", "attempt")]
-    row = F.struct(*fields)
-
-    def last_of(tier: int):
-        # One row per tier is the rule; of several the last attempt counts.
-        return F.max_by(row, F.when(F.col("tier") == tier, F.col("attempt"))).alias(f"_t{tier}")
-
-    tiers = responses.groupBy("url").agg(last_of(1), last_of(2))
-    t1, t2 = F.col("_t1"), F.col("_t2")
-    error1 = F.when(t1.isNull(), "no tier 1 attempt").otherwise(F.coalesce(t1["error"], F.lit("")))
-    error2 = F.when(t2.isNull(), "Browser pool not initialized").otherwise(F.coalesce(t2["error"], F.lit("")))
-    good1 = enough_markdown(t1["markdown"], error1)
-    good2 = error2 == ""
-    both = F.concat(
+
+def _judged(urls: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(url, tier, attempt, _error): which response counts for each of ``urls``, and the error it then has. ``first`` and
+    ``second`` are narrow: url, attempt, error, and for the first tier ``good``."""
+    t1 = first.select("url", F.col("attempt").alias("_a1"), F.coalesce("error", F.lit("")).alias("_e1"), F.col("good").alias("_good"))
+    t2 = second.select("url", F.col("attempt").alias("_a2"), F.coalesce("error", F.lit("")).alias("_e2"))
+    both = urls.select("url").join(t1, "url", "left").join(t2, "url", "left")
+    error1, error2 = F.coalesce("_e1", F.lit("no tier 1 attempt")), F.coalesce("_e2", F.lit("Browser pool not initialized"))
+    good1, good2 = F.coalesce("_good", F.lit(False)), error2 == ""
+    failed = F.concat(
         error1,
         F.when(error2.contains("browser not available"), BROWSER_UNAVAILABLE).otherwise(
             F.concat(F.lit(" (Browser fallback also failed: "), error2, F.lit(")"))
         ),
     )
     use1 = good1 | (~good2 & (error1 != ""))
-    picked = {f: F.when(use1, t1[f]).otherwise(t2[f]) for f in fields}
-    picked["error"] = F.when(good1 | (~use1 & good2), "").when(use1, both).otherwise(error2)
-    return tiers.select(
-        "url", F.when(use1, 1).otherwise(2).alias("tier"), *[picked[f].alias(f) for f in fields]
+    error = F.when(good1 | (~use1 & good2), "").when(use1, failed).otherwise(error2)
+    return both.select("url", F.when(use1, 1).otherwise(2).alias("tier"), F.when(use1, F.col("_a1")).otherwise(F.col("_a2")).alias("attempt"), error.alias("_error"))
+
+
+def _taken(responses: DataFrame, judged: DataFrame) -> DataFrame:
+    """The responses that count, with their final errors; a URL whose tier has no response keeps the error alone."""
+    fields = [c for c in responses.columns if c not in ("url", "tier", "attempt")]
+    typed = judged.select("url", *[F.col(c).cast(dict(responses.dtypes)[c]).alias(c) for c in ("tier", "attempt")], "_error")
+    there = _chosen(responses, typed.filter(F.col("attempt").isNotNull()), "url", "tier", "attempt")
+    missing = typed.filter(F.col("attempt").isNull()).select(
+        "url", "tier", *[F.lit(None).cast(dict(responses.dtypes)[c]).alias(c) if c != "error" else F.col("_error").alias(c) for c in fields]
     )
+    return there.select("url", "tier", *[F.col("_error").alias(c) if c == "error" else F.col(c) for c in fields]).unionByName(missing)
+
+
+def _first_tier(responses: DataFrame) -> DataFrame:
+    return responses.select("url", "attempt", "error", enough_markdown(F.col("markdown"), F.col("error")).alias("good"))
+
+
+def best_attempt(responses: DataFrame) -> DataFrame:
+    """One response per URL out of tier 1 (plain) and tier 2 (rendered), from stored ``responses``.
+
+    Tier 1 wins with enough clean text; else tier 2 without error; else a failed tier 1
+    carries both errors; a short but clean tier 1 gives way to the failed tier 2. Of several
+    attempts of a tier the last counts; url, tier and attempt name a response.
+    """
+    narrow = responses.select("url", "tier", "attempt", "error", enough_markdown(F.col("markdown"), F.col("error")).alias("good"))
+    last = narrow.groupBy("url", "tier").agg(F.max(F.struct("attempt", "error", "good")).alias("_r")).select("url", "tier", "_r.*")
+    judged = _judged(last.select("url").distinct(), last.filter("tier = 1"), last.filter("tier = 2"))
+    return _taken(responses, judged)
+
+
+def best_responses(fetches: DataFrame, *keys: str) -> DataFrame:
+    """:func:`best_attempt` of :func:`content_response`, from fetches: of each URL the last attempt of tier 1 is converted,
+    that of tier 2 only where tier 1 is not good enough. Runs a job for tier 1; ``keys`` are columns to keep."""
+    attempts = fetches.select("url", "tier", "attempt")
+    first, _ = materialize(content_response(_chosen(fetches, last_attempts(attempts, 1), "url", "tier", "attempt"), *keys))
+    judged_first = _first_tier(first)
+    poor = last_attempts(attempts, 2).join(judged_first.filter("good").select("url"), "url", "left_anti")
+    second, _ = materialize(content_response(_chosen(fetches, poor, "url", "tier", "attempt"), *keys))
+    judged = _judged(attempts.select("url").distinct(), judged_first, second.select("url", "attempt", "error"))
+    return _taken(first.unionByName(second), judged)
 
 
 def batch_counts(results: DataFrame) -> DataFrame:
@@ -142,17 +187,28 @@ def content_batch(targets: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.select("req_id", "idx", "url", *[missing.alias(f) if f == "error" else F.col(f) for f in fields])
 
 
-def content_batch_rows(batch: DataFrame, per_part: int = RESULTS_PER_PART) -> DataFrame:
+def content_batch_rows(batch: DataFrame, per_part: int = RESULTS_PER_PART, max_bytes: int = BYTES_PER_PART) -> DataFrame:
     """(req_id, part, results, total, success, failed): the batch as nested rows.
 
-    A request of up to ``per_part`` URLs is one row; a larger one continues in further
-    parts, so that no task ever builds an unbounded row.
+    A request of up to ``per_part`` URLs and ``max_bytes`` of texts is one row; a larger one continues in further
+    parts, cut by the running sum of sizes, so that no task ever builds an unbounded row. A single result of more than half
+    of ``max_bytes`` is a part of its own. Parts count from 0; ``idx`` is unique in a request.
     """
+    sizes = [F.coalesce(F.octet_length(F.to_json(c) if d.startswith(("map", "struct")) else c), F.lit(0)) for c, d in batch.dtypes if d.startswith(("map", "struct", "string"))]
+    size = sum(sizes[1:], sizes[0]).cast("bigint")
+    half = max(1, max_bytes // 2)
+    narrow, _ = materialize(batch.select("req_id", "idx", size.alias("_size")).withColumn("_large", (F.col("_size") > half).cast("bigint")))
+    # windows of half the bound by the ends of results; what begins in the window before adds at most the other half
+    counted = prefix_sum(prefix_sum(narrow, ["req_id"], ["idx"], "_size", "_end"), ["req_id"], ["idx"], "_large", "_alone")
+    cut = [F.floor(F.col("idx") / per_part), F.floor((F.col("_end") - 1) / half), F.col("_alone"), F.col("_large")]
+    keyed, _ = materialize(counted.select("req_id", "idx", F.struct(*[c.cast("bigint").alias(f"c{k}") for k, c in enumerate(cut)]).alias("_cut")))
+    firsts = keyed.groupBy("req_id", "_cut").agg(F.min("idx").alias("_first"))
+    parts = ordinal(firsts, ["req_id"], ["_first"], "_n").select("req_id", "_cut", (F.col("_n") - 1).cast("int").alias("part"))
+    placed = keyed.join(parts, ["req_id", "_cut"]).select("req_id", "idx", "part")
     row = F.struct("idx", *[c for c in batch.columns if c not in ("req_id", "idx")])
-    part = F.floor(F.col("idx") / per_part).cast("int").alias("part")
 
     def by_index(a, b):  # the rows hold a map, which has no order of its own
         return (a["idx"] > b["idx"]).cast("int") - (a["idx"] < b["idx"]).cast("int")
 
-    rows = batch.groupBy("req_id", part).agg(F.array_sort(F.collect_list(row), by_index).alias("results"))
-    return rows.join(batch_counts(batch), "req_id")
+    rows = _chosen(batch, placed, "req_id", "idx").groupBy("req_id", "part").agg(F.array_sort(F.collect_list(row), by_index).alias("results"))
+    return rows.join(batch_counts(batch.select("req_id", "error")), "req_id")

@@ -50,6 +50,27 @@ def ordinal(
     )
 
 
+def prefix_sum(df: DataFrame, group: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of the group up to this one in ``order`` (unique per group).
+
+    As in :func:`ordinal` the rows are range-partitioned on (group, order); each partition sums up its own rows of a group and
+    adds the sums of the partitions before it, so no task holds a whole group.
+    """
+    keys = _columns(group) + _columns(order)
+    placed, _ = materialize(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    share = placed.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = share.select(
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
+    )
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    own = Window.partitionBy(*group, "_part").orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_own", F.sum(value).over(own))
+    return summed.join(offsets, same).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def first_seen_distinct(df: DataFrame, keys: list[str], order: str, *carry: str) -> DataFrame:
     """First occurrence per key by ``order``; ``carry`` columns come from that row.
 

@@ -127,6 +127,71 @@ def test_best_attempt_branches(spark):
     assert best["plain"]["markdown"] == '{"a":  1}' * 20 and best["plain"]["status_code"] == 500
 
 
+def test_best_responses_equal_best_attempt(spark):
+    rnd = random.Random(6)
+    bodies = [LONG, "<p>short</p>", "", None]
+    data = [
+        fetch(f"u{u}", tier, attempt, rnd.choice([200, 403, 500]), body=rnd.choice(bodies), error=rnd.choice(["", "", "boom"]))
+        for u in range(60) for tier in (1, 2) for attempt in range(1, 1 + rnd.randint(0, 3))
+    ]
+    fetches = spark.createDataFrame(data, FETCH)
+    want = {tuple(r) for r in content.best_attempt(content.content_response(fetches)).drop("headers").collect()}
+    got = {tuple(r) for r in content.best_responses(fetches).drop("headers").collect()}
+    assert got == want and len(want) == len({d[0] for d in data})
+
+
+def wide_nodes(df, column):
+    """Sorts and aggregates of the plan that hold ``column``."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name, output = node.nodeName(), node.output()
+        if ("Sort" in name or "Aggregate" in name) and any(output.apply(i).name() == column for i in range(output.size())):
+            found.append(name)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_bodies_are_neither_sorted_nor_gathered(spark, tmp_path):
+    spark.createDataFrame([fetch("a", 1, 1, 200, body=LONG), fetch("a", 2, 1, 200, body=LONG)], FETCH).write.parquet(str(tmp_path / "f"))
+    fetches = spark.read.schema(FETCH).parquet(str(tmp_path / "f"))
+    stored = content.content_response(fetches)
+    stored.write.parquet(str(tmp_path / "r"))
+    responses = spark.read.schema(stored.schema).parquet(str(tmp_path / "r"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert wide_nodes(content.first_success(fetches), "body") == []
+        assert wide_nodes(content.best_attempt(responses), "markdown") == []
+        assert wide_nodes(fetches.orderBy("url"), "body") == ["Sort"]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_batch_parts_stay_under_their_bytes(spark):
+    rnd = random.Random(8)
+    texts = [(r, i, "x" * rnd.choice([0, 10, 900, 1_000_000, 300_000]), "") for r in range(4) for i in range(30)]
+    batch = spark.createDataFrame(texts, "req_id int, idx int, markdown string, error string")
+    parts = content.content_batch_rows(batch, 25, 1_500_000).orderBy("req_id", "part").collect()
+    back = [(p["req_id"], r["idx"], r["markdown"], r["error"]) for p in parts for r in p["results"]]
+    assert back == texts
+    for p in parts:
+        assert len(p["results"]) <= 25 and (sum(len(r["markdown"]) for r in p["results"]) <= 1_500_000 or len(p["results"]) == 1)
+    assert [p["part"] for p in parts if p["req_id"] == 0] == list(range(sum(p["req_id"] == 0 for p in parts))) and len(parts) > 20
+    assert content.content_batch_rows(batch.limit(0)).count() == 0
+
+
+def test_prefix_sum_of_a_hot_group(spark):
+    data = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(-1).alias("g"), F.hash("id").alias("o"), (F.col("id") % 11).alias("v"))
+    from pyspark.sql import Window
+
+    want = data.withColumn("w", F.sum("v").over(Window.partitionBy("g").orderBy("o")))
+    got = ordering.prefix_sum(data, ["g"], ["o"], "v", "s")
+    assert got.count() == 20_000 and got.join(want, ["g", "o", "v"]).filter("s <> w").count() == 0
+
+
 def test_first_success_and_accessible(spark):
     data = [fetch("a", 1, 1, 500), fetch("a", 1, 2, 204, body="b2"), fetch("a", 1, 3, 200, body="b3"), fetch("b", 1, 1, 404)]
     got = {r["url"]: r for r in content.first_success(spark.createDataFrame(data, FETCH)).collect()}
