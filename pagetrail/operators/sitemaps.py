@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from ..functions.sitemap_xml import ROOTS, SCANNED, scan_array
 from ..functions.urls import SITEMAP_PATHS, site_root, sitemap_candidates
 from ..schemas import SITEMAP_DOC
 from ..session import materialize, spread
-from .ordering import first_seen_distinct, ordinal
+from .ordering import first_seen_distinct, prefix_sum
 from .robots import robots_sitemaps
 
 #: Local names count, whatever prefix a file gives them.
@@ -26,6 +26,8 @@ SITEMAP_ROOT = (
 NO_BODY, MISSING = "no body", "not fetched"
 #: Rounds of the expansion after which their results are made one table.
 FOLD = 8
+#: Jobs that are served by one copy of what they share, and what stands for no limit.
+SHARE, NO_LIMIT = 1000, 1 << 62
 
 
 def existing_sitemaps(candidates: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -196,8 +198,59 @@ def sitemap_urls(found: DataFrame, docs: DataFrame, max_depth: int | None = None
 
 def urls_of_sitemaps(found: DataFrame, opened: Opened) -> DataFrame:
     """(job_id, ord, url) of the sitemaps ``found(job_id, ord, url)``, which are among the roots that were opened."""
-    first = first_seen_distinct(_placed(found, opened.entries).withColumnRenamed("loc", "url"), ["job_id", "url"], "path")
-    return ordinal(first, ["job_id"], ["path"]).select("job_id", "ord", "url")
+    return inventory(found, opened).urls
+
+
+@dataclass(frozen=True)
+class Inventory:
+    """Outcome of :func:`inventory`. ``urls``: job_id, ord, url; ``counts``: job_id, n_urls, of all different URLs."""
+
+    urls: DataFrame
+    counts: DataFrame
+
+
+def inventory(found: DataFrame, opened: Opened, limits: DataFrame | None = None) -> Inventory:
+    """The first URLs of each job's sitemaps, up to the job's ``limits(job_id, limit)``, and how many there are in all.
+
+    Jobs that found the same sitemaps in the same places are one class, and what lies below is merged, counted and numbered
+    once for the class. The number of a URL is how many the documents before its own brought first, and its place among
+    those its own did; so only documents that begin within the largest limit of a class are numbered, nothing is sorted as a
+    whole, and a job's rows are unfolded up to its own limit only.
+    """
+    lists = found.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("_roots"))
+    jobs = lists.select("job_id", F.sha2(F.to_json("_roots"), 256).alias("_class"), "_roots")
+    none = F.lit(NO_LIMIT).cast("bigint")
+    if limits is not None:
+        jobs = jobs.join(limits.select("job_id", F.col("limit").cast("bigint").alias("_limit")), "job_id", "left")
+    else:
+        jobs = jobs.withColumn("_limit", none)
+    jobs, _ = materialize(jobs.withColumn("_limit", F.coalesce("_limit", none)))
+    classes, _ = materialize(
+        jobs.groupBy("_class").agg(
+            F.any_value("_roots").alias("_roots"), F.max("_limit").alias("_most"), F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares")
+        )
+    )
+    rooted = classes.select(F.col("_class").alias("job_id"), F.inline("_roots"))
+    placed = _placed(rooted, opened.entries).select(F.col("job_id").alias("_class"), F.col("loc").alias("url"), "path")
+    firsts, _ = materialize(
+        first_seen_distinct(placed, ["_class", "url"], "path").withColumn("_doc", F.slice("path", 1, F.size("path") - 1))
+    )
+    brought, _ = materialize(firsts.groupBy("_class", "_doc").agg(F.count(F.lit(1)).alias("_n")))
+    upto = prefix_sum(brought, ["_class"], ["_doc"], "_n", "_upto").withColumn("_before", F.col("_upto") - F.col("_n"))
+    needed = upto.join(classes.select("_class", "_most", "_shares"), "_class").filter(F.col("_before") < F.col("_most"))
+    # one document's entries meet in a window
+    own = F.row_number().over(Window.partitionBy("_class", "_doc").orderBy("path"))
+    rows = firsts.join(needed.select("_class", "_doc", "_before", "_most", "_shares"), ["_class", "_doc"])
+    rows = rows.withColumn("ord", F.col("_before") + own).filter(F.col("ord") <= F.col("_most"))
+    numbered, _ = materialize(rows.select("_class", "ord", "url", "_shares"))
+    # the rows of a class that very many jobs have are copied, and each copy serves its share of them
+    copies = numbered.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    asking = jobs.join(classes.select("_class", "_shares"), "_class").select(
+        "job_id", "_class", "_limit", F.pmod(F.hash("job_id"), F.col("_shares")).alias("_share")
+    )
+    urls = asking.join(copies, ["_class", "_share"]).filter(F.col("ord") <= F.col("_limit")).select("job_id", "ord", "url")
+    totals = brought.groupBy("_class").agg(F.sum("_n").alias("n_urls"))
+    return Inventory(urls, jobs.join(totals, "_class").select("job_id", "n_urls"))
 
 
 def sitemap_documents(found: DataFrame, opened: Opened) -> DataFrame:

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import (
-    MAX_URLS_LIMIT, html_tier_enabled, needs_headless_tier, needs_html_tier, sitemap_tier_enabled,
+    HTML_TIER_BELOW, MAX_URLS_LIMIT, html_tier_enabled, needs_headless_tier, needs_html_tier, sitemap_tier_enabled,
 )
 from ..functions.urls import canonical_url, host_of, site_hosts, site_root
 from ..operators.fallback import first_accessible
 from ..operators.links import new_only
 from ..operators.ordering import ordinal, truncate_urls
 from ..operators.robots import robots_sitemaps
-from ..operators.sitemaps import discover_sitemaps, open_sitemaps, sitemap_documents, urls_of_sitemaps
+from ..operators.sitemaps import discover_sitemaps, inventory, open_sitemaps, sitemap_documents
 from ..session import Buckets, materialize
 
 RESULT_PART = MAX_URLS_LIMIT
@@ -216,8 +216,10 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
         discover_sitemaps(tier1, fetches, robots, saved_by.join(tier1, "job_id", "left_semi"))
     )
     opened = open_sitemaps(sitemaps.select("url").distinct(), docs)
-    listed = urls_of_sitemaps(sitemaps, opened)
-    n_listed = listed.groupBy("job_id").agg(F.count(F.lit(1)).alias("sitemap_urls"))
+    # a job keeps max_urls of them; where there are few, all are needed to tell which links are new
+    limit = F.when(F.col("max_urls") > 0, F.greatest("max_urls", F.lit(HTML_TIER_BELOW)))
+    found = inventory(sitemaps, opened, requests.select("job_id", limit.alias("limit")))
+    listed, n_listed = found.urls, found.counts.withColumnRenamed("n_urls", "sitemap_urls")
     jobs, _ = materialize(
         jobs.join(n_listed, "job_id", "left")
         .withColumn("sitemap_urls", F.coalesce("sitemap_urls", F.lit(0)))
@@ -235,7 +237,7 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
     return Crawl(
         jobs=jobs,
         urls=truncate_urls(merged, requests),
-        stats=tier_stats(merged, jobs.filter(~F.col("failed"))),
+        stats=_stats(jobs.filter(~F.col("failed")), added),
         sitemaps=sitemaps,
         documents=sitemap_documents(sitemaps, opened),
         html=walked.urls,
@@ -243,6 +245,14 @@ def crawl_tiers(requests: DataFrame, fetches: DataFrame, robots: DataFrame, docs
     )
 
 
+def _stats(jobs: DataFrame, added: DataFrame) -> DataFrame:
+    """As :func:`tier_stats`, where sitemap URLs are counted already and need not be unfolded."""
+    n_added = added.groupBy("job_id").agg(F.count(F.lit(1)).alias("html_urls"))
+    counted = jobs.select("job_id", "sitemap_urls").join(n_added, "job_id", "left").withColumn("html_urls", F.coalesce("html_urls", F.lit(0)))
+    used = (F.col("sitemap_urls") > 0).cast("int") + (F.col("html_urls") > 0).cast("int")
+    return counted.select("job_id", "sitemap_urls", "html_urls", F.lit(0).cast("bigint").alias("headless_urls"), used.alias("total_tiers_used"))
+
+
 def tier_stats(merged: DataFrame, jobs: DataFrame) -> DataFrame:
     """(job_id, sitemap_urls, html_urls, headless_urls, total_tiers_used), zeros included."""
     by_tier = merged.groupBy("job_id").agg(

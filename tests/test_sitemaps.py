@@ -5,9 +5,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagetrail.functions.sitemap_xml import scan
 from pagetrail.operators import sitemaps
+from pagetrail.session import materialize
 from pagetrail.sources.unpack import unpack
 
 
@@ -106,3 +108,44 @@ def test_gzip_is_read_up_to_the_bad_spot():
     assert unpack(bytes(spoilt))[:2] == (text, "incorrect length check")
     assert unpack(packed + b"\0\0")[:2] == (text, "bytes after the end")
     assert unpack(b"") == ("", "truncated", 0) and unpack(b"plain text")[1] == "incorrect header check"
+
+
+@pytest.mark.parametrize("share", [1000, 7])
+def test_inventory_unfolds_what_jobs_ask_for(spark, monkeypatch, share):
+    """Against the whole listing of every job; and what is written follows the classes and limits, not the jobs."""
+    monkeypatch.setattr(sitemaps, "SHARE", share)
+    rng = random.Random(4)
+    docs = [(f"m{d}", "<urlset>" + "".join(f"<url><loc>u{rng.randrange(400)}</loc></url>" for _ in range(120)) + "</urlset>") for d in range(6)]
+    docs += [("top", "<sitemapindex>" + "".join(f"<sitemap><loc>m{d}</loc></sitemap>" for d in (3, 1, 0, 3)) + "</sitemapindex>"), ("bare", "<urlset/>")]
+    lists = [["top", "m5"], ["m2"], ["m5", "top", "m4"], ["bare"]]
+    found = [(f"j{k}", o, u) for k in range(60) for o, u in enumerate(lists[k % 4])]
+    limits = {f"j{k}": rng.choice([None, 0, 1, 7, 130, 10_000]) for k in range(60)}
+    df = spark.createDataFrame(found, "job_id string, ord int, url string")
+    opened = sitemaps.open_sitemaps(df.select("url").distinct(), spark.createDataFrame(docs, "url string, body string"))
+    places = {}
+    for r in opened.entries.collect():
+        places.setdefault(r.root, []).append((r.path, r.loc))
+    want = {}
+    for job, o, root in found:
+        for path, loc in places.get(root, []):
+            seen = want.setdefault(job, {})
+            seen[loc] = min(seen.get(loc, [o, *path]), [o, *path])
+    written = []
+
+    def counted(frame, **metrics):
+        out = materialize(frame, **metrics)
+        written.append((frame.columns, out[1]["rows"]))
+        return out
+
+    monkeypatch.setattr(sitemaps, "materialize", counted)
+    limited = sitemaps.inventory(df, opened, spark.createDataFrame(list(limits.items()), "job_id string, limit int"))
+    got = {}
+    for r in limited.urls.collect():
+        got.setdefault(r.job_id, []).append((r.ord, r.url))
+    for job, seen in want.items():
+        order = list(enumerate(sorted(seen, key=seen.get), 1))
+        assert sorted(got.get(job, [])) == order[: limits[job] if limits[job] is not None else None], job
+    assert {r.job_id: r.n_urls for r in limited.counts.collect()} == {j: len(s) for j, s in want.items()}
+    written.clear()
+    few = sitemaps.inventory(df, opened, df.select("job_id", F.lit(3).alias("limit")).distinct())
+    assert few.urls.count() == 45 * 3 and next(n for c, n in written if "ord" in c) == 9
