@@ -17,7 +17,6 @@ doc_id comes first. An empty table gives no blocks and no rows. Other columns ar
 from __future__ import annotations
 
 import functools
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, PieceCache, new_path
+from .common import U64, PieceCache, chunks, new_path
+from .vocabulary import word_bpe
 
 BITS = 18
 LANES = 1024
@@ -40,29 +40,18 @@ END_ID = 1
 CACHE_BYTES = 20 << 20
 
 
-@functools.cache
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 @functools.cache
 def word_cache(path: str, dtype: str) -> PieceCache:
     return PieceCache(CACHE_BYTES)
 
 
-def encode_text(text: str, path: str, dtype: str) -> bytes:
-    """Ids of a text by way of its words: this kind of tokenizer drops white space and merges nothing across it, so a
+def encode_texts(texts: list[str | None], path: str, dtype: str) -> list[bytes]:
+    """Ids of each text by way of its words: this kind of tokenizer drops white space and merges nothing across it, so a
     text's ids are those of its words between ASCII white space, and a word that was met before is not tokenised again."""
-    words = text.encode().split()
-
-    def make(new: list[bytes]) -> list[bytes]:
-        coded = tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        return [np.array(c.ids, dtype).tobytes() for c in coded]
-
-    return b"".join(map(word_cache(path, dtype).fill(set(words), make).__getitem__, words))
+    split = [(t or "").encode().split() for t in texts]
+    coder = word_bpe(path)
+    held = word_cache(path, dtype).fill(set().union(*split), lambda new: coder.encode([w.decode() for w in new], dtype))
+    return [b"".join(map(held.__getitem__, words)) for words in split]
 
 
 def tokenize(docs: DataFrame, path: str, dtype: str, end_id: int = END_ID) -> DataFrame:
@@ -71,8 +60,9 @@ def tokenize(docs: DataFrame, path: str, dtype: str, end_id: int = END_ID) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            ids = [encode_text(t or "", path, dtype) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i, j in chunks(batch.column(1)):
+                ids = [x + end for x in encode_texts(batch.column(1).slice(i, j - i).to_pylist(), path, dtype)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -259,7 +249,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 def write_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
     """Tokenises ``docs`` (doc_id, text), counts the table over all ids, writes the files; their folder. Runs jobs."""
     path = path or new_path(docs)
-    dtype = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+    dtype = "<u2" if word_bpe(tokenizer_path).size <= 1 << 16 else "<u4"
     tokenize(docs, tokenizer_path, dtype).write.parquet(f"{path}/tokens")
     tokens = docs.sparkSession.read.schema("doc_id long, ids binary").parquet(f"{path}/tokens")
     counts = {r.id: r.n for r in count_ids(tokens, dtype).collect()}  # bounded by the vocabulary

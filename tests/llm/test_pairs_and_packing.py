@@ -55,6 +55,17 @@ def test_ids_equal_the_library():
     assert coder.bytes.join(coder.encode("naïve 漢 <|endoftext|>", True)).tobytes().decode() == "naïve 漢 <|endoftext|>"
 
 
+def test_word_ids_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, rng = vocabulary.word_bpe(path), random.Random(1)
+    parts = [*"abcdefghijklmnopqrstuvwxyzABCZ0123456789.,!?-_'éüßñÉÅ漢ΣσςİǅŉœŒ", "the", "ing", "'ll", "'S", "tion", "<|endoftext|>", "e\u0301", "\x01", "\x1c", "\x85", "\xa0", "\xad", "\u200b"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(60_000)]
+    words += [chr(c) + "a" + chr(c) for c in range(0x21, 0x3000) if not chr(c).isspace()] + ["x" * 20_000, "Word" * 500, "", "12345", "a1b2", "..."]
+    want = Tokenizer.from_file(path).encode_batch(words, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(words, "<u2")] == [w.ids for w in want]
+    assert coder.encode([], "<u2") == [] and sum(map(coder._plain, words)) > 10_000
+
+
 # hard negatives
 
 ROWS = "vec_id long, embedding array<double>, label int, score double, shard string, vec string, positive_score long"
