@@ -16,7 +16,6 @@ doc_id comes first. An empty table gives no blocks and no rows. Other columns ar
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, PieceCache, chunks, new_path
+from .common import U64, chunks, flat, new_path, slice_hash, words
 from .vocabulary import word_bpe
 
 BITS = 18
@@ -36,33 +35,57 @@ STEPS = 128
 BLOCK_IDS = 2 * LANES * STEPS
 LOW = U64(1 << 31)
 END_ID = 1
-#: Bytes that a worker's cache of tokenised words may hold.
-CACHE_BYTES = 20 << 20
-
-
-@functools.cache
-def word_cache(path: str, dtype: str) -> PieceCache:
-    return PieceCache(CACHE_BYTES)
-
-
-def encode_texts(texts: list[str | None], path: str, dtype: str) -> list[bytes]:
-    """Ids of each text by way of its words: this kind of tokenizer drops white space and merges nothing across it, so a
-    text's ids are those of its words between ASCII white space, and a word that was met before is not tokenised again."""
-    split = [(t or "").encode().split() for t in texts]
-    coder = word_bpe(path)
-    held = word_cache(path, dtype).fill(set().union(*split), lambda new: coder.encode([w.decode() for w in new], dtype))
-    return [b"".join(map(held.__getitem__, words)) for words in split]
+#: Bytes of text whose words are tokenised together, each different one once.
+TEXT_BYTES = 8 << 20
+
+
+def encode_texts(column: pa.Array, path: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and the offset of each text, by way of their words: this kind of tokenizer drops white
+    space and merges nothing across it, so a text's ids are those of its words between ASCII white space.
+
+    Equal words are found by hash and tokenised once, and their ids dealt out to where they stand. All bytes are compared
+    with those of the word that stands for them; should a hash be shared, every word is tokenised by itself."""
+    text = flat(column)
+    starts, ends, bounds = words(text)
+    _, first, same = np.unique(slice_hash(text.data, starts, ends), return_index=True, return_inverse=True)
+    lengths = ends - starts
+    if not _equal(text.data, starts, lengths, starts[first][same], lengths[first][same]):
+        first = same = np.arange(len(starts))
+    raw = text.data.tobytes()
+    coded = word_bpe(path).encode([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())], dtype)
+    ids = np.frombuffer(b"".join(coded), dtype)
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(dtype).itemsize
+    places, sizes = (np.cumsum(sizes) - sizes)[same], sizes[same]
+    return ids[_runs(places, sizes)], np.concatenate([[0], np.cumsum(sizes)])[bounds]
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of them, end to end."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return at
+
+
+def _equal(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, others: np.ndarray, other_lengths: np.ndarray) -> bool:
+    if not np.array_equal(lengths, other_lengths):
+        return False
+    step = 1 << 16  # slices at once, which bounds the arrays of positions
+    parts = ((starts[k : k + step], lengths[k : k + step], others[k : k + step]) for k in range(0, len(starts), step))
+    return all(np.array_equal(data[_runs(a, n)], data[_runs(b, n)]) for a, n, b in parts)
 
 
 def tokenize(docs: DataFrame, path: str, dtype: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, ids (as ``dtype``, with the end id) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], dtype).tobytes()
+        end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
-            for i, j in chunks(batch.column(1)):
-                ids = [x + end for x in encode_texts(batch.column(1).slice(i, j - i).to_pylist(), path, dtype)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i, j in chunks(batch.column(1), TEXT_BYTES):
+                ids, at = encode_texts(batch.column(1).slice(i, j - i), path, dtype)
+                raw, cuts = ids.tobytes(), (at * width).tolist()
+                made = pa.array([raw[a:b] + end for a, b in zip(cuts, cuts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), made], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -13,7 +13,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import public_tokenizers
@@ -97,15 +97,15 @@ class WordBpe:
     """A BPE file of the tokenizers library whose words end with ``</w>``.
 
     Most words are coded by tiktoken: a byte that words do not hold stands for the end of a word, ranks are the order of
-    merges, and many words are one text. That gives the library's ids, several times as fast, for words of printable ASCII
-    without special tokens, and for other Latin words that the normaliser leaves as they are; the rest, and every word of a
-    file with other rules than these, goes to the library.
+    merges, and many words are one text. That gives the library's ids, several times as fast, for words of printable Latin
+    characters without special tokens; the rest, and every word of a file with other rules than these, goes to the library.
     """
 
     END = b"\x01"
-    #: Characters up to Latin Extended-B that no matcher takes for white space or controls.
-    SAFE = re.compile("[\u0021-\u007e\u00a1-\u024f]+")
-    #: The normaliser that words in lower case of these characters pass unchanged.
+    #: Characters up to Latin Extended-B that no matcher takes for white space or controls; a dotted capital I has two in
+    #: lower case.
+    SAFE = re.compile("[\u0021-\u007e\u00a1-\u012f\u0131-\u024f]+")
+    #: The normaliser that makes of a composed word of these characters its lower case.
     NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
     def __init__(self, path: str):
@@ -143,36 +143,33 @@ class WordBpe:
                 ranks[token] = len(ids)
                 ids.append(vocab.get(name, 0))
         self.ids = np.array(ids, np.int64)
-        self.ends = np.zeros(len(ids), bool)
-        self.ends[[r for t, r in ranks.items() if len(t) > 1 and t.endswith(self.END)]] = True
-        return tiktoken.Encoding("words", pat_str=r"[^\x01]*\x01", mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("words", pat_str=r"[^\x01\n]*\x01|\n", mergeable_ranks=ranks, special_tokens={})
 
     def _plain(self, word: str) -> bool:
-        if not self.SAFE.fullmatch(word) or any(s in word for s in self.special):
-            return False
-        return word.isascii() or (word.lower() == word and unicodedata.is_normalized("NFC", word))
+        return self.SAFE.fullmatch(word) is not None and (word.isascii() or unicodedata.is_normalized("NFC", word))
 
     def encode(self, words: list[str], dtype: str) -> list[bytes]:
         """Ids of each word, as ``dtype``."""
+        plain = list(map(self._plain, words)) if self.coder else [False] * len(words)
+        some = list(compress(words, plain))
+        if any(t in "\n".join(some) for t in self.special):
+            plain = [ok and not any(t in w for t in self.special) for ok, w in zip(plain, words)]
+            some = list(compress(words, plain))
+        rest = [w for w, ok in zip(words, plain) if not ok]
+        library = self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        coded, others = iter(self._ranked(some, dtype)), iter([np.array(x.ids, dtype).tobytes() for x in library])
+        return [next(coded) if ok else next(others) for ok in plain]
+
+    def _ranked(self, words: list[str], dtype: str) -> list[bytes]:
         if not words:
             return []
-        plain = [self.coder is not None and self._plain(w) for w in words]
-        out: list[bytes | None] = [None] * len(words)
-        some = [k for k, ok in enumerate(plain) if ok]
-        if some:
-            pieces = [self.pieces.findall(words[k].lower()) for k in some]
-            end = self.END.decode()
-            ranks = self.coder.encode_to_numpy("".join([p + end for x in pieces for p in x]))
-            raw, width = self.ids[ranks].astype(dtype).tobytes(), np.dtype(dtype).itemsize
-            stops = np.concatenate([[0], np.flatnonzero(self.ends[ranks]) + 1]) * width
-            cuts = stops[np.cumsum([0, *map(len, pieces)])].tolist()
-            for k, a, b in zip(some, cuts, cuts[1:]):
-                out[k] = raw[a:b]
-        rest = [k for k, ok in enumerate(plain) if not ok]
-        if rest:
-            for k, coded in zip(rest, self.library.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-                out[k] = np.array(coded.ids, dtype).tobytes()
-        return out
+        # pieces of a word each get the end byte, words lie between line feeds, which are tokens of their own
+        text = self.pieces.sub(r"\g<0>" + self.END.decode(), "\n".join(words).lower())
+        ranks = self.coder.encode_to_numpy(text)
+        raw, width = self.ids[ranks].astype(dtype).tobytes(), np.dtype(dtype).itemsize
+        stops = [*np.flatnonzero(ranks == ord("\n")).tolist(), len(ranks)]
+        starts = [0, *[s + 1 for s in stops[:-1]]]
+        return [raw[a * width : b * width] for a, b in zip(starts, stops)]
 
 
 @functools.cache
