@@ -154,21 +154,24 @@ def texts_of(folder: str) -> str:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """Texts of at most ``per_class`` labelled rows of either label among those that ``keep`` (of doc_id) lets in:
-    text, label; and how many labelled rows either label has. The rows are those of lowest hash of doc_id, so a retry
-    takes the same ones. Null labels and ids are left out. Only the ids, at most ``2 * per_class``, are broadcast.
+    """Texts of at most ``per_class`` labelled ids of either label among those that ``keep`` (of doc_id) lets in:
+    text, label; and how many labelled ids either label has. The ids are those of lowest hash, so a retry, or another
+    partitioning, takes the same ones. Null labels and ids are left out, and so is an id that has both labels; of several
+    texts of an id the one that sorts first is taken. Only the ids, at most ``2 * per_class``, are broadcast.
     """
     from pyspark.sql import functions as F
 
-    known = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col(label).cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & F.col("labelled_id").isNotNull() & keep(F.col("labelled_id")))
+    rows = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col(label).cast("int").alias("label"))
+    rows = rows.where(F.col("label").isin(0, 1) & F.col("labelled_id").isNotNull() & keep(F.col("labelled_id")))
+    known = rows.groupBy("labelled_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    known = known.where(F.col("label") == F.col("other")).drop("other")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = (F.xxhash64("labelled_id"), F.col("labelled_id"))
     picked = [r for k in (0, 1) for r in known.where(F.col("label") == k).orderBy(*order).limit(per_class).collect()]
-    chosen = docs.sparkSession.createDataFrame(picked, "labelled_id long, label int").dropDuplicates(["labelled_id"])
+    chosen = docs.sparkSession.createDataFrame(picked, "labelled_id long, label int")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
-    return joined.select("text", "label").limit(2 * per_class), sizes
+    return joined.groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label"), sizes
 
 
 def remainder(doc_id, divisor: int):

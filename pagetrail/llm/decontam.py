@@ -12,12 +12,13 @@
 4. A candidate is verified on the window and its surroundings by the longest common subsequence with the passage: a leak
    if it covers ``EXACT`` of the passage, or ``LOOSE`` of it with the answer there: the passage's ``ANSWER`` words of
    highest inverse frequency.
-5. Passages under ``SHORTEST`` words, which other benchmark words in a window drown, are no candidates of the cosine:
-   they leak where they stand word by word, sought by the hash of the sequence at every word of every text. So are
-   passages whose words all weigh nothing, as those that stand in very many blocks; changed copies of these are not found.
+5. Every passage also leaks where it stands word by word, sought by the hash of its first words at every word of every
+   text and compared whole. Passages under ``SHORTEST`` words, which other benchmark words in a window drown, and those
+   whose words all weigh nothing, as they stand in very many blocks, are sought in this way only: changed copies of these
+   are not found.
 
 Texts never move: counting and search are maps. Passages go to the driver in parts of at most ``PART`` (by hash of the
-item), and each part has its own basis and search, so what a task holds is bounded whatever the benchmark's size.
+item), and each part has its own basis and search; a task holds the searches of all parts, so it grows with the benchmark.
 Null and wordless items leak nowhere; null and wordless texts have no leaks. Rows with the same doc_id are judged row by
 row. With an empty benchmark nothing is found and every document is kept.
 """
@@ -157,40 +158,40 @@ def tf_idf(hashes: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray) -> np
 class Grams:
     """Sequences of words by the hash of their first ``SHORTEST`` words, then compared whole."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray]]):
-        self.sizes = {}
-        for size in sorted({len(own) for _, own in rows}):
-            number = np.array([p for p, own in rows if len(own) == size])
-            lists = np.array([own for _, own in rows if len(own) == size], U64)
-            key = self.hashes(lists[:, :SHORTEST].ravel(), min(size, SHORTEST))[:: min(size, SHORTEST)]
+    def __init__(self, lists: list[np.ndarray]):
+        self.lists, self.lengths = lists, np.array([len(own) for own in lists], np.int64)
+        self.heads = {}
+        for head in sorted({min(len(own), SHORTEST) for own in lists}):
+            number = np.flatnonzero(np.minimum(self.lengths, SHORTEST) == head)
+            key = np.array([self.hashes(lists[p][:head], head)[0] for p in number.tolist()], U64)
             order = np.argsort(key, kind="stable")
-            self.sizes[size] = key[order], number[order], lists[order]
+            self.heads[head] = (*np.unique(key[order], return_index=True, return_counts=True), number[order])
 
     @staticmethod
     def hashes(words_: np.ndarray, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each word on."""
         out = np.zeros(max(0, len(words_) - size + 1), U64)
         for k in range(size):
-            out = mix(out + words_[k : k + len(out)])
-        return out
+            out = out * U64(0x9E3779B97F4A7C15) + words_[k : k + len(out)]
+        return mix(out)
 
     def find(self, words_: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First words of all places where a sequence stands within one text, and the numbers of the sequences."""
-        at, found, hashed = [np.empty(0, np.int64)], [np.empty(0, np.int64)], {}
-        for size, (key, number, lists) in self.sizes.items():
-            head = min(size, SHORTEST)
-            if head not in hashed:
-                hashed[head] = self.hashes(words_, head)
-            distinct, first, times = np.unique(key, return_index=True, return_counts=True)
-            place, which = lookup(distinct, hashed[head])
-            inside = place + size <= bounds[np.searchsorted(bounds, place, "right")]
-            place, which = place[inside], which[inside]
+        at, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for head, (distinct, first, times, number) in self.heads.items():
+            place, which = lookup(distinct, self.hashes(words_, head))
+            end = bounds[np.searchsorted(bounds, place, "right")]
             for k in range(int(times.max())):  # the k-th sequence of an equal hash
                 more = times[which] > k
-                row = first[which[more]] + k
-                same = (words_[place[more][:, None] + np.arange(size)] == lists[row]).all(axis=1)
-                at.append(place[more][same])
-                found.append(number[row[same]])
+                begin, row = place[more], number[first[which[more]] + k]
+                inside = begin + self.lengths[row] <= end[more]
+                begin, row = begin[inside], row[inside]
+                for size in np.unique(self.lengths[row]).tolist():
+                    own = self.lengths[row] == size
+                    lists = np.array([self.lists[p] for p in row[own].tolist()], U64)
+                    same = (words_[begin[own][:, None] + np.arange(size)] == lists).all(axis=1)
+                    at.append(begin[own][same])
+                    found.append(row[own][same])
         return np.concatenate(at), np.concatenate(found)
 
 
@@ -207,7 +208,8 @@ class Finder:
         self.lists, self.places, self.answers = [w.tolist() for w in lists], [], []
         idf = dict(zip(vocabulary.tolist(), weight.tolist()))
         self.drawn = (self.length > 0) & np.array([len(own) >= SHORTEST for own in lists], bool)
-        self.exact = Grams([(p, own) for p, own in enumerate(lists) if not self.drawn[p]])
+        # every passage is sought word by word too, so that a cosine can lose changed copies only
+        self.exact = Grams(lists)
         for own in self.lists:
             place = {}
             for k, w in enumerate(own):

@@ -278,3 +278,36 @@ def test_fill_places_by_least_squares():
         want = min(squares, key=lambda g: (squares[g], g)) if squares else size
         assert size - at == want == gaps.get(own, size)
         gaps[own] = want - length
+
+
+# exact look-up of benchmark passages, and the sample that classifiers are fitted on
+
+
+def test_every_planted_passage_is_found(spark):
+    """Items of a common vocabulary, put word for word between other words of it."""
+    from pagetrail.llm import decontam
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(400)])
+    draw = lambda n: " ".join(words[np.minimum(rng.zipf(1.3, n), 400) - 1])
+    items = [draw(int(n)) for n in rng.integers(3, 60, 300)]
+    texts = [f"{draw(150)} {item} {draw(150)}" for item in items]
+    bench = spark.createDataFrame([(k, t, 1) for k, t in enumerate(items)], "item_id long, text string, doc_id int")
+    docs = docs_of(spark, texts)
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, decontam.finders(docs, bench)).collect()}
+    want = {(d, k) for d, t in enumerate(texts) for k, item in enumerate(items) if f" {item} " in f" {t} "}
+    assert want <= got and len(want) >= 300
+
+
+@pytest.mark.parametrize("partitions", [3, 7])
+def test_labelled_sample_of_repeated_rows(spark, partitions):
+    from pagetrail.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(k, f"text {k} {c}") for k in range(100) for c in range(4)], "doc_id long, text string").repartition(partitions)
+    rows = [(k, k % 2) for k in range(100)] * 2 + [(4, 1), (None, 1), (7, None), (11, 5)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int").repartition(partitions)
+    sample, sizes = labelled_sample(docs, labels, "toxic", lambda i: i >= 0, 10)
+    got = sorted((r.text, r.label) for r in sample.collect())
+    assert sizes == {0: 49, 1: 50} and [label for _, label in got].count(1) == 10 and len(got) == 20
+    assert all(t.endswith(" 0") and int(t.split()[1]) % 2 == label for t, label in got)
+    assert got == sorted((r.text, r.label) for r in labelled_sample(docs.coalesce(1), labels, "toxic", lambda i: i >= 0, 10)[0].collect())
