@@ -2,7 +2,7 @@
 
 A rule is a pair of regexes over lowered words joined by single spaces: one for what precedes its keyword, one for what
 begins at it. ``rules()`` builds some hundreds from the hand-written names of license families and the ways in which
-texts cite a license. Keywords are the prefilter: a text without any runs no rule, and at a keyword's place only its own
+texts cite a license; a name that is also a plain word, such as the German "mit", needs such a citation. Keywords are the prefilter: a text without any runs no rule, and at a keyword's place only its own
 rules run, on the few words around it. Overlaps are resolved by priority and containment: a detection goes if another
 of higher priority, or of the same and longer, covers its interval.
 
@@ -85,6 +85,8 @@ CITATIONS = (
     ("", " licen[sc]e(?: |$)", 2, 0.8),
     ("", "(?: |$)", 1, 0.5),
 )
+#: Keyword and label of names that are also words of a language or places; alone they are no detection.
+WORDS_TOO = (("mit", "mit"), ("mit", "mit-0"), ("isc", "isc"), ("cc", "cc-by"))
 #: Words before a keyword, and from it on, that a rule may look at.
 LEFT, RIGHT = 10, 16
 
@@ -94,7 +96,8 @@ def rules() -> list[tuple[int, str, str, str, str, int, float]]:
     out = []
     for label, keyword, name, spdx in FAMILIES:
         name = name.replace(VERSION + " ", VERSION + "(?: | v)")  # "version 3", "v 3", "v3"
-        out += [(keyword, b, f"^(?:{name}){a}", label, p, c) for b, a, p, c in CITATIONS]
+        ways = CITATIONS[:-1] if (keyword, label) in WORDS_TOO else CITATIONS
+        out += [(keyword, b, f"^(?:{name}){a}", label, p, c) for b, a, p, c in ways]
         out.append(("spdx", "", f"^spdx licen[sc]e identifier (?:{spdx})(?: |$)", label, 5, 1.0))
     return [(i, *rule) for i, rule in enumerate(out)]
 

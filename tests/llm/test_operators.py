@@ -391,6 +391,18 @@ def test_licenses_equal_brute_force(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_names_that_are_words_need_a_citation(spark):
+    plain = ["Er kam mit dem Zug und mit 0 Punkten", "computing at mit, boston", "please cc by mail", "mit", "the isc met", "mit Lizenz"]
+    cited = ["the MIT License", "released under mit", "licensed as ISC", "Lizenz: cc by 4.0 license", "bsd 2 clause", "spdx-license-identifier: MIT"]
+    got = {r.doc_id: r.labels for r in licenses.scan(docs_of(spark, plain + cited)).collect()}
+    assert [got[k] for k in range(len(plain))] == [""] * len(plain)
+    assert [got[len(plain) + k] for k in range(len(cited))] == ["mit", "mit", "isc", "cc-by", "bsd-2-clause", "mit"]
+    german = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'de'")
+    labels = {r.doc_id: r.labels.split(",") for r in licenses.scan(german).collect()}
+    texts = {r.doc_id: r.text.lower() for r in german.collect() if "mit" in labels[r.doc_id]}
+    assert all("mit licen" in t or "under mit" in t or "under the mit" in t for t in texts.values())
+
+
 # rANS
 
 
