@@ -2,8 +2,10 @@
 
 The watermark of a batch is an hour behind the newest event of the batches before it. Rows older than that are dropped; a
 job's state goes once the watermark has passed its last event by an hour, so what is held follows the jobs that are alive.
-A job's rows of one batch meet in one task, in Arrow batches that are folded one after the other; the batch is bounded by the
-source's ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``.
+Jobs are dealt out to shares by their hash. A call to Python costs milliseconds, so it is made for a share, not for a job:
+a share's state holds its living jobs side by side, and its timer is the earliest of theirs. A share's rows of one batch meet
+in one task, in Arrow batches that are folded one after the other; the batch is bounded by the source's
+``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``, and a stream with more living jobs takes more shares.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -24,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Groups that :func:`drop_stale` deals a stream out to; a group holds no state.
 SHARES = 64
+#: Shares of the jobs of a stream.
+EXPIRY_SHARES = 1024
 NO_TIME = -(1 << 63)
 
 
@@ -43,6 +48,10 @@ def drop_stale(events: DataFrame) -> DataFrame:
     return marked.groupBy("_share").applyInPandasWithState(keep, events.schema, "none int", "append", GroupStateTimeout.NoTimeout)
 
 
+def _dealt(rows: DataFrame, key: str, shares: int):
+    return rows.withColumn("_share", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(shares)).cast("int")).groupBy("_share")
+
+
 def live_stats(events: DataFrame, tie: str | None = None) -> DataFrame:
     """:func:`.events.live_stats` of a stream, in update mode: a row for each job that a batch tells something about.
 
@@ -95,7 +104,7 @@ def live_stats(events: DataFrame, tie: str | None = None) -> DataFrame:
     return rows.groupBy("job_id").applyInPandasWithState(fold, output, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def expirations(jobs: DataFrame, ttl_seconds: int = TTL_SECONDS, lateness: str = STALE_AFTER) -> DataFrame:
+def expirations(jobs: DataFrame, ttl_seconds: int = TTL_SECONDS, lateness: str = STALE_AFTER, shares: int = EXPIRY_SHARES) -> DataFrame:
     """(id, created_at) of jobs of a stream, each once, when event time has passed ``ttl_seconds`` since it was created.
 
     The stream's clock is its newest ``created_at`` less ``lateness``. Of repeated rows of a job the first creation counts.
@@ -103,18 +112,31 @@ def expirations(jobs: DataFrame, ttl_seconds: int = TTL_SECONDS, lateness: str =
     rows = jobs.select("id", "created_at", F.unix_micros("created_at").alias("_at")).withWatermark("created_at", lateness)
 
     def wait(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (created,) = state.get
+        mark = state.getCurrentWatermarkMs()
+        waiting = {job: (created, due) for job, created, due in zip(*state.get)} if state.exists else {}
+        came = {}
+        for frame in () if state.hasTimedOut else frames:
+            codes, names = pd.factorize(frame["id"].to_numpy(object), use_na_sentinel=False)
+            first = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(first, codes, frame["_at"].to_numpy())
+            for job, created in zip(names, first.tolist()):
+                job = None if pd.isna(job) else job
+                came[job] = min(created, came.get(job, created))
+        gone = [job for job, (_, due) in waiting.items() if due < mark and job not in came]
+        told = pd.DataFrame({"id": gone, "_at": [waiting.pop(job)[0] for job in gone]})
+        for job, created in came.items():
+            created = min(created, waiting[job][0]) if job in waiting else created
+            # a job that is overdue when it arrives goes with the next batch
+            waiting[job] = created, max(created // 1000 + ttl_seconds * 1000, mark + 1)
+        if waiting:
+            created, due = map(list, zip(*waiting.values()))
+            state.update((list(waiting), created, due))
+            state.setTimeoutTimestamp(min(due))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"id": [key[0]], "_at": [created]})
-            return
-        created = min(int(frame["_at"].min()) for frame in frames)
-        if state.exists:
-            created = min(created, state.get[0])
-        state.update((created,))
-        due = created // 1000 + ttl_seconds * 1000
-        # a job that is overdue when it arrives goes with the next batch
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    gone = rows.groupBy("id").applyInPandasWithState(wait, "id string, _at long", "created long", "append", GroupStateTimeout.EventTimeTimeout)
+        if gone:
+            yield told
+
+    held = "id array<string>, created array<long>, due array<long>"
+    gone = _dealt(rows, "id", shares).applyInPandasWithState(wait, "id string, _at long", held, "append", GroupStateTimeout.EventTimeTimeout)
     return gone.select("id", F.timestamp_micros("_at").alias("created_at"))

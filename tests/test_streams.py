@@ -76,3 +76,16 @@ def test_jobs_of_a_stream_expire_once(spark, tmp_path, again):
     out, held = stream(spark, tmp_path, batches, state.expirations, "append")
     gone = [(r["id"], int(r["created_at"].timestamp()) // day) for batch in out for r in batch]
     assert sorted(gone) == [("a", 1), ("b", 2), ("c", 3)] and held[-1] == 1
+
+
+def test_jobs_of_a_share_expire_one_by_one(spark, tmp_path):
+    day = 24 * HOUR
+    jobs = lambda rows: spark.createDataFrame(rows, "id string, at long").select("id", F.timestamp_seconds("at").alias("created_at"))
+    many = [(f"j{k}", day + k * HOUR) for k in range(3000)]
+    batches = [jobs(many[k : k + 1000] + many[k : k + 50]) for k in (1000, 2000)]
+    batches = [jobs(many[:1000] + many[:50] + [(None, day)])] + batches + [jobs([("end", day + 3000 * HOUR)])]
+    out, held = stream(spark, tmp_path, batches, state.expirations, "append")
+    gone = sorted((r["id"] or "", int(r["created_at"].timestamp())) for batch in out for r in batch)
+    # a day and the hour by which the clock is late have passed
+    assert gone == sorted([(n, at) for n, at in many if at + 25 * HOUR < day + 3000 * HOUR] + [("", day)])
+    assert max(held) < 1000
