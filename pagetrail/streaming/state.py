@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Groups that :func:`drop_stale` deals a stream out to; a group holds no state.
 SHARES = 64
 #: Shares of the jobs of a stream.
-EXPIRY_SHARES = 1024
+STATS_SHARES, EXPIRY_SHARES = 512, 1024
 NO_TIME = -(1 << 63)
 
 
@@ -52,7 +52,7 @@ def _dealt(rows: DataFrame, key: str, shares: int):
     return rows.withColumn("_share", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(shares)).cast("int")).groupBy("_share")
 
 
-def live_stats(events: DataFrame, tie: str | None = None) -> DataFrame:
+def live_stats(events: DataFrame, tie: str | None = None, shares: int = STATS_SHARES) -> DataFrame:
     """:func:`.events.live_stats` of a stream, in update mode: a row for each job that a batch tells something about.
 
     ``tie`` is a column of whole numbers. Late rows are dropped; a job's counters begin anew if it speaks again after its
@@ -64,44 +64,51 @@ def live_stats(events: DataFrame, tie: str | None = None) -> DataFrame:
         *LATEST, *[F.col(c).cast("int").alias(c) for c in COUNTED], "finished",
     )
     output = "job_id string, " + ", ".join(f"{c} long" for c in (*LATEST, *COUNTED)) + ", finished boolean"
-    held = ", ".join(f"{c} long, {c}_at long, {c}_tie long" for c in LATEST)
-    held += ", " + ", ".join(f"{c} long" for c in COUNTED) + ", finished boolean, newest long"
+    held = "job_id array<string>, " + ", ".join(f"{c} array<long>, {c}_at array<long>, {c}_tie array<long>" for c in LATEST)
+    held += ", " + ", ".join(f"{c} array<long>" for c in COUNTED) + ", finished array<boolean>, newest array<long>"
     n = len(LATEST)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         mark = state.getCurrentWatermarkMs()
-        old = (0, NO_TIME, NO_TIME) * n + (0,) * len(COUNTED) + (False, NO_TIME)
-        # timers run after a batch's rows, so a state that is due may still be there
-        if state.exists and state.get[-1] // 1000 + STALE_SECONDS * 1000 >= mark:
-            old = state.get
-        latest = [tuple(old[3 * i : 3 * i + 3]) for i in range(n)]
-        counts, finished, newest = list(old[3 * n : -2]), old[-2], old[-1]
-        seen = False
-        for frame in frames:
+        new = [0, NO_TIME, NO_TIME] * n + [0] * len(COUNTED) + [False, NO_TIME]
+        # timers run after a batch's rows, so jobs that are due may still be there
+        jobs = {job: told for job, *told in zip(*state.get) if told[-1] // 1000 + STALE_SECONDS * 1000 >= mark} if state.exists else {}
+        seen = {}
+        for frame in () if state.hasTimedOut else frames:
             frame = frame[frame["_at"] >= mark * 1000].sort_values(["_at", "_tie"])
-            if frame.empty:
-                continue
-            seen = True
+            codes, names = pd.factorize(frame["job_id"].to_numpy(object), use_na_sentinel=False)
+            names = [None if pd.isna(job) else job for job in names]
+            olds = [jobs.setdefault(job, new.copy()) for job in names]
+            seen.update(dict.fromkeys(names))
+            at, tied = frame["_at"].to_numpy(), frame["_tie"].to_numpy()
             for i, name in enumerate(LATEST):
-                told = frame[frame[name].notna()]
-                if len(told):
-                    last = told.iloc[-1]
-                    when = (int(last["_at"]), int(last["_tie"]))
-                    if when >= latest[i][1:]:
-                        latest[i] = (int(last[name]), *when)
-            counts = [c + int(frame[name].sum()) for c, name in zip(counts, COUNTED)]
-            finished, newest = finished or bool(frame["finished"].any()), max(newest, int(frame["_at"].iloc[-1]))
-        if not seen:
-            return
-        state.update((*[x for one in latest for x in one], *counts, finished, newest))
-        state.setTimeoutTimestamp(newest // 1000 + STALE_SECONDS * 1000)
-        row = [key[0], *[one[0] for one in latest], *counts, finished]
-        yield pd.DataFrame([row], columns=["job_id", *LATEST, *COUNTED, "finished"])
-
-    return rows.groupBy("job_id").applyInPandasWithState(fold, output, held, "update", GroupStateTimeout.EventTimeTimeout)
+                last = np.full(len(names), -1)
+                places = np.flatnonzero(frame[name].notna())
+                np.maximum.at(last, codes[places], places)
+                values = frame[name].to_numpy()
+                for k in np.flatnonzero(last >= 0):
+                    when = [int(at[last[k]]), int(tied[last[k]])]
+                    if when >= olds[k][3 * i + 1 : 3 * i + 3]:
+                        olds[k][3 * i : 3 * i + 3] = [int(values[last[k]]), *when]
+            counts = [np.bincount(codes, frame[name].fillna(0), len(names)).astype(int).tolist() for name in COUNTED]
+            ends = np.bincount(codes, frame["finished"], len(names)).tolist()
+            newest = np.full(len(names), NO_TIME)
+            np.maximum.at(newest, codes, at.astype(np.int64))
+            for old, *more, end, late in zip(olds, *counts, ends, newest.tolist()):
+                old[3 * n : -2] = [a + b for a, b in zip(old[3 * n : -2], more)]
+                old[-2:] = [old[-2] or end > 0, max(old[-1], late)]
+        if jobs:
+            columns = [list(jobs), *map(list, zip(*jobs.values()))]
+            state.update(tuple(columns))
+            state.setTimeoutTimestamp(min(columns[-1]) // 1000 + STALE_SECONDS * 1000)
+        elif state.exists:
+            state.remove()
+        if seen:
+            told = zip(*(jobs[job] for job in seen))
+            columns = [c for i, c in enumerate(told) if i >= 3 * n or i % 3 == 0][:-1]
+            yield pd.DataFrame(dict(zip(["job_id", *LATEST, *COUNTED, "finished"], [list(seen), *columns])))
+
+    return _dealt(rows, "job_id", shares).applyInPandasWithState(fold, output, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def expirations(jobs: DataFrame, ttl_seconds: int = TTL_SECONDS, lateness: str = STALE_AFTER, shares: int = EXPIRY_SHARES) -> DataFrame:

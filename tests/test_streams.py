@@ -78,6 +78,22 @@ def test_jobs_of_a_stream_expire_once(spark, tmp_path, again):
     assert sorted(gone) == [("a", 1), ("b", 2), ("c", 3)] and held[-1] == 1
 
 
+def test_jobs_of_a_share_are_folded_together(spark, tmp_path):
+    """State rows, and so calls to Python, are bounded by the shares, however many jobs live; jobs of a share end one by one."""
+    first = [event(f"j{k}", 10_000 + k, k, "error" if k % 3 else "tier_switch", total=k, progress="Starting Tier 1", tier="sitemap") for k in range(700)]
+    first += [event(None, 10_000, 900, total=5)]
+    second = [event(f"j{k}", 10_000 + 2 * HOUR, 1000 + k, total=k + 1) for k in range(0, 700, 2)]
+    third = [event(f"j{k}", 10_000 + 4 * HOUR, 2000 + k, "completed") for k in range(0, 700, 2)]
+    tables = [table(spark, b) for b in (first, second, third)]
+    out, held = stream(spark, tmp_path, tables, lambda s: state.live_stats(s, "n"), "update")
+    assert held[0] <= state.STATS_SHARES < 700
+    # a job that was silent lost its state; the others speak on within the hour after the watermark
+    for k, rows in enumerate([first, first + second]):
+        want = {r["job_id"]: r.asDict() for r in ev.live_stats(table(spark, rows), ["n"]).collect()}
+        got = {r["job_id"]: r for r in out[k]}
+        assert set(got) == {r[1] for r in (first, second)[k]} and all(want[job] == got[job] for job in got)
+
+
 def test_jobs_of_a_share_expire_one_by_one(spark, tmp_path):
     day = 24 * HOUR
     jobs = lambda rows: spark.createDataFrame(rows, "id string, at long").select("id", F.timestamp_seconds("at").alias("created_at"))
