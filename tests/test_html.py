@@ -2,8 +2,10 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 
+from pagetrail.functions import html
 from pagetrail.functions.html import extract_links, extract_page
 from pagetrail.functions.markdown import html_to_markdown
 
@@ -81,3 +83,19 @@ def test_hostile_pages_end(hostile):
     start = time.time()
     assert extract_page(hostile) is not None
     assert time.time() - start < 20
+
+
+def test_pages_of_a_batch_are_parsed_in_parts(monkeypatch):
+    """What lives as Python objects is bounded by a part's bytes and rows, not by the batch."""
+    page = "<html><body>" + "<p>some text</p>" * 300 + "<a href=/x>x</a></body></html>"
+    batch = pa.array([page, None, "", "<p>short</p>"] * 500)
+    lists, made = [], pa.array
+    monkeypatch.setattr(html.pa, "array", lambda x, **kind: (lists.append([len(x), sum(len(page) for p in x if p and len(p["blocks"]) > 9)]), made(x, **kind))[1])
+    got = html._in_parts(batch, html.extract_page, html._PAGE)
+    monkeypatch.undo()
+    assert got.equals(pa.array([html.extract_page(h) for h in batch.to_pylist()], type=html._PAGE))
+    assert len(lists) > 4 and max(n for n, _ in lists) <= html.PART_ROWS and max(size for _, size in lists) <= html.PART_BYTES
+    large = pa.array(["<p>" + "x" * html.PART_BYTES, "<p>a"] * 2)
+    assert [x["blocks"][0]["text"][:1] for x in html._in_parts(large, html.extract_page, html._PAGE).to_pylist()] == ["x", "a"] * 2
+    empty = pa.array([], type=pa.string())
+    assert html._in_parts(empty, html.extract_links, html._LINKS).type == html._LINKS and len(html._in_parts(pa.array([None] * 1200, type=pa.string()), html.extract_links, html._LINKS)) == 1200
