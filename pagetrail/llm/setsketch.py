@@ -5,13 +5,16 @@
    A register is the minimum of exponential variables of the elements, kept on a logarithmic scale of base ``BASE``
    and truncated to one byte. Registers of a union are the maxima of registers.
 2. ``BANDS`` bands of ``ROWS`` registers; two sets of similarity 0.8 share none with a chance of (1 - 0.8^4)^32, less
-   than one in ten million. Every member of a band's bucket is paired with the bucket's leader only.
+   than one in ten million.
 3. A pair's counts of greater, smaller and equal registers and the two known sizes give the likelihood of the
-   similarity; pairs whose maximum lies ``MARGIN`` (over five standard errors) under the threshold go no further.
-4. The others are verified by the intersection of the full sets, and verified links give components.
-5. Members of a bucket that still lie in different components are compared with one another: in blocks of
-   registers, in the task, so that only pairs that pass the likelihood leave it; these are verified too. So a link that
-   the leader missed is found, and nothing emits all pairs of a group.
+   similarity; pairs whose maximum lies ``MARGIN`` (over five standard errors) under the threshold go no further. The
+   members of a bucket are compared in the task that holds it, or block by block; only a spanning forest of its likely pairs
+   leaves the task, so rows grow with the members of a bucket, not with its pairs. Forests join into *clusters*, and every
+   likely pair lies within one.
+4. A cluster's full sets meet once, each set in one block, and the exact intersections give a spanning forest of its links.
+   So near misses are told from links where the sets are, and no pair of them becomes a row. A cluster of several blocks
+   that is not one component then has its nodes outside the largest component compared with all of its blocks; rows
+   there grow with nodes outside times blocks, as any exact answer has to look at these pairs.
 
 Rows: one per input row. Null or blank texts have an empty set and are linked with nothing; their component is their
 own id. Rows that share a doc_id take the smallest id of their component as any other row. A null doc_id takes part in
@@ -32,8 +35,12 @@ from .common import LOWER, U64, Flat, chunks, cut, flat, mix, slice_hash, words
 M, BANDS, ROWS = 128, 32, 4
 BASE, TOP = 1.15, 255
 MARGIN = 0.2
-#: Members of a mixed bucket that are compared at once.
-BLOCK_ROWS = 256
+#: Members of a bucket that are compared in one task; larger buckets go in pairs of blocks.
+BLOCK_ROWS = 8192
+#: Pairs whose registers are compared at once.
+PAIRS = 20_000
+#: Shingles of a cluster that one task holds, or twice as many where blocks meet.
+BLOCK_ITEMS = 1 << 19
 
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(0, 1 << 63, M, dtype=np.uint64) * U64(2) + U64(1)
@@ -162,46 +169,200 @@ def passes(more, less, n_a, n_b, threshold: float) -> np.ndarray:
     return out
 
 
-def estimate(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b whose joint estimate passes."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("regs").alias(f"r_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+def grown(group: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of each group's graph; ``group`` ascends, ``test`` tells of pairs of rows whether they are edges.
+
+    In a round each group sends out one row that its forest has reached, or one of the others if none is left, and tests it
+    with the rows not yet reached; so a group gives fewer edges than it has rows.
+    """
+    away, reached = np.arange(len(group)), np.empty(0, np.int64)
+    heads, found = [], []
+    while len(away):
+        own, first = np.unique(group[away], return_index=True)
+        head = away[first].copy()
+        reached = reached[np.isin(group[reached], own)]
+        known, at = np.unique(group[reached], return_index=True)
+        place = np.searchsorted(own, known)
+        head[place] = reached[at]
+        rest = np.ones(len(away), bool)
+        rest[np.delete(first, place)] = False
+        away, reached = away[rest], np.delete(reached, at)
+        x = head[np.searchsorted(own, group[away])]
+        ok = test(x, away)
+        heads.append(x[ok])
+        found.append(away[ok])
+        reached = np.concatenate([reached, away[ok]])
+        reached, away = reached[np.argsort(group[reached], kind="stable")], away[~ok]
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *heads]), np.concatenate([none, *found])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (runs of rows with equal ``keys``), and the number of each row's group."""
+    held: list[pa.Table] = []
+    for batch in _ended(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            key = np.stack([table.column(k).to_numpy() for k in keys], 1)
+            steps = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            other = bool(held) and any(held[-1].column(k)[-1].as_py() != table.column(k)[0].as_py() for k in keys)
+            if not len(steps) and not other:
+                held.append(table)
+                continue
+            last = int(steps[-1]) if len(steps) else 0
+            ready, held = [*held, table.slice(0, last)], [table.slice(last)]
+        else:
+            ready, held = held, []
+        if ready and (table := pa.concat_tables(ready).combine_chunks()).num_rows:
+            key = np.stack([table.column(k).to_numpy() for k in keys], 1)
+            yield table, np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
+
+
+def _pairs(names: list[bytes], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Pairs a < b of different nodes, each once."""
+    pairs = sorted({tuple(sorted((names[i], names[k]))) for i, k in zip(x.tolist(), y.tolist()) if names[i] != names[k]})
+    columns = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+
+def likely_forest(multi: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a, b of one bucket whose joint estimate passes: of each bucket of ``multi`` (band, node, n) a spanning forest."""
+    # a pair of greatest likelihood under the limit by so much more cannot reach it
+    few = (threshold - MARGIN - 0.15) * M
+    known = multi.withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).join(nodes.select("node", "regs", "n_shingles"), "node")
+    dealt = in_blocks(known).repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-                ok = passes((a > b).sum(1), (a < b).sum(1), batch.column(4).to_numpy(), batch.column(5).to_numpy(), threshold)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+        for table, group in whole_groups(batches, ["band", "p", "q"]):
+            regs, sizes = _matrix(table.column("regs")), table.column("n_shingles").to_numpy()
+
+            def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                out = np.zeros(len(x), bool)
+                for k in range(0, len(x), PAIRS):
+                    i, j = x[k : k + PAIRS], y[k : k + PAIRS]
+                    near = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
+                    some = np.flatnonzero(near)
+                    some = some[(regs[i[some]] == regs[j[some]]).sum(1) >= few]
+                    a, b = regs[i[some]], regs[j[some]]
+                    ok = passes((a > b).sum(1), (a < b).sum(1), sizes[i[some]], sizes[j[some]], threshold)
+                    out[k + some[ok]] = True
+                return out
+
+            yield _pairs(table.column("node").to_pylist(), *grown(group, test))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
-    return both.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs a, b linked by their full sets. Only the texts of their nodes are read into sets."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = nodes.join(need, "node").select(F.col("doc_id").alias("need_id")).distinct()
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, parts) with p, q instead of parts: dealt by node into ``parts`` blocks, and each block with each other one; a
+    single block as it is."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    one = F.array(F.lit(0))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("own"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("parts") > 1, others).otherwise(one)))
+    return rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("own", "other", "parts")
+
+
+def sets_of(need: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, items: the full set of each node of ``need`` once. Only their texts are read into sets."""
+    ids = nodes.join(need.select("node"), "node").select(F.col("doc_id").alias("need_id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in chunks(batch.column(1)):
                 sets = [s for s in shingle_sets(batch.column(1).slice(i, j - i), size) if len(s)]
+                made = {identity(s): s for s in sets}
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([identity(s) for s in sets], pa.binary()),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array(made.keys(), pa.binary()),
+                        pa.array([s.view(np.int64) for s in made.values()], pa.list_(pa.int64())),
                     ],
                     ["node", "items"],
                 )
 
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
-    sets = cut(texts.mapInArrow(run, "node binary, items array<long>"))
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("i_a", "i_b"))
-    both = both.withColumn("common", common)
-    linked = 100 * F.col("common") >= percent * (F.size("i_a") + F.size("i_b") - F.col("common"))
-    return both.where(linked).select("a", "b").distinct()
+    made = texts.mapInArrow(run, "node binary, items array<long>").join(need.select("node"), "node", "left_semi")
+    return made.groupBy("node").agg(F.first("items").alias("items"))
+
+
+def linked_forest(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links a, b by full sets of ``dealt`` (cluster, p, q, node, root, items): with the roots, which are joined already, they
+    join all that any link within a group joins."""
+
+    def links(names: list[bytes], roots: list[bytes], items: pa.Array) -> pa.RecordBatch:
+        offsets = items.offsets.to_numpy().astype(np.int64)
+        codes = np.unique(items.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)[1]
+        offsets, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        root = np.unique(roots, return_inverse=True)[1]
+        marks = np.zeros(int(codes.max()) + 1, bool)
+        held, flat_codes, starts = np.arange(len(names)), codes, offsets  # rows whose codes lie in flat_codes
+        away, reached, heads, found = held, [], [], []
+        while len(away):
+            if not reached:
+                mates = root[away] == root[away[0]]
+                reached, away = away[mates].tolist(), away[~mates]
+            if 2 * len(away) <= len(held):
+                held = away
+                flat_codes = np.concatenate([codes[:0], *(codes[offsets[k] : offsets[k] + sizes[k]] for k in held.tolist())])
+                starts = np.cumsum(sizes[held]) - sizes[held]
+            if not len(away):
+                break
+            head = reached.pop()
+            own = codes[offsets[head] : offsets[head] + sizes[head]]
+            marks[own] = True
+            common = np.add.reduceat(marks[flat_codes], starts, dtype=np.int64)[np.searchsorted(held, away)]
+            marks[own] = False
+            ok = 100 * common >= percent * (sizes[head] + sizes[away] - common)
+            found += away[ok].tolist()
+            heads += [head] * int(ok.sum())
+            ok |= np.isin(root[away], root[away[ok]])
+            reached += away[ok].tolist()
+            away = away[~ok]
+        return _pairs(names, np.array(heads, np.int64), np.array(found, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["cluster", "p", "q"]):
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for i, j in zip(edges, edges[1:]):
+                part = table.slice(i, j - i)
+                if j - i > 1:
+                    yield links(*(part.column(k).to_pylist() for k in ("node", "root")), part.column("items").combine_chunks())
+
+    rows = dealt.select("cluster", "p", "q", "node", "root", "items").repartition("cluster", "p", "q")
+    return rows.sortWithinPartitions("cluster", "p", "q").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def verify(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components by full sets, as ``components`` gives them, of the nodes in ``clusters`` (node, root). Links lie within clusters.
+
+    A cluster is dealt into blocks of about ``BLOCK_ITEMS`` shingles, which are compared within themselves. Where a cluster of
+    several blocks is not one component then, its nodes outside the largest one are compared with all of its nodes.
+    """
+    placed = clusters.withColumnRenamed("root", "lead").join(nodes.select("node", "n_shingles"), "node")
+    total = placed.groupBy("lead").agg(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS).cast("int").alias("parts"))
+    placed = cut(placed.join(total, "lead").withColumn("cluster", F.xxhash64("lead")))
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    sets = cut(sets_of(placed, docs, nodes, size))
+    alone = placed.withColumns({"p": part(F.col("parts")), "q": F.lit(0), "root": F.col("node")}).join(sets, "node")
+    links = cut(linked_forest(alone, percent))
+    comps = cut(components(links))
+    large = placed.where("parts > 1")
+    if large.isEmpty():
+        return comps
+    large = large.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = large.groupBy("cluster", "root").agg(F.sum("n_shingles").alias("held"))
+    most = each.groupBy("cluster").agg(F.max(F.struct("held", "root")).alias("most"), F.sum("held").alias("all"))
+    rest = F.ceil((F.col("all") - F.col("most.held")) / BLOCK_ITEMS).cast("int")
+    most = most.select("cluster", F.col("most.root").alias("largest"), rest.alias("outer")).where("outer > 0")
+    large = cut(large.join(most, "cluster"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = "cluster", "p", "q", "node", "root"
+    inside = large.withColumn("p", upto("outer")).withColumn("q", part(F.col("parts"))).select(*columns)
+    outside = large.where("root <> largest").withColumn("p", part(F.col("outer"))).withColumn("q", upto("parts")).select(*columns)
+    more = cut(linked_forest(inside.union(outside).distinct().join(sets, "node"), percent))
+    return comps if more.isEmpty() else cut(components(links.union(more)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,69 +394,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots)
 
 
-def compare_mixed(multi: DataFrame, nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a, b of one bucket and different components whose joint estimate passes."""
-    placed = multi.join(comps, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = cut(mixed.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts")))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    members = placed.join(mixed, "band").withColumn("own", own).join(nodes.select("node", "regs", "n_shingles"), "node")
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "regs", "n_shingles"
-    )
-    # a pair of greatest likelihood under the limit by so much more cannot reach it
-    few = (threshold - MARGIN - 0.15) * M
-    dealt = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-
-    def tested(i: np.ndarray, k: np.ndarray, regs, sizes, names) -> pa.RecordBatch:
-        ok = (regs[i] == regs[k]).sum(1) >= few
-        i, k = i[ok], k[ok]
-        ok = passes((regs[i] > regs[k]).sum(1), (regs[i] < regs[k]).sum(1), sizes[i], sizes[k], threshold)
-        pairs = sorted({tuple(sorted((names[x], names[y]))) for x, y in zip(i[ok].tolist(), k[ok].tolist())})
-        columns = zip(*pairs) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["a", "b"])
-
-    def compare(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
-        """Pairs within the groups between ``edges``; pairs of many small groups are tested together."""
-        regs, sizes, names = _matrix(table.column("regs")), table.column("n_shingles").to_numpy(), table.column("node").to_pylist()
-        roots = np.unique(table.column("root").to_pylist(), return_inverse=True)[1]
-        own, p, q = (table.column(k).to_numpy() for k in ("own", "p", "q"))
-        left, right, held = [], [], 0
-        for i, j in zip(edges, edges[1:]):
-            if j - i < 2:
-                continue
-            if p[i] == q[i]:
-                x, y = np.triu_indices(j - i, 1)
-            else:
-                x, y = (m.reshape(-1) for m in np.meshgrid(np.flatnonzero(own[i:j] == p[i]), np.flatnonzero(own[i:j] == q[i])))
-            x, y = x + i, y + i
-            apart = roots[x] != roots[y]
-            left.append(x[apart])
-            right.append(y[apart])
-            held += len(left[-1])
-            if held > 50_000:
-                yield tested(np.concatenate(left), np.concatenate(right), regs, sizes, names)
-                left, right, held = [], [], 0
-        if held:
-            yield tested(np.concatenate(left), np.concatenate(right), regs, sizes, names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _ended(batches):
-            table = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
-            if not table:
-                continue
-            table = pa.concat_tables(table).combine_chunks()
-            key = np.stack([table.column(k).to_numpy() for k in ("band", "p", "q")], 1)
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
-            if batch is None:
-                edges.append(len(key))
-            yield from compare(table, edges)
-            rest = table.slice(edges[-1])
-
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
-
-
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     """The batches, then None."""
     yield from batches
@@ -321,17 +419,9 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     )
     banded = bands(nodes)
-    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
-    leaders = cut(leaders.where("n > 1").select("band", "leader"))
-    multi = cut(banded.join(leaders, "band"))
-    pairs = multi.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    tested = cut(estimate(pairs, nodes, threshold))
-    links = cut(verify(tested, docs, nodes, size, percent))
-    comps = cut(components(links))
-    ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(compare_mixed(multi, nodes, comps, threshold).join(ordered, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        comps = cut(components(links.union(verify(more, docs, nodes, size, percent))))
+    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    likely_ones = cut(likely_forest(banded.join(shared, "band"), nodes, threshold))
+    comps = verify(cut(components(likely_ones)), docs, nodes, size, percent)
     placed = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = cut(placed.join(smallest, "root").select("node", "component_id"))

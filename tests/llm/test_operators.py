@@ -352,6 +352,67 @@ def test_components_equal_brute_force(spark):
     assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+def family(rng, n, words=90, changes=5):
+    """Copies of one text with some words changed: pairs are links, near misses and neither."""
+    base = [f"w{rng.randrange(10_000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(1, changes)):
+            own[rng.randrange(words)] = f"new{rng.randrange(10_000)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_components_of_many_blocks(spark, monkeypatch):
+    # small blocks, so that buckets and clusters are cut into many
+    monkeypatch.setattr(setsketch, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(setsketch, "BLOCK_ITEMS", 900)
+    rng = random.Random(11)
+    texts = [t for n in (70, 50, 3) for t in family(rng, n)] + ["one two three four five"] * 3 + ["", None]
+    want, sizes = components(["" if t is None else t for t in texts], 4, 80)
+    assert 5 < len(set(want[:70])) < 60
+    got = {r.doc_id: r for r in setsketch.near_duplicates(docs_of(spark, texts), 4, 80).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == want
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+
+
+def test_no_pairs_of_a_large_group(spark):
+    n = 250
+    docs = docs_of(spark, [t for t in family(random.Random(3), n) for _ in range(2)], [k // 10 for k in range(2 * n)])
+    drawn = setsketch.sketch(docs, 4)
+    nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    banded = setsketch.cut(setsketch.bands(nodes))
+    multi = banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band")
+    pairs = setsketch.cut(setsketch.likely_forest(multi, nodes, 0.8))
+    near = setsketch.components(pairs)
+    assert near.select("root").distinct().count() < 5 and pairs.count() < multi.count() - multi.select("band").distinct().count() + 1
+    sets = setsketch.sets_of(near, docs, nodes, 4)  # ten texts share an id: still one set a node
+    assert sets.count() == near.count() and sets.select("node").distinct().count() == near.count()
+    found = setsketch.linked_forest(near.selectExpr("xxhash64(root) cluster", "0 p", "0 q", "node", "node root").join(sets, "node"), 80)
+    assert 0 < found.count() < n
+
+
+@pytest.mark.parametrize("cuts", [(40,), (1, 2, 3), (7, 8, 30), ()])
+def test_groups_come_whole(cuts):
+    key = np.repeat(np.arange(12), [3, 1, 1, 5, 2, 9, 1, 1, 8, 3, 4, 2])
+    table = pa.RecordBatch.from_arrays([pa.array(key), pa.array(range(40))], ["g", "row"])
+    edges = [0, *cuts, 40]
+    out = list(setsketch.whole_groups((table.slice(a, b - a) for a, b in zip(edges, edges[1:])), ["g"]))
+    assert [r for t, _ in out for r in t.column("row").to_pylist()] == list(range(40))
+    parts = [set(t.column("g").to_pylist()) for t, _ in out]
+    assert sum(map(len, parts)) == 12 and all(len(set(n)) == len(p) for (_, n), p in zip(out, parts))
+
+
+def test_forest_spans_each_group():
+    rng = np.random.default_rng(5)
+    group = np.sort(rng.integers(0, 30, 300))
+    kind = rng.integers(0, 4, 300)
+    x, y = setsketch.grown(group, lambda a, b: kind[a] == kind[b])
+    assert (group[x] == group[y]).all() and (kind[x] == kind[y]).all()
+    assert len(x) == 300 - len(set(zip(group.tolist(), kind.tolist()))) and len(set(y.tolist())) == len(y)
+
+
 def test_near_duplicates_of_odd_ids(spark):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "only null", None], [9, 9, None, None, None, 4])
     got = sorted((r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(docs).collect() if r.doc_id is not None)
