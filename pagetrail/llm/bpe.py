@@ -40,8 +40,10 @@ BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOIN, IN_WHITE, ALONE, ONE, TWO, DONE
 STATES = 10
 #: Code points in a block of the scan.
 SPAN = 512
-#: Bytes that a worker's cache of slices may hold.
-CACHE_BYTES = 20 << 20
+#: Bytes that a worker's cache of slices may hold; with its objects it takes about five times that.
+CACHE_BYTES = 10 << 20
+#: Bytes of text that are encoded at once; the arrays on the way take about 50 times that.
+TEXT_BYTES = 1 << 18
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -263,7 +265,7 @@ def round_trip(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
         codec = codec_of(path)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
-            for i, j in chunks(batch.column(1)):
+            for i, j in chunks(batch.column(1), TEXT_BYTES):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 flat, at = codec.encode(texts)
                 back, where = codec.decode(flat, at)
@@ -277,6 +279,9 @@ def round_trip(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                 if ids:
                     out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+                del texts, flat, back, raw, out
+            del batch
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -184,6 +185,26 @@ def test_bpe_equals_the_library(spark):
     assert bpe.round_trip(docs_of(spark, []), path).count() == 0
 
 
+def test_bpe_holds_little_of_a_batch(spark):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+
+    docs, rng = Docs(), random.Random(2)
+    bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=True)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], ["doc_id", "text"])
+    list(docs.run(iter([batch.slice(0, 1)])))  # tables of the codec
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in docs.run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 and peak < 8 * batch.nbytes, peak / batch.nbytes
+
+
 # line dedup
 
 LINE = "A line that is long enough to be looked at by the operator"
